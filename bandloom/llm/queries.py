@@ -17,6 +17,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("text", "kept_text")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled ones that are not held out."""
+    from .langid import fit, held_out, identify
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.filter(~held_out("doc_id")))
+    got = identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of weights 1, 2, 3 takes of each document."""
     from .mixing import mix, words
@@ -28,6 +38,13 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__s"))).join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    from .ngram_join import jaccard_links
+
+    return jaccard_links(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token pieces in sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -38,6 +55,14 @@ def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.withColumnRenamed("id", "doc_id"))
 
 
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a progressive JPEG, read back, with features of its RGB tensor."""
+    from .media import decode_media, encode_media
+
+    media = encode_media(read(spark, sf_dir, "documents"))
+    return decode_media(media).withColumnRenamed("id", "doc_id")
+
+
 def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives, read back and assembled."""
     from .warc import captures, write_warc
