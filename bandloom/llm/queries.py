@@ -63,6 +63,13 @@ def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(media).withColumnRenamed("id", "doc_id")
 
 
+def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of equal-label vectors with a cosine of 0.98 or more, their components and keepers."""
+    from .vector_graph import near_links
+
+    return near_links(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives, read back and assembled."""
     from .warc import captures, write_warc
