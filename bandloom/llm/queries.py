@@ -55,6 +55,13 @@ def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.withColumnRenamed("id", "doc_id"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 100 bytes covers which also starts earlier."""
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a progressive JPEG, read back, with features of its RGB tensor."""
     from .media import decode_media, encode_media
