@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,23 +19,66 @@ CHUNK = re.compile(r"[^ \t\n\r\v\f]+")
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
+#: Characters that the vocabulary's pattern keeps apart from letters, without the apostrophe of contractions.
+APART = ".,!?;:|$%&*#()[]{}<>=+@~^/\\\"_-"
+
+
 class _Ids(dict):
-    """Little-endian 32-bit ids of a chunk without ASCII white space, found once and kept for a while."""
+    """Little-endian 32-bit ids of chunks without ASCII white space, found once and kept for a while.
+
+    Chunks of plain letters within ``APART`` characters are put together from their parts, since the
+    vocabulary drops case and never joins across such a border; so most words are encoded once. Both
+    tables have a bound; of the words, the older half goes when it is reached.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tok, self.most = Tokenizer.from_file(path), most
         self.tok.encode_special_tokens = True
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Make sure that all chunks of these texts are there."""
+        if len(self) > self.most:
             self.clear()
-        got = np.asarray(self.tok.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = got
-        return got
+        if len(self.words) > self.most:
+            self.words, self.older = {}, self.words
+        new = set().union(*texts).difference(self)
+        parts: dict[str, tuple[str, ...]] = {}
+        for chunk in new:
+            low = chunk.lower()
+            core = low.strip(APART)
+            if core.isalpha() and max(chunk) < "\u0250":
+                lo = low.index(core)
+                parts[chunk] = (low[:lo], core, low[lo + len(core) :])
+            else:
+                parts[chunk] = (chunk,)
+        want = {x for own in parts.values() for x in own if x and x not in self.words}
+        for x in [x for x in want if x in self.older]:
+            self.words[x] = self.older[x]
+            want.discard(x)
+        rest = list(want)
+        for lo in range(0, len(rest), 2000):
+            for x, got in zip(rest[lo : lo + 2000], self.tok.encode_batch_fast(rest[lo : lo + 2000], add_special_tokens=False), strict=True):
+                self.words[x] = np.asarray(got.ids, dtype="<u4").tobytes()
+        self.words[""] = b""
+        for chunk, own in parts.items():
+            self[chunk] = self.words[own[0]] if len(own) == 1 else b"".join([self.words[x] for x in own])
+
+
+_KEPT: dict[str, _Ids] = {}
+
+
+def _ids(path: str) -> _Ids:
+    """This Python worker's tables; later tasks of the worker use them again."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = _Ids(path)
+    return _KEPT[path]
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -45,14 +89,16 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = _Ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        ids, end = _ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
             for lo in range(0, len(key), 256):
                 rows, piece, start, length, crc, raw = [], [], [], [], [], []
-                for i, t in enumerate(text.slice(lo, 256).to_pylist(), lo):
-                    own = b"".join([*map(ids.__getitem__, CHUNK.findall(t or "")), end])
+                chunks = [CHUNK.findall(t or "") for t in text.slice(lo, 256).to_pylist()]
+                ids.learn(chunks)
+                for i, found in enumerate(chunks, lo):
+                    own = b"".join([*map(ids.__getitem__, found), end])
                     for k, at in enumerate(range(0, len(own), step)):
                         part = own[at : at + step]
                         rows.append(i)
