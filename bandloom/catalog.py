@@ -7,7 +7,7 @@ import importlib
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "ag6_path_gap"
-_PLANS = ("bands",)
+_PLANS = ("bands", "keys", "metrics")
 
 
 def _load() -> None:

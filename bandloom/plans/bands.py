@@ -244,9 +244,9 @@ g AS (SELECT DISTINCT path_id, band_id, lo, hi, n, unnest(range(17)) AS cell FRO
 t AS (SELECT g.path_id, g.band_id, g.cell, q.y, q.n, q.h, q.m, q.y1, q.m1, CASE WHEN g.n = 1 THEN 0 ELSE (g.lo + g.cell * (g.hi - g.lo) / 16 - q.x) / q.h END AS t,
       row_number() OVER (PARTITION BY g.path_id, g.band_id, g.cell ORDER BY q.x DESC) AS k
       FROM g JOIN q ON g.path_id = q.path_id AND g.band_id = q.band_id AND (g.n = 1 OR (q.h IS NOT NULL AND q.x <= g.lo + g.cell * (g.hi - g.lo) / 16 + 1e-9)))
-SELECT path_id, band_id, CAST(cell AS INT) AS cell, round(CASE WHEN n = 1 THEN y ELSE (1 + 2 * t) * (1 - t) * (1 - t) * y + t * (1 - t) * (1 - t) * h * m + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * m1 END, 7) + 0 AS value FROM t WHERE k = 1""")
+SELECT path_id, band_id, CAST(cell AS INT) AS cell, round(CASE WHEN n = 1 THEN y ELSE (1 + 2 * t) * (1 - t) * (1 - t) * y + t * (1 - t) * (1 - t) * h * m + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * m1 END, 10) + 0 AS value FROM t WHERE k = 1""")
 def _fn1(spark, sf_dir):
-    return B.resample(daily(spark, sf_dir), 17, ["path_id", "band_id"]).select("path_id", "band_id", "cell", (F.round("value", 7) + F.lit(0)).alias("value"))
+    return B.resample(daily(spark, sf_dir), 17, ["path_id", "band_id"]).select("path_id", "band_id", "cell", (F.round("value", 10) + F.lit(0)).alias("value"))
 
 
 @query("jn16_nearest_sample", f"""WITH {POINTS},
