@@ -7,7 +7,7 @@ import importlib
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "ag6_path_gap"
-_PLANS = ("bands", "keys", "metrics")
+_PLANS = ("bands", "keys", "metrics", "splits", "joins", "quality")
 
 
 def _load() -> None:
