@@ -92,7 +92,7 @@ def _key10(spark, sf_dir):
     return rows.select("id", K.semantic_hash(rows.columns, ("id", "fetched")).alias("digest"))
 
 
-@query("key12_structure_hash", """SELECT o_orderkey AS id, sha256('{"v":[' || CAST(round(o_totalprice, 0)::BIGINT AS VARCHAR) || '.0,1.5]}') AS digest FROM orders WHERE o_totalprice < 1000000""")
+@query("key12_structure_hash", """SELECT o_orderkey AS id, sha256('{"v":[' || CAST(round(o_totalprice, 0)::BIGINT AS VARCHAR) || '.0,2.0]}') AS digest FROM orders WHERE o_totalprice < 1000000""")
 def _key12(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").filter("o_totalprice < 1000000")
     return rows.select(F.col("o_orderkey").alias("id"), K.rounded_hash(F.array(F.col("o_totalprice"), F.lit(1.5)), 0).alias("digest"))

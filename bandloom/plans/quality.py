@@ -64,9 +64,10 @@ def _flt7(spark, sf_dir):
     return Q.field_audit(rows, {"name": [(k % 9 == 0, "invalid", "name")], "balance": [(F.col("balance") < 0, "ambiguous", "sign"), (k % 10 == 0, "read_error", "read")]}).drop("balance")
 
 
-@query("flt9_caption_filter", "SELECT doc_id FROM documents WHERE regexp_matches(text, '\\b(the|und)\\b', 'i') AND NOT regexp_matches(text, '\\b(trash|stupid)\\b', 'i')")
+@query("flt9_caption_filter", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\p{L}])(the|und)([^\\p{L}]|$)', 'i') AND NOT regexp_matches(text, '(^|[^\\p{L}])(trash|stupid)([^\\p{L}]|$)', 'i')")
 def _flt9(spark, sf_dir):
-    return read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"(?i)\b(the|und)\b") & ~F.col("text").rlike(r"(?i)\b(trash|stupid)\b")).select("doc_id")
+    word = lambda w: F.col("text").rlike(rf"(?i)(^|[^\p{{L}}])({w})([^\p{{L}}]|$)")
+    return read(spark, sf_dir, "documents").filter(word("the|und") & ~word("trash|stupid")).select("doc_id")
 
 
 @query("flt10_license", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'CC-BY' WHEN 1 THEN 'CC-BY' END AS license, CASE event_id % 4 WHEN 2 THEN 'restricted' WHEN 3 THEN 'unknown' END AS reason FROM events")
