@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, page_id long, digest string, n_bytes long, http_head string, fields string"
 
 
@@ -32,16 +34,17 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     """
     crlf = F.lit("\r\n")
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(url_col, r"[\r\n]+", "%0A").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    pages = pages.withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html").cast("long"))
-    long_ = pages.select("id", "digest", "n").filter(F.col("n") >= least)
+    # One key for the join and both windows, so that texts are dealt out once.
+    pages = pages.withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html").cast("long")).withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("none")))
+    long_ = pages.select("id", "key", "digest", "n").filter(F.col("n") >= least)
     groups = long_.groupBy("digest").agg(F.max("id").alias("best"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "best")
-    later = long_.select("id", "digest").distinct().join(groups, "digest").select(F.col("id").alias("later_id"), F.col("digest").alias("later_digest"), "best")
-    laid = pages.join(later, F.col("id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left").drop("later_id", "later_digest")
-    laid = laid.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("digest", "url")) - 1)
-    same = F.row_number().over(Window.partitionBy("id", "digest").orderBy("url")) - 1
-    laid = laid.withColumn("same", same)
-    revisit = F.col("best").isNotNull() & ((~F.col("id").eqNullSafe(F.col("best"))) | (F.col("same") > 0))
-    name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(":"), F.col("nth").cast("string"))
+    later = long_.select("key", "digest").distinct().join(groups, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "best")).alias("groups"))
+    laid = pages.join(later, "key", "left")
+    laid = laid.withColumn("group", F.get(F.filter("groups", lambda g: g["digest"] == F.col("digest")), F.lit(0))).withColumn("best", F.col("group.best")).drop("groups")
+    laid = laid.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("digest", "url")) - 1)
+    laid = laid.withColumn("same", F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")) - 1)
+    revisit = F.col("group").isNotNull() & ((~F.col("id").eqNullSafe(F.col("best"))) | (F.col("same") > 0))
+    name = F.concat(F.lit("urn:page:"), F.col("key"), F.lit(":"), F.col("nth").cast("string"))
     main, ask, more = (F.concat(name, F.lit(x)) for x in (":response", ":request", ":metadata"))
     base = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
     key = [("WARC-Page-ID", F.col("id").cast("string"))]
@@ -50,7 +53,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     http = [("Content-Type", F.lit("application/http; msgtype=response"))]
     response = _record("response", main, base + key + digest + http, F.concat(head, "html"))
-    refers = [("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("best").cast("string"), F.lit(":response>"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))]
+    refers = [("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("best").cast("string"), F.lit("none")), F.lit(":0:response>"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))]
     again = _record("revisit", main, base + key + digest + refers + http, head)
     get = F.concat(F.lit("GET "), F.coalesce("url", F.lit("*")), F.lit(" HTTP/1.1"), crlf, crlf)
     request = _record("request", ask, base + link + [("Content-Type", F.lit("application/http; msgtype=request"))], get)
@@ -131,7 +134,10 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Assembled captures of the archives in ``path`` with ``payload_bytes`` of the full payload."""
-    found = assemble(read_warc(spark, path, with_payload))
+    """Assembled captures of the archives in ``path`` with ``payload_bytes`` of the full payload.
+
+    The archives are parsed once, into a table of records.
+    """
+    found = assemble(table(read_warc(spark, path, with_payload), "warc-records"))
     noted = F.expr("try_cast(regexp_extract(metadata.fields, 'payload-bytes: ([0-9]+)', 1) as bigint)")
     return found.withColumn("payload_bytes", F.coalesce("n_bytes", noted))
