@@ -102,9 +102,9 @@ def links_of(rows: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, F.posexplode(F.arrays_zip(a.alias("href"), t.alias("text"))).alias("n", "x")).select(key, "n", "x.href", "x.text")
 
 
-def assets(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """SRC10: files of a folder with size and SHA-256, bound to a manifest of ``name, sha256``."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("found"))
+def assets(spark: SparkSession, path: str, manifest: DataFrame, name: str = "([^/]+)$") -> DataFrame:
+    """SRC10: files of a folder with size and SHA-256, bound to a manifest of ``name, sha256``; ``name`` is the pattern of the name in a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", name, 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("found"))
     j = manifest.join(files, "name", "full")
     return j.select("name", "size", F.when(F.col("sha256").isNull(), "not listed").when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "changed").otherwise("bound").alias("state"))
 
