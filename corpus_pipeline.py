@@ -20,8 +20,9 @@ from bandloom.llm.ngram_join import keep_one
 from bandloom.llm.packing import pack, token_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bits a symbol from which no learned language explains a text better than even odds of 64 letters.
-FOREIGN = 6.0
+#: Bits a symbol from which no learned language explains a text better than even odds of 64 letters,
+#: and the characters that a text needs for such a verdict.
+FOREIGN, EVIDENCE = 6.0, 500
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -30,12 +31,12 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that no learned language explains; ``lang`` becomes the prediction.
+    """Rejects texts without a letter and long texts that no learned language explains; ``lang`` becomes the prediction.
 
     Learned from the labelled documents of ``sf_dir`` that are not held out.
     """
     model = fit(read(spark, sf_dir, "documents").filter(~held_out("doc_id")))
-    got = identify(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != "und") & (F.col("bits") < FOREIGN))
+    got = identify(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != "und") & ((F.col("bits") < FOREIGN) | (F.length("text") < EVIDENCE)))
     return got.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
