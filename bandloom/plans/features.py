@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as X
-from ..registry import query, read
+from ..registry import query, read, shared_folder
 from ..sources import records as S
 from .bands import daily, points, shifted
-from .incremental import shared_folder
 
 
 @query("fn2_extract_bands")

@@ -6,22 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..registry import query, read
+from ..registry import query, read, shared_folder
 from ..sources import records as S
 from ..streaming import jobs as J
 
 
-def shared_folder(spark, name: str) -> str:
-    """A fresh folder under the session's checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="bandloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("src2_latest_rows", "SELECT o_custkey AS id, max(o_orderkey) AS seq, max_by(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY 1")
 def _src2(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("priority"))
