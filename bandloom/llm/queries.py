@@ -124,5 +124,17 @@ FROM g
 """
 
 
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE k * 5 >= (x.n + y.n - k) * 4),
+r AS (SELECT doc_id AS node, doc_id AS label FROM documents UNION SELECT l.b, r.label FROM r JOIN l ON r.node = l.a),
+m AS (SELECT node, min(label) AS class_id FROM r GROUP BY node)
+SELECT node AS doc_id, class_id, (SELECT count(*) FROM l WHERE l.a = node) AS n_links FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op9_warc_captures": WARC_SQL}
+    return {"op4_ngram_jaccard": NGRAM_SQL, "op1_line_dedup": LINE_DEDUP_SQL, "op9_warc_captures": WARC_SQL}
