@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_groups
 
-CHUNK = re.compile(r"[^ \t\n\r\v\f]+")
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,36 +36,59 @@ class _Ids(dict):
         super().__init__()
         self.tok, self.most = Tokenizer.from_file(path), most
         self.tok.encode_special_tokens = True
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Make sure that all chunks of these texts are there."""
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self) > self.most:
             self.clear()
         if len(self.words) > self.most:
             self.words, self.older = {}, self.words
-        new = set().union(*texts).difference(self)
         parts: dict[str, tuple[str, ...]] = {}
-        for chunk in new:
+        want: set[str] = set()
+        odd: set[str] = set()
+        for chunk in chunks:
+            if chunk in self:
+                continue
             low = chunk.lower()
             core = low.strip(APART)
-            if core.isalpha() and max(chunk) < "\u0250":
-                lo = low.index(core)
-                parts[chunk] = (low[:lo], core, low[lo + len(core) :])
+            if core.isalpha() and (chunk.isascii() or max(chunk) < "\u0250"):
+                if len(core) == len(low):
+                    own = (core,)
+                else:
+                    lo = low.index(core)
+                    own = (low[:lo], core, low[lo + len(core) :])
             else:
-                parts[chunk] = (chunk,)
-        want = {x for own in parts.values() for x in own if x and x not in self.words}
-        for x in [x for x in want if x in self.older]:
+                own = (chunk,)
+                odd.add(chunk)
+            parts[chunk] = own
+            want.update(own)
+        want.difference_update(self.words)
+        for x in want.intersection(self.older):
             self.words[x] = self.older[x]
-            want.discard(x)
-        rest = list(want)
-        for lo in range(0, len(rest), 2000):
-            for x, got in zip(rest[lo : lo + 2000], self.tok.encode_batch_fast(rest[lo : lo + 2000], add_special_tokens=False), strict=True):
-                self.words[x] = np.asarray(got.ids, dtype="<u4").tobytes()
         self.words[""] = b""
+        rest = list(want.difference(self.words, odd))
+        for lo in range(0, len(rest), 1000):  # each of these is one word of the vocabulary's pattern
+            part = rest[lo : lo + 1000]
+            got = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) != len(part):
+                odd.update(part)
+                continue
+            raw, at = got.tobytes(), 0
+            for x, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.words[x] = raw[at:end]
+                at = end
+        for x in odd.difference(self.words):
+            self.words[x] = np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        words = self.words
         for chunk, own in parts.items():
-            self[chunk] = self.words[own[0]] if len(own) == 1 else b"".join([self.words[x] for x in own])
+            self[chunk] = words[own[0]] if len(own) == 1 else words[own[0]] + words[own[1]] + words[own[2]]
+        return [self[c] for c in chunks]
 
 
 _KEPT: dict[str, _Ids] = {}
@@ -84,36 +106,51 @@ def _ids(path: str) -> _Ids:
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Rows ``(id, piece, start, length, ids_crc32[, ids])``: each text's ids and ``end_id``, cut at ``capacity``.
 
-    The vocabulary drops white space and never joins across it, so ids are found per chunk between
-    white space and kept in a bounded table. A null text counts as empty: the end id alone.
+    The vocabulary drops white space and never joins across it, so ids are found once for each
+    distinct chunk between white space and kept in a bounded table. A null text counts as empty: the end id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = _ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        step = 4 * capacity
+        ids = _ids(tokenizer_path)
         for batch in batches:
-            key, text = batch.column(0), batch.column(1)
-            for lo in range(0, len(key), 256):
-                rows, piece, start, length, crc, raw = [], [], [], [], [], []
-                chunks = [CHUNK.findall(t or "") for t in text.slice(lo, 256).to_pylist()]
-                ids.learn(chunks)
-                for i, found in enumerate(chunks, lo):
-                    own = b"".join([*map(ids.__getitem__, found), end])
-                    for k, at in enumerate(range(0, len(own), step)):
-                        part = own[at : at + step]
-                        rows.append(i)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            raw.append(np.frombuffer(part, "<u4").astype("<i4"))
-                cols = [key.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
-                names = ["id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    cols.append(pa.array(raw, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + 8_000_000, side="right")))
+                yield cut(ids, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
+                lo = hi
+
+    def cut(ids: _Ids, key: pa.Array, text: pa.Array) -> pa.RecordBatch:
+        # Each distinct chunk is looked up once; the ids are then gathered by position.
+        split = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_trim_whitespace(text), ""))
+        flat = split.flatten().dictionary_encode()
+        counts = np.diff(split.offsets.to_numpy())
+        known = ids.of(flat.dictionary.to_pylist()) + [np.array([end_id], "<u4").tobytes(), b""]
+        sizes = np.array([len(x) // 4 for x in known], np.int64)
+        pool, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        ends = np.cumsum(counts + 1)
+        codes = np.full(int(ends[-1]) if len(ends) else 0, len(known) - 2, np.int64)
+        inner = np.ones(len(codes), bool)
+        inner[ends - 1] = False
+        codes[inner] = flat.indices.to_numpy(zero_copy_only=False)
+        each = sizes[codes]
+        upto = np.cumsum(each)
+        out = pool[np.repeat(begin[codes] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        stop = upto[ends - 1]
+        total = np.diff(stop, prepend=0)
+        pieces = -(-total // capacity)
+        rows = np.repeat(np.arange(len(key)), pieces)
+        piece = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(capacity, total[rows] - start)
+        at = (stop - total)[rows] + start
+        crc = [zlib.crc32(out[a : a + n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+        cols = [key.take(pa.array(rows)), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
+        names = ["id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            cols.append(pa.array([out[a : a + n].astype("<i4") for a, n in zip(at.tolist(), length.tolist(), strict=True)], pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {PIECE_SCHEMA}" + ", ids array<int>" * with_ids)
