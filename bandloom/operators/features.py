@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,24 +111,50 @@ def trajectory_matching(pairs: DataFrame, budget: int = 1_000_000) -> DataFrame:
     """AG29: per sample the mean error by slot, by assignment of whole bands (per segment and over all), and by sorting at each k.
 
     ``pairs`` has ``sample_id, band, segment_id, k_idx, pred, target``, every band at every k. A
-    sample of more than ``budget`` cost elements is refused (nulls and a status). A sample is bounded
-    by that budget, so each is one group.
+    sample of more than ``budget`` cost elements is refused (nulls and a status). A task walks over
+    its sorted samples.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        sample = g["sample_id"].iloc[0]
-        p, t = (g.pivot(index="band", columns=["segment_id", "k_idx"], values=c).sort_index(axis=1) for c in ("pred", "target"))
-        status = "over budget" if len(p) ** 2 * p.shape[1] > budget else "incomplete" if p.isna().to_numpy().any() or t.isna().to_numpy().any() else "ok"
-        if status != "ok":
-            return pd.DataFrame({"sample_id": [sample], "status": [status], "slot": [None], "by_segment": [None], "overall": [None], "transport": [None]})
-        seg = p.columns.get_level_values(0).to_numpy()
-        a, b = p.to_numpy(float), t.to_numpy(float)
+    def one(rows: dict[str, np.ndarray]) -> tuple:
+        band, at, seg = rows["band"], rows["k_idx"], rows["segment_id"]
+        bands, n = np.unique(band), len(band)
+        if len(bands) ** 2 * (n // len(bands)) > budget:
+            return "over budget", None, None, None, None
+        grid = (-1, len(bands))
+        whole = n % len(bands) == 0 and (band.reshape(grid) == bands).all() and (at.reshape(grid) == at.reshape(grid)[:, :1]).all()
+        if not whole or not (np.isfinite(rows["pred"]) & np.isfinite(rows["target"])).all():
+            return "incomplete", None, None, None, None
+        a, b, seg = rows["pred"].reshape(grid).T, rows["target"].reshape(grid).T, seg.reshape(grid)[:, 0]
         match = lambda x, y: assignment(np.abs(x[:, None] - y[None]).sum(-1))
-        parts = sum(match(a[:, seg == s], b[:, seg == s]) for s in np.unique(seg))
-        return pd.DataFrame({"sample_id": [sample], "status": ["ok"], "slot": [np.abs(a - b).mean()], "by_segment": [parts / a.size], "overall": [match(a, b) / a.size], "transport": [np.abs(np.sort(a, 0) - np.sort(b, 0)).mean()]})
+        overall, ids = match(a, b), np.unique(seg)
+        parts = sum(match(a[:, seg == s], b[:, seg == s]) for s in ids) if len(ids) > 1 else overall
+        return "ok", np.abs(a - b).mean(), parts / a.size, overall / a.size, np.abs(np.sort(a, 0) - np.sort(b, 0)).mean()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def work(frame: pd.DataFrame) -> pd.DataFrame:
+            ids = frame["sample_id"].to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
+            cols = {c: frame[c].to_numpy(float if c in ("pred", "target") else None) for c in ("band", "segment_id", "k_idx", "pred", "target")}
+            got = [one({c: v[lo:hi] for c, v in cols.items()}) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pd.DataFrame([(ids[lo], *g) for lo, g in zip(cuts[:-1], got, strict=True)], columns=["sample_id", "status", "slot", "by_segment", "overall", "transport"])
+
+        for frame in frames:  # a sample may go on in the next frame
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            last = int(np.argmax(frame["sample_id"].to_numpy() == frame["sample_id"].iloc[-1]))
+            held = frame.iloc[last:]
+            if last:
+                yield work(frame.iloc[:last])
+        if held is not None:
+            yield work(held)
 
     kind = pairs.schema["sample_id"].dataType.simpleString()
-    return pairs.groupBy("sample_id").applyInPandas(run, f"sample_id {kind}, status string, slot double, by_segment double, overall double, transport double")
+    rows = pairs.select("sample_id", "band", "segment_id", "k_idx", F.col("pred").cast("double"), F.col("target").cast("double"))
+    dealt = rows.repartition("sample_id").sortWithinPartitions("sample_id", "segment_id", "k_idx", "band")
+    return dealt.mapInPandas(run, f"sample_id {kind}, status string, slot double, by_segment double, overall double, transport double")
 
 
 def derivative_eligibility(dims: Column, points: Column, segments: Column, unit: Column) -> Column:
