@@ -91,7 +91,7 @@ def range_search(vectors: np.ndarray, lists: list[np.ndarray], starts: int, radi
     return seen >= radius
 
 
-def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 700, overlap: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 250, overlap: int = 3, block_rows: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Rows ``(id, n_links, component_id, kept)``: vectors of equal labels linked by a cosine of ``threshold`` or more.
 
     Null labels, null or zero vectors, and vectors with null or non-finite components link with
@@ -100,8 +100,9 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 700, ov
     without an id are left out.
 
     Each label's vectors go to the shards of their ``overlap`` nearest pivots (about one pivot for
-    ``shard_rows`` vectors, sampled by hash). A shard that is larger than ``4 * shard_rows`` is cut into blocks, and each pair of
-    blocks has a graph of its own, so a label or a cluster with a third of all rows stays bounded.
+    ``shard_rows`` vectors, sampled by hash), so a shard's expected size doesn't grow with the input.
+    A shard of more than ``block_rows`` is cut into blocks, and each pair of blocks has a graph of
+    its own, so a label or a cluster with a third of all rows stays bounded.
     Adjacency lists of a vector's graphs are united before the search. A link that is found in
     several shards counts in the smallest shard that both ends share; every link is verified in
     double precision. A graph returns counts and a spanning forest, no pairs.
@@ -138,7 +139,7 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 700, ov
     pivots = share.filter(unit_hash("rep", F.lit(5)) * F.col("m") < F.ceil(F.col("m") / shard_rows)).select("rep", "n", "v", "space", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("pivot"))
     placed = table(map_groups(members.union(pivots), ["space", "part"], assign, f"rep {kind}, n long, v array<double>, space string, shards array<long>"), "vec-shards")
     each = placed.withColumn("shard", F.explode("shards"))
-    sizes = each.groupBy("space", "shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (4 * shard_rows))).cast("int").alias("blocks"))
+    sizes = each.groupBy("space", "shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"))
     cells = each.join(sizes, ["space", "shard"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", "shard", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "v", "shards")
     by = ["space", "shard", "p", "q"]
