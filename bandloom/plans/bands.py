@@ -250,7 +250,7 @@ def _fn1(spark, sf_dir):
 
 
 @query("jn16_nearest_sample", f"""WITH {POINTS},
-l AS (SELECT DISTINCT path_id, CAST(v AS VARCHAR) AS label, v * 1.0 AS label_k FROM p, (SELECT unnest([0, 150, 333, 500]) AS v)),
+l AS (SELECT DISTINCT path_id, CAST(v AS VARCHAR) AS label, CAST(v AS DOUBLE) AS label_k FROM p, (SELECT unnest([0, 150, 333, 500]) AS v)),
 j AS (SELECT l.*, k_idx, abs(k - label_k) AS off, row_number() OVER (PARTITION BY path_id, label ORDER BY abs(k - label_k), k_idx) AS r FROM l JOIN p USING (path_id))
 SELECT path_id, label, label_k, k_idx, round(off, 8) AS off FROM j WHERE r = 1""")
 def _jn16(spark, sf_dir):

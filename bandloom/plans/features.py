@@ -69,7 +69,7 @@ def _key11(spark, sf_dir):
     return p.select("path_id", X.content_fingerprint(F.transform("x", lambda v: v["k"]), F.array(F.transform("x", lambda v: v["energy"]))).alias("fingerprint"))
 
 
-@query("fn16_pixel_trace", "SELECT event_id, round(CASE WHEN user_id % 6 = 0 OR value > 200 THEN NULL ELSE (value - 0.5) / 199.5 END, 9) AS k, round(CASE WHEN user_id % 6 = 0 OR value > 200 THEN NULL ELSE (event_id % 50 - 10) * -0.1 END, 9) + 0 AS energy, CASE WHEN user_id % 6 = 0 THEN 'anchors coincide' WHEN value > 200 THEN 'outside the k interval' END AS problem FROM events WHERE value >= 0.5")
+@query("fn16_pixel_trace", "SELECT event_id, round(CASE WHEN user_id % 6 = 0 OR value > 200 THEN NULL ELSE (value - 0.5) / 199.5 END, 9) AS k, round(CASE WHEN user_id % 6 = 0 OR value > 200 THEN NULL ELSE (event_id % 50 - 10) * CAST(-0.1 AS DOUBLE) END, 9) + 0 AS energy, CASE WHEN user_id % 6 = 0 THEN 'anchors coincide' WHEN value > 200 THEN 'outside the k interval' END AS problem FROM events WHERE value >= 0.5")
 def _fn16(spark, sf_dir):
     e = read(spark, sf_dir, "events").filter("value >= 0.5")
     pts = e.select("event_id", F.col("value").alias("x"), (F.col("event_id") % 50).cast("double").alias("y"))
@@ -77,7 +77,7 @@ def _fn16(spark, sf_dir):
     return X.pixel_trace(pts, anchors, "event_id").select("event_id", F.round("k", 9).alias("k"), (F.round("energy", 9) + F.lit(0)).alias("energy"), "problem")
 
 
-@query("src8_mesh_document", "SELECT s_suppkey AS id, 1 AS spin, k AS k_idx, b AS band_idx, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal + k * 2 + b END AS energy, CASE WHEN s_suppkey % 5 > 0 THEN 1.0 - b END AS occupancy, 0.5 AS weight, 'ok' AS status FROM supplier, (SELECT CAST(unnest(range(2)) AS INT) AS k), (SELECT CAST(unnest(range(2)) AS INT) AS b) WHERE s_suppkey % 5 > 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, NULL, NULL, 'not a uniform mesh' FROM supplier WHERE s_suppkey % 5 = 0")
+@query("src8_mesh_document", "SELECT s_suppkey AS id, 1 AS spin, k AS k_idx, b AS band_idx, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal + k * 2 + b END AS energy, CASE WHEN s_suppkey % 5 > 0 THEN CAST(1.0 - b AS DOUBLE) END AS occupancy, CAST(0.5 AS DOUBLE) AS weight, 'ok' AS status FROM supplier, (SELECT CAST(unnest(range(2)) AS INT) AS k), (SELECT CAST(unnest(range(2)) AS INT) AS b) WHERE s_suppkey % 5 > 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, NULL, NULL, 'not a uniform mesh' FROM supplier WHERE s_suppkey % 5 = 0")
 def _src8(spark, sf_dir):
     s = F.col("s_acctbal")
     r = lambda k, b: F.concat(F.lit("<r>"), (s + (k * 2 + b)).cast("string"), F.lit(f" {1.0 - b}</r>"))

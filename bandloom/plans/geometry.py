@@ -10,7 +10,7 @@ from ..operators import retrieval as R
 from ..registry import query, read
 from .keys import PARTS_SQL, formulas
 
-CELL = "s AS (SELECT p_partkey AS id, 3.0 + p_size % 5 * 0.5 AS a, 4.0 + p_partkey % 7 * 0.25 AS b, 5.0 + p_partkey % 3 AS c, 90.0 AS al, 90.0 + p_size % 3 * 5 AS be, CASE WHEN p_partkey % 50 = 0 THEN 181.0 ELSE 90.0 + p_partkey % 4 * 10 END AS ga FROM part)"
+CELL = "s AS (SELECT p_partkey AS id, CAST(3.0 + p_size % 5 * 0.5 AS DOUBLE) AS a, CAST(4.0 + p_partkey % 7 * 0.25 AS DOUBLE) AS b, CAST(5.0 + p_partkey % 3 AS DOUBLE) AS c, CAST(90.0 AS DOUBLE) AS al, CAST(90.0 + p_size % 3 * 5 AS DOUBLE) AS be, CAST(CASE WHEN p_partkey % 50 = 0 THEN 181.0 ELSE 90.0 + p_partkey % 4 * 10 END AS DOUBLE) AS ga FROM part)"
 LAT = CELL + """, t AS (SELECT *, cos(radians(al)) AS ca, cos(radians(be)) AS cb, cos(radians(ga)) AS cg, sin(radians(ga)) AS sg FROM s), u AS (SELECT *, c * (ca - cb * cg) / sg AS cy FROM t), w AS (SELECT *, c * c - c * c * cb * cb - cy * cy AS sq FROM u),
 l AS (SELECT id, a, b * cg AS bx, b * sg AS b_y, c * cb AS cx, cy, sqrt(greatest(sq, 0)) AS cz, sg > 1e-9 AND sq > 1e-12 AS ok FROM w)"""
 
