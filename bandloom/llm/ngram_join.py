@@ -33,7 +33,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return got

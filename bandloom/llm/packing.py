@@ -30,7 +30,7 @@ class _Ids(dict):
     tables have a bound; of the words, the older half goes when it is reached.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -44,7 +44,7 @@ class _Ids(dict):
 
     def of(self, chunks: list[str]) -> list[bytes]:
         """Ids of distinct chunks."""
-        if len(self) > self.most:
+        if len(self) > self.most // 4:
             self.clear()
         if len(self.words) > self.most:
             self.words, self.older = {}, self.words
