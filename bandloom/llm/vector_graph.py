@@ -10,41 +10,42 @@ from pyspark.sql import functions as F
 from .common import connected_components, map_groups, table, unit_hash
 
 
-def robust_prune(sims: np.ndarray, degree: int, alpha: float, pool: int) -> np.ndarray:
-    """Neighbours of each node (rows; -1 fills) from its ``pool`` nearest, pruned by occlusion.
+def robust_prune(vectors: np.ndarray, rows: np.ndarray, degree: int, alpha: float, pool: int) -> np.ndarray:
+    """Neighbours of the nodes ``rows`` (-1 fills) from each one's ``pool`` nearest, pruned by occlusion.
 
     The nearest candidate left becomes a neighbour and drops every candidate that is ``alpha`` times
     nearer to it than to the node, by squared distance of unit vectors; so long edges survive.
     """
-    n = len(sims)
-    pool = min(pool, n - 1)
-    own = sims.copy()
-    np.fill_diagonal(own, -np.inf)
+    pool = min(pool, len(vectors) - 1)
+    out = np.full((len(rows), degree), -1, np.int32)
     if pool < 1:
-        return np.full((n, 1), -1, np.int32)
-    cand = np.argpartition(-own, pool - 1, axis=1)[:, :pool]
-    near = np.take_along_axis(own, cand, 1)
-    order = np.argsort(-near, axis=1, kind="stable")
-    cand, near = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1)
-    alive, out, rows = np.ones(cand.shape, bool), np.full((n, degree), -1, np.int32), np.arange(n)
-    for k in range(degree):
-        pick = alive.argmax(1)
-        ok = alive[rows, pick]
-        if not ok.any():
-            break
-        chosen = cand[rows, pick]
-        out[ok, k] = chosen[ok]
-        alive[rows, pick] = False
-        between = sims[chosen[:, None], cand]
-        alive &= ~(ok[:, None] & (alpha * (1 - between) <= 1 - near))
+        return out
+    for lo in range(0, len(rows), 256):
+        own = rows[lo : lo + 256]
+        sims, line = vectors[own] @ vectors.T, np.arange(len(own))
+        sims[line, own] = -np.inf
+        cand = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
+        near = np.take_along_axis(sims, cand, 1)
+        order = np.argsort(-near, axis=1, kind="stable")
+        cand, near = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1)
+        alive, x = np.ones(cand.shape, bool), vectors[cand]
+        between = x @ x.transpose(0, 2, 1)
+        for k in range(degree):
+            pick = alive.argmax(1)
+            ok = alive[line, pick]
+            if not ok.any():
+                break
+            out[lo : lo + 256, k][ok] = cand[line, pick][ok]
+            alive[line, pick] = False
+            alive &= ~(ok[:, None] & (alpha * (1 - between[line, pick]) <= 1 - near))
     return out
 
 
-def build_graph(vectors: np.ndarray, degree: int = 24, alpha: float = 1.2, pool: int = 64) -> list[np.ndarray]:
-    """Adjacency lists of one shard: robust-pruned edges and their reverses, and a ring that connects all."""
+def build_graph(vectors: np.ndarray, rows: np.ndarray, degree: int = 24, alpha: float = 1.2, pool: int = 64) -> list[np.ndarray]:
+    """Adjacency lists of one shard: robust-pruned edges of ``rows`` and their reverses, and a ring that connects all."""
     n = len(vectors)
-    out = robust_prune(vectors @ vectors.T, degree, alpha, pool)
-    src, dst = np.repeat(np.arange(n), out.shape[1]), out.reshape(-1)
+    out = robust_prune(vectors, rows, degree, alpha, pool)
+    src, dst = np.repeat(rows, out.shape[1]), out.reshape(-1)
     ok = dst >= 0
     ring = np.arange(n)
     a = np.concatenate([src[ok], dst[ok], ring, (ring + 1) % n])
@@ -55,40 +56,59 @@ def build_graph(vectors: np.ndarray, degree: int = 24, alpha: float = 1.2, pool:
     return np.split(b[keep], np.cumsum(np.bincount(a[keep], minlength=n))[:-1])
 
 
-def range_search(vectors: np.ndarray, lists: list[np.ndarray], starts: int, radius: float, beam: int = 32) -> np.ndarray:
-    """Cells (query, node) visited with a similarity of ``radius`` or more, for all nodes as queries.
+def range_search(vectors: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, starts: int, radius: float, beam: int = 32) -> np.ndarray:
+    """Cells (query, node) visited with a similarity of ``radius`` or more, for the nodes ``queries``.
 
-    Greedy: each query starts at the medoid and expands its nearest unexpanded node, until it has
-    expanded ``beam`` nodes and none of the unexpanded lies within the radius; so the search goes on
-    through all that is in range. All queries take their steps side by side.
+    Greedy: each query starts at the medoid and at its own node and expands its nearest unexpanded
+    node, ``beam`` times; then all unexpanded nodes within the radius at once, until there are none.
+    All queries take their steps side by side.
     """
     n = len(vectors)
     width = max((len(x) for x in lists), default=0) or 1
     links = np.full((n, width), -1, np.int32)
     for i, x in enumerate(lists):
         links[i, : len(x)] = x
-    seen = np.full((n, n), -np.inf, np.float32)  # similarity of visited nodes
-    todo = np.full((n, n), -np.inf, np.float32)  # of those not yet expanded
-    seen[:, starts] = todo[:, starts] = vectors @ vectors[starts]
-    live, done = np.arange(n), 0
-    while len(live):
-        best = todo[live].argmax(1)
-        value = todo[live, best]
-        go = np.isfinite(value) & ((value >= radius) | (done < beam))
-        live, best = live[go], best[go]
-        if not len(live):
-            break
-        todo[live, best] = -np.inf
-        nodes = links[best]
-        for lo in range(0, len(live), 512):
-            q, x = live[lo : lo + 512], nodes[lo : lo + 512]
-            new = (x >= 0) & np.isneginf(seen[q[:, None], x])
-            r, c = np.nonzero(new)
-            to = x[r, c]
-            sims = np.einsum("ij,ij->i", vectors[q[r]], vectors[to])
-            seen[q[r], to] = todo[q[r], to] = sims
-        done += 1
-    return seen >= radius
+    found = np.zeros((len(queries), n), bool)
+    for lo in range(0, len(queries), 512):
+        own = queries[lo : lo + 512]
+        line, sims = np.arange(len(own)), vectors[own] @ vectors.T
+        seen, todo = np.zeros(sims.shape, bool), np.full(sims.shape, -np.inf, np.float32)
+        for at in (np.full(len(own), starts), own):
+            seen[line, at], todo[line, at] = True, sims[line, at]
+        live = line
+        for _ in range(beam):
+            best = todo[live].argmax(1)
+            go = np.isfinite(todo[live, best])
+            live, best = live[go], best[go]
+            if not len(live):
+                break
+            todo[live, best] = -np.inf
+            x = links[best]
+            r, c = np.nonzero((x >= 0) & ~seen[live[:, None], x])
+            q, to = live[r], x[r, c]
+            seen[q, to], todo[q, to] = True, sims[q, to]
+        while True:
+            q, node = np.nonzero(todo >= radius)
+            if not len(q):
+                break
+            todo[q, node] = -np.inf
+            for k in range(0, len(q), 50_000):
+                x, r = links[node[k : k + 50_000]], q[k : k + 50_000]
+                i, c = np.nonzero((x >= 0) & ~seen[r[:, None], x])
+                to = x[i, c]
+                seen[r[i], to], todo[r[i], to] = True, sims[r[i], to]
+        found[lo : lo + 512] = seen & (sims >= radius)
+    return found
+
+
+def spread_pivots(pivots: np.ndarray, angle: float) -> np.ndarray:
+    """Places of the unit vectors that are kept, in their order: none lies within ``angle`` of an earlier kept one."""
+    free, kept = np.ones(len(pivots), bool), []
+    for i in range(len(pivots)):
+        if free[i]:
+            kept.append(i)
+            free &= pivots @ pivots[i] < np.cos(min(angle, np.pi))
+    return np.array(kept, np.int64)
 
 
 def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 250, overlap: int = 3, block_rows: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -99,13 +119,16 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 250, ov
     label are one node with a count. Rows that repeat an id count as rows and share a result; rows
     without an id are left out.
 
-    Each label's vectors go to the shards of their ``overlap`` nearest pivots (about one pivot for
-    ``shard_rows`` vectors, sampled by hash), so a shard's expected size doesn't grow with the input.
+    Pivots are about one for ``shard_rows`` vectors of a label, sampled by hash, less those within
+    three link angles of another, so a tight cluster has one. A vector is at home in the shard of
+    its nearest pivot and a guest in those of its ``overlap`` nearest and of all that are at most
+    one link angle farther than the nearest. By the triangle inequality, of two linked vectors the one that
+    is farther from its pivot is in the other's home shard, so no link is lost between shards; where
+    vectors are spread evenly, guests make up much of a label. Only those at home are searched for.
     A shard of more than ``block_rows`` is cut into blocks, and each pair of blocks has a graph of
     its own, so a label or a cluster with a third of all rows stays bounded.
-    Adjacency lists of a vector's graphs are united before the search. A link that is found in
-    several shards counts in the smallest shard that both ends share; every link is verified in
-    double precision. A graph returns counts and a spanning forest, no pairs.
+    Adjacency lists of a vector's graphs are united before the search. A link counts in the
+    home shard of the end that is nearer to its pivot; every link is verified in double precision. A graph returns counts and a spanning forest, no pairs.
     """
     kind = df.schema[id_col].dataType.simpleString()
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -120,41 +143,50 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 250, ov
     reps = classes.select("rep", "n", "v", F.concat_ws("|", "label", F.size("v").cast("string")).alias("space"))
     share = reps.join(counts.select("space", "m"), "space")
 
+    reach = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def unit(frame: pd.DataFrame) -> np.ndarray:
+        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
     # Vectors are dealt to parts; each part of a label also gets the label's pivots, once.
     def assign(frame: pd.DataFrame) -> pd.DataFrame | None:
         pivot = frame["pivot"].to_numpy()
         found, frame = frame[pivot].sort_values("rep"), frame[~pivot]
         if not len(frame):
             return None
-        near = np.zeros((len(frame), 1), np.int64)
+        shards, home, far = [[0]] * len(frame), np.zeros(len(frame), np.int64), np.zeros(len(frame))
         if len(found):
-            x, p = (np.stack(f["v"].to_numpy()) for f in (frame, found))
-            x, p = (y / np.linalg.norm(y, axis=1, keepdims=True) for y in (x, p))
-            near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :overlap]
-        return frame.assign(shards=list(np.sort(near, axis=1)))
+            x, p = (unit(f) for f in (frame, found))
+            p = p[spread_pivots(p, 3 * reach)]
+            shards = []
+            for lo in range(0, len(x), 512):
+                angle = np.arccos(np.clip(x[lo : lo + 512] @ p.T, -1, 1))
+                least = angle.min(axis=1)
+                home[lo : lo + 512], far[lo : lo + 512] = angle.argmin(axis=1), least
+                inside = angle <= least[:, None] + reach + 1e-6
+                np.put_along_axis(inside, np.argsort(angle, axis=1, kind="stable")[:, :overlap], True, 1)
+                shards += [np.flatnonzero(row) for row in inside]
+        return frame.assign(shards=shards, home=home, far=far)
 
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / 4000)).cast("int")
     share = share.withColumn("parts", parts)
     members = share.select("rep", "n", "v", "space", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("pivot"))
     pivots = share.filter(unit_hash("rep", F.lit(5)) * F.col("m") < F.ceil(F.col("m") / shard_rows)).select("rep", "n", "v", "space", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("pivot"))
-    placed = table(map_groups(members.union(pivots), ["space", "part"], assign, f"rep {kind}, n long, v array<double>, space string, shards array<long>"), "vec-shards")
-    each = placed.withColumn("shard", F.explode("shards"))
+    placed = table(map_groups(members.union(pivots), ["space", "part"], assign, f"rep {kind}, n long, v array<double>, space string, shards array<long>, home long, far double"), "vec-shards")
+    each = placed.withColumn("shard", F.explode("shards")).withColumn("home", F.col("home") == F.col("shard"))
     sizes = each.groupBy("space", "shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"))
     cells = each.join(sizes, ["space", "shard"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", "shard", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "v", "shards")
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", "shard", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "v", "home", "far")
     by = ["space", "shard", "p", "q"]
 
-    def unit(frame: pd.DataFrame) -> np.ndarray:
-        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["rep"].to_numpy()
-        lists = build_graph(unit(frame).astype(np.float32))
+        lists = build_graph(unit(frame).astype(np.float32), np.flatnonzero(frame["home"].to_numpy(bool)))
         return pd.DataFrame({"space": frame["space"], "rep": ids, "near": [ids[x] for x in lists]})
 
-    edges = map_groups(cells.drop("n", "shards"), by, build, f"space string, rep {kind}, near array<{kind}>")
+    edges = map_groups(cells.drop("n", "far"), by, build, f"space string, rep {kind}, near array<{kind}>")
     united = edges.groupBy("space", "rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = table(united, "vec-graph")
 
@@ -165,21 +197,27 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 250, ov
         x, ids = unit(frame), frame["rep"].to_numpy()
         at = {r: i for i, r in enumerate(ids.tolist())}
         lists = [np.array([at[y] for y in near if y in at], np.int64) if near is not None else np.zeros(0, np.int64) for near in frame["near"]]
-        medoid = int((x @ x.mean(0)).argmax())
-        link = range_search(x.astype(np.float32), lists, medoid, threshold - 1e-4)
-        link |= link.T
-        np.fill_diagonal(link, False)
-        a, b = np.nonzero(np.triu(link))
-        ok = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+        home, far = frame["home"].to_numpy(bool), frame["far"].to_numpy()
+        queries = np.flatnonzero(home)
+        if not len(queries):
+            return None
+        medoid = int(queries[(x[queries] @ x.mean(0)).argmax()])
+        link = range_search(x.astype(np.float32), lists, queries, medoid, threshold - 1e-4)
+        line, at = far[queries, None], queries[:, None]
+        link &= home | (line < far) | ((line == far) & (at < np.arange(len(x))))
+        link[:, queries] = np.triu(link[:, queries] | link[:, queries].T, 1)
         own, p, q = frame["own"].to_numpy(), int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
         if p != q:
-            ok &= own[a] != own[b]
+            link &= own[queries, None] != own
+        a, b = np.nonzero(link)
+        a = queries[a]
+        ok = np.zeros(len(a), bool)
+        for lo in range(0, len(a), 100_000):
+            ok[lo : lo + 100_000] = np.einsum("ij,ij->i", x[a[lo : lo + 100_000]], x[b[lo : lo + 100_000]]) >= threshold
         a, b = a[ok], b[ok]
         if not len(a):
             return None
-        shard, shards = int(frame["shard"].iloc[0]), [set(map(int, s)) for s in frame["shards"]]
-        first = np.fromiter((min(shards[i] & shards[j]) == shard for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
-        a, b, n = a[first], b[first], frame["n"].to_numpy(np.int64)
+        n = frame["n"].to_numpy(np.int64)
         total = np.zeros(len(frame), np.int64)
         np.add.at(total, a, n[b])
         np.add.at(total, b, n[a])

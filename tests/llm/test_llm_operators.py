@@ -414,6 +414,21 @@ def test_near_links(spark):
     assert near_links(df.limit(0)).count() == 0
 
 
+def test_near_links_of_a_cluster_with_many_pivots(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(900, 16)) * 0.14, rng.normal(size=(600, 16))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.98
+    np.fill_diagonal(link, False)
+    assert link.sum() > 100_000
+    for rows, block in ((20, 2000), (20, 300), (250, 2000)):
+        got = {r["id"]: r["n_links"] for r in near_links(df, shard_rows=rows, block_rows=block).collect()}
+        n = np.array([got[i] for i in range(len(x))])
+        assert (n <= link.sum(1)).all()
+        assert n.sum() >= 0.999 * link.sum()
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 1200 + "é\r\n\r\nWARC/1.1</p>"
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, big), (4, "http://c\r\nX: y", None), (5, "http://d", ""), (6, "http://e", "short"), (7, "http://f", "short"), (8, "u", "y" * 2000), (8, "u", "y" * 2000), (None, "n", "z" * 1500)]
