@@ -47,12 +47,12 @@ class Prefixes:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: ``(first window, windows, anchor - first, gram hash, block hash)``.
+    """Runs of windows with one anchor: ``(first window, windows, anchor - first, gram hash, block digest in two halves)``.
 
     ``data`` holds texts up to ``ends``. A window's anchor is its gram of least hash, the leftmost of
     equal ones, so equal windows have equal grams at the same place; a run's block is all its bytes.
     """
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     n = len(data) - window + 1
     if n < 1:
         return none
@@ -85,8 +85,10 @@ def anchors(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray
     last[:-1] = new[1:] | ~ok[1:]
     first, final = np.flatnonzero(new & ok), np.flatnonzero(last & ok)
     m, off = final - first + 1, at[first] - first
-    block = _mix(Prefixes(data).hash(first, m + window - 1) + (m * 256 + off).astype(np.uint64))
-    return first, m, off, x[at[first]], block
+    raw = memoryview(np.ascontiguousarray(data))
+    told = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + m + window - 1).tolist(), strict=True)])
+    block = np.frombuffer(told, "<u8").reshape(-1, 2)
+    return first, m, off, x[at[first]], block[:, 0] + (m * 256 + off).astype(np.uint64), block[:, 1]
 
 
 def _batch(kind, kg, id_, start, m, off, **more) -> pa.RecordBatch:
@@ -101,17 +103,18 @@ def _sketch(window: int):
     """Task: anchors (kind 0) of all texts; of equal blocks in one stretch only the first, the others as covered (kind 1)."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, start, m, off, kg, bh = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((start, ids, bh, kg))
-        ids, start, m, off, kg, bh = (c[order] for c in (ids, start, m, off, kg, bh))
+        ids, start, m, off, kg, bh, bi = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((start, ids, bi, bh, kg))
+        ids, start, m, off, kg, bh, bi = (c[order] for c in (ids, start, m, off, kg, bh, bi))
         new = np.ones(len(kg), bool)
-        new[1:] = (kg[1:] != kg[:-1]) | (bh[1:] != bh[:-1])
+        new[1:] = (kg[1:] != kg[:-1]) | (bh[1:] != bh[:-1]) | (bi[1:] != bi[:-1])
         again = np.zeros(len(kg), bool)
         again[1:] = ~new[1:] & (ids[1:] == ids[:-1]) & (start[1:] == start[:-1])
         dup = ~new & ~again
-        yield _batch(0, kg[new].view(np.int64), ids[new], start[new], m[new], off[new], bh=pa.array(bh[new].view(np.int64)))
+        yield _batch(0, kg[new].view(np.int64), ids[new], start[new], m[new], off[new], bh=pa.array(bh[new].view(np.int64)), bi=pa.array(bi[new].view(np.int64)))
         if dup.any():
-            yield _batch(1, 0, ids[dup], start[dup], m[dup] + window - 1, 0, bh=pa.array(np.zeros(int(dup.sum()), np.int64)))
+            zero = pa.array(np.zeros(int(dup.sum()), np.int64))
+            yield _batch(1, 0, ids[dup], start[dup], m[dup] + window - 1, 0, bh=zero, bi=zero)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -121,10 +124,10 @@ def _sketch(window: int):
 
             def sketch() -> tuple[np.ndarray, ...]:
                 ends = np.cumsum([len(x) for x in raw])
-                first, m, off, kg, bh = anchors(np.frombuffer(b"".join(raw), np.uint8), ends, window)
+                first, m, off, kg, bh, bi = anchors(np.frombuffer(b"".join(raw), np.uint8), ends, window)
                 doc = np.searchsorted(ends, first, side="right")
                 start = first - np.concatenate([[0], ends[:-1]])[doc] + np.array(base, np.int64)[doc]
-                return np.array(owner, np.int64)[doc], start, m, off, kg, bh
+                return np.array(owner, np.int64)[doc], start, m, off, kg, bh, bi
 
             for i, text in enumerate(batch.column(1).to_pylist()):
                 data = (text or "").encode()
@@ -159,9 +162,9 @@ def _repeats(window: int, hot: int):
         carry: list[np.ndarray] | None = None
 
         def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            kg, bh, ids, start, m, off = cols
+            kg, bh, bi, ids, start, m, off = cols
             new = np.ones(len(kg), bool)
-            new[1:] = (kg[1:] != kg[:-1]) | (bh[1:] != bh[:-1])
+            new[1:] = (kg[1:] != kg[:-1]) | (bh[1:] != bh[:-1]) | (bi[1:] != bi[:-1])
             later = np.zeros(len(kg), bool)
             later[1:] = ~new[1:] & ((ids[1:] != ids[:-1]) | (start[1:] != start[:-1]))
             if later.any():
@@ -179,7 +182,7 @@ def _repeats(window: int, hot: int):
             done = c["kind"] == 1
             if done.any():
                 yield _batch(1, 0, c["id"][done], c["start"][done], c["m"][done], 0)
-            cols = [c[k][~done] for k in ("kg", "bh", "id", "start", "m", "off")]
+            cols = [c[k][~done] for k in ("kg", "bh", "bi", "id", "start", "m", "off")]
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
             if not len(cols[0]):
@@ -431,16 +434,17 @@ def suffix_dedup(df: DataFrame, window: int = 100, hot: int = 512, id_col: str =
 
     Every window has an anchor, the gram of least hash in it, so equal windows meet in the group of
     their gram. Runs of windows with one anchor are blocks (some three in a hundred bytes). Equal
-    blocks are combined in the task that reads them and then by gram: all but the first are covered.
+    blocks, told by a BLAKE2b digest of 128 bits of their bytes (no byte is compared), are combined in
+    the task that reads them and then by gram: all but the first are covered.
     Where a gram has several different blocks, the suffixes of their windows are sorted by
     ``suffix_sort``, equal neighbours are verified byte by byte, and all but the first of a run are
     covered. A gram with more than ``hot`` different blocks goes on as single windows dealt by
     content, combined before the shuffle, so no group is unbounded.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = docs.filter(F.col("id").isNotNull()).mapInArrow(_sketch(window), ROWS + ", bh long")
+    found = docs.filter(F.col("id").isNotNull()).mapInArrow(_sketch(window), ROWS + ", bh long, bi long")
     spread = F.when(F.col("kind") == 1, F.xxhash64("id")).otherwise(F.col("kg"))
-    dealt = found.withColumn("key", spread).repartition("key").sortWithinPartitions("kg", "bh", "id", "start").drop("key")
+    dealt = found.withColumn("key", spread).repartition("key").sortWithinPartitions("kg", "bh", "bi", "id", "start").drop("key")
     seen = table(dealt.mapInArrow(_repeats(window, hot), ROWS), "suffix-blocks")
     packed = docs.mapInArrow(_pack, "id long, packed binary")
     open_ = seen.filter("kind > 1").groupBy("id").agg(F.collect_list(F.struct("kind", "kg", "start", "m", "off")).alias("blocks"))

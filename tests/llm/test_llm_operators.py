@@ -260,6 +260,18 @@ def test_suffix_dedup(spark, hot):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and sum(b - a for a, b in r["spans"]) == r["n_removed"]
 
 
+def test_suffix_dedup_of_texts_made_to_collide(spark):
+    """Thue-Morse strings of 1,024 letters have one polynomial hash modulo 2**64 with their complements."""
+    letters = np.random.default_rng(6).integers(97, 123, 1600).astype(np.uint8).tobytes().decode()
+    turn = [i.bit_count() % 2 for i in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in turn) for flip in (0, 1))
+    docs = [(1, letters[:800] + x + letters[800:]), (2, letters[:800] + y + letters[800:])]
+    x, y = (Prefixes(np.frombuffer(s.encode(), np.uint8)) for s in (x, y))
+    assert x.hash(np.array([0]), 1024) == y.hash(np.array([0]), 1024)
+    got = suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), window=1500).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
 def test_suffix_dedup_edges(edge, none):
     rows = suffix_dedup(edge).collect()
     assert len(rows) == edge.count()
