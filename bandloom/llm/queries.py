@@ -66,8 +66,9 @@ def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a progressive JPEG, read back, with features of its RGB tensor."""
     from .media import decode_media, encode_media
 
-    media = encode_media(read(spark, sf_dir, "documents"))
-    return decode_media(media).withColumnRenamed("id", "doc_id")
+    media = table(encode_media(read(spark, sf_dir, "documents")), "media")
+    stored = table(decode_media(media, with_tensor=True).drop("payload"), "tensors")
+    return stored.drop("tensor").withColumnRenamed("id", "doc_id")
 
 
 def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -394,6 +395,21 @@ def test_media_column(edge, none):
     assert media.decode_media(media.encode_media(none)).count() == 0
 
 
+def test_media_and_tensors_are_stored(spark, tmp_path):
+    from bandloom.llm.queries import op7_progressive_jpeg
+
+    spark.createDataFrame([(1, "some text"), (2, "x" * 500), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.iterdir())
+    got = {r["doc_id"]: r for r in op7_progressive_jpeg(spark, str(tmp_path)).collect()}
+    new = {p.name.split("-")[0]: str(p) for p in set(root.iterdir()) - before}
+    assert set(new) == {"media", "tensors"} and "tensor" not in got[1]
+    assert {r["id"]: len(r["media"]) for r in spark.read.parquet(new["media"]).collect()} == {k: r["media_bytes"] for k, r in got.items()}
+    for r in spark.read.parquet(new["tensors"]).collect():
+        own = got[r["id"]]
+        assert len(r["tensor"]) == own["height"] * own["width"] * 3 and own["feature"].endswith(f"{zlib.crc32(r['tensor']):08x}")
+
+
 def test_near_links(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
