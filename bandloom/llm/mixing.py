@@ -61,28 +61,30 @@ def source_targets(sized: DataFrame, cycle: Sequence[float], most: float) -> lis
     return [{"source": r["source"], "size": s, "target": t} for r, s, t in zip(rows, sizes, got, strict=True)]
 
 
-def mix(df: DataFrame, shards: int = 8, blocks: int = 1024, seed: int = 7, cycle: Sequence[float] = (1, 2, 3), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(draws, plan)``: the drawn copies of rows, and one row for each source.
-
-    A source's rows are dealt by a hash of the id to ``blocks`` blocks. A source whose target is q
-    times its size gives every block floor(q) times and then, in an order permuted by hash, further
-    blocks up to the rest; of the block at the edge it gives the rows (by hash) that come nearest to
-    the rest, so a source misses its target by less than one row. These block quotas go down
-    ``quota_tree``; the shards then take disjoint runs of each source's permuted block copies, and
-    ``rank`` orders a shard locally by hash.
-
-    ``draws`` has the input's columns and ``size, source_size, target, copy int, shard int, rank
-    long``; a row drawn three times is there three times, one never drawn is absent. Input columns
-    of these names are replaced. Texts that are null or have no word have size 0 and are drawn with
-    their block. Rows of a null source form the last source; rows of a null id share one place in
-    the hash order. Rows that repeat an id are drawn together. Reruns agree. ``plan`` has at most
-    ``blocks`` rows a source and bounds every window here, so a source with a third of all rows is
-    no task of its own.
+def draw(df: DataFrame, shards: int = 8, block_rows: int = 4096, seed: int = 7, cycle: Sequence[float] = (1, 2, 3), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(rows, plan)``: every row with its draws, and one row for each source.
+
+    A source's rows are dealt by a hash of id, source and text to blocks, 1024 or one for ``block_rows``
+    rows of the table. A source whose target is q times its size gives every block floor(q) times and
+    then, in an order permuted by hash, further blocks up to the rest; of the block at the edge it
+    gives the rows (by hash) that come nearest to the rest, so a source misses its target by less than
+    one row. These block quotas go down ``quota_tree``; the shards then take disjoint runs of each
+    source's permuted block copies, and ``rank`` orders a shard locally by hash.
+
+    ``rows`` has the input's columns and ``size, source_size, target, draws array<struct<copy int, shard
+    int, rank long>>``, empty for a row that is never drawn; input columns of these names are replaced.
+    Texts that are null or have no word have size 0 and are drawn with their block. Rows of a null
+    source form the last source; a null id is a value like others. Rows that repeat an id are drawn each
+    by itself; of rows that are equal throughout it is open which is drawn. An empty table gives no
+    rows. Reruns agree. ``plan`` has a row a source; windows are over block sums, and over the rows of
+    one block of each source, so a source with a third of all rows is no task of its own.
     """
-    own = [c for c in df.columns if c not in ("size", "source_size", "target", "copy", "shard", "rank")]
-    blk = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).cast("int")
-    keyed = df.select(*own, (F.col(size_col) if size_col else words(text_col)).alias("size"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"), F.col(source_col).isNull().alias("__none"), blk.alias("__blk"))
-    spark = df.sparkSession
+    own = [c for c in df.columns if c not in ("size", "source_size", "target", "draws")]
+    spark, blocks = df.sparkSession, max(1024, -(-df.count() // block_rows))
+    key = F.xxhash64(id_col, source_col, text_col)
+    size = F.col(size_col) if size_col else words(text_col)
+    src = [F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"), F.col(source_col).isNull().alias("__none")]
+    keyed = df.select(*own, size.alias("size"), *src, key.alias("__key")).withColumn("__blk", F.pmod(F.xxhash64("__key", F.lit(seed)), F.lit(blocks)).cast("int"))
     sums = table(keyed.groupBy("__src", "__none", "__blk").agg(F.sum("size").alias("words")), "mix-blocks")
     known = source_targets(sums.select(F.when(~F.col("__none"), F.col("__src")).alias("source"), F.col("words").alias("size")), cycle, most)
     plan = [(r["source"] or "", r["source"] is None, r["size"], r["target"], int(r["target"] // r["size"]) if r["size"] else 0) for r in known]
@@ -93,8 +95,8 @@ def mix(df: DataFrame, shards: int = 8, blocks: int = 1024, seed: int = 7, cycle
     laid = laid.withColumn("upto", F.coalesce("upto", F.lit(0)).cast("double")).withColumn("more", edge - F.col("upto"))
     # More > 0: part or all of the block is drawn once again.
     laid = laid.withColumn("copies", F.col("full") + (F.col("more") > 0).cast("int"))
+    laid = laid.withColumn("room", F.when((F.col("more") > 0) & (F.col("more") < F.col("words")), F.col("more")))
     copies = laid.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    copies = copies.withColumn("room", F.when((F.col("copy") > F.col("full")) & (F.col("more") < F.col("words")), F.col("more")))
     order = Window.partitionBy("__src", "__none").orderBy(F.xxhash64("__blk", "copy", "__src", F.lit(seed + 2)), "__blk", "copy")
     ranked = table(copies.withColumn("place", F.row_number().over(order).cast("long")), "mix-copies")
     quotas = {(r["__src"], r["__none"]): r["n"] for r in ranked.groupBy("__src", "__none").agg(F.count("*").alias("n")).collect()}
@@ -102,11 +104,36 @@ def mix(df: DataFrame, shards: int = 8, blocks: int = 1024, seed: int = 7, cycle
     tree = quota_tree([quotas[k] for k in keys], shards, seed)
     cuts = spark.createDataFrame([(*k, [int(x) for x in np.cumsum(tree[:, i])]) for i, k in enumerate(keys)], "__src string, __none boolean, cuts array<long>")
     ranked = ranked.join(cuts, ["__src", "__none"]).withColumn("shard", F.size(F.filter("cuts", lambda c: c < F.col("place"))))
-    each = ranked.groupBy("__src", "__none", "__blk").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.collect_list(F.struct("copy", "shard", "room")).alias("__copies"))
-    inside = Window.partitionBy("__src", "__none", "__blk").orderBy(unit_hash(F.col(id_col), F.lit(seed + 3)), F.col(id_col))
-    drawn = keyed.join(each, ["__src", "__none", "__blk"]).withColumn("__upto", F.sum("size").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
-    # A row of the edge block is drawn if the larger half of it lies within the room.
-    near = lambda c: c["room"].isNull() | (F.col("__upto") - F.col("size") / 2 <= c["room"])
-    drawn = drawn.withColumn("__copy", F.explode(F.filter("__copies", near)))
-    draws = drawn.select(*own, "size", "source_size", "target", F.col("__copy.copy").alias("copy"), F.col("__copy.shard").alias("shard"), F.xxhash64(F.col(id_col), "__copy.copy", F.lit(seed + 4)).alias("rank"))
-    return draws, plan.select(F.when(~F.col("__none"), F.col("__src")).alias("source"), "source_size", "target")
+    each = table(ranked.groupBy("__src", "__none", "__blk").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("__copies"), F.first("full").alias("__full"), F.first("room").alias("__room")), "mix-plan")
+    # One block a source is drawn in part the last time: its rows alone are put in order.
+    here = ["__src", "__none", "__blk"]
+    edges = each.filter("__room is not null")
+    parts = spark.createDataFrame(edges.collect(), edges.schema)  # a row a source at most, as in the plan
+    inside = Window.partitionBy(*here).orderBy(unit_hash("__key", F.lit(seed + 3)), "__key").rowsBetween(Window.unboundedPreceding, 0)
+    cut = keyed.join(parts, here).withColumn("__upto", F.sum("size").over(inside))
+    # Such a row is drawn if the larger half of it lies within the room.
+    last = (F.col("__upto") - F.col("size") / 2 <= F.col("__room")).cast("int")
+    cut = cut.withColumn("__copies", F.slice("__copies", 1, F.col("__full") + last))
+    rest = keyed.join(parts.select(*here), here, "left_anti").join(each, here, "left")
+    rows = rest.select(*cut.drop("__upto").columns).unionByName(cut.drop("__upto"))
+    rank = lambda c: F.struct(c["copy"].alias("copy"), c["shard"].alias("shard"), F.xxhash64("__key", c["copy"], F.lit(seed + 4)).alias("rank"))
+    draws = F.transform(F.coalesce("__copies", F.array().cast("array<struct<copy:int,shard:int>>")), rank)
+    rows = rows.join(plan.drop("full"), ["__src", "__none"]).select(*own, "size", "source_size", "target", draws.alias("draws"))
+    return rows, plan.select(F.when(~F.col("__none"), F.col("__src")).alias("source"), "source_size", "target")
+
+
+def mix(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``(draws, plan)``: the drawn copies of rows by ``draw``, whose parameters and results for odd input hold.
+
+    ``draws`` has ``copy int, shard int, rank long`` in place of the list: a row drawn three times is
+    there three times, one never drawn is absent.
+    """
+    rows, plan = draw(df, **options)
+    own = [c for c in rows.columns if c not in ("copy", "shard", "rank", "draws")]
+    return rows.select(*own, F.inline("draws")), plan
+
+
+def in_order(draws: DataFrame, parts: int) -> DataFrame:
+    """The mix as it is to be written: every shard in ``parts`` ranges of ``rank``, each in its order."""
+    part = F.floor((F.shiftrightunsigned("rank", 11) / F.lit(float(1 << 53))) * parts)
+    return draws.withColumn("__part", part).repartition("shard", "__part").sortWithinPartitions("shard", "__part", "rank").drop("__part")

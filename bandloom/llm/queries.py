@@ -24,18 +24,17 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(~held_out("doc_id")))
     got = identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits")
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits", "most_bits")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that a mix of weights 1, 2, 3 takes of each document."""
-    from .mixing import mix, words
-
-    sized = table(read(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("size")), "mix-sized")
-    draws, plan = mix(sized, size_col="size")
-    taken = draws.groupBy("doc_id").agg(F.sum("size").alias("taken"))
-    plan = plan.select(F.col("source").alias("__s"), "source_size", "target")
-    return sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__s"))).join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """Words that a mix of weights 1, 2, 3 takes of each document, and the places of its draws in the shards."""
+    from .mixing import draw, words
+
+    sized = table(read(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"), words("text").alias("size")), "mix-sized")
+    rows, _ = draw(sized, size_col="size")
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, _: total + F.col("size"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,32 @@ def test_run_and_registration(spark, sf, stages):
     assert P.run(spark, sf).columns == stages["best_fit_pack"].columns
 
 
+def test_stages_of_nothing(spark, sf, tmp_path):
+    none = read(spark, sf, "documents").limit(0)
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, none, sf)
+        assert got.columns == P.COLUMNS and got.count() == 0
+    assert P.STAGES[-1][1](spark, none, sf).count() == 0
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_odd_rows(spark, sf):
+    """Null columns, empty and equal texts, one id on two texts, and extra columns with clashing names."""
+    long_ = "the " * 3000 + "end of it"
+    own = read(spark, sf, "documents").filter("lang = 'en'").first()["text"]
+    rows = [(1, own, "en", "a", 1), (1, own, "en", "a", 1), (1, "line one\nline two\nline three\nand four", None, None, None), (None, own + " more", None, "b", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (4, long_, "xx", "", 9)]
+    docs = spark.createDataFrame([(*r, 5, "clash", 0.5, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size int, n_lines string, score double, shard string")
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == P.COLUMNS
+    kept = [(r["doc_id"], r["text"]) for r in P.language_id(spark, docs, sf).collect()]
+    assert (2, None) not in kept and (3, "") not in kept and kept.count((1, own)) == 2 and (None, own + " more") in kept
+    lines = [(r["doc_id"], r["text"]) for r in P.dedup_lines(spark, docs, sf).collect()]
+    assert (1, "line one\nline two\nline three\nand four") in lines and (2, None) in lines and (None, own + " more") in lines
+    assert Counter(r["doc_id"] for r in P.pack_sequences(spark, docs, sf).filter("piece = 0").collect()) == Counter(r[0] for r in rows)
+
+
 def test_helpers(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).filter("a % 50 <> 49")
     got = {r["node"]: r["component"] for r in connected_components(chain).collect()}
