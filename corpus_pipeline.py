@@ -15,14 +15,11 @@ from pyspark.sql import functions as F
 from bandloom.llm.common import read, table
 from bandloom.llm.langid import fit, held_out, identify
 from bandloom.llm.line_dedup import line_dedup
-from bandloom.llm.mixing import mix
+from bandloom.llm.mixing import in_order, mix
 from bandloom.llm.ngram_join import keep_one
 from bandloom.llm.packing import pack, token_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bits a symbol from which no learned language explains a text better than even odds of 64 letters,
-#: and the characters that a text needs for such a verdict.
-FOREIGN, EVIDENCE = 6.0, 500
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -31,32 +28,52 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and long texts that no learned language explains; ``lang`` becomes the prediction.
+    """Rejects texts that are null or have no letter, and those that no learned language explains; ``lang`` becomes the prediction.
 
-    Learned from the labelled documents of ``sf_dir`` that are not held out.
+    Learned from the labelled documents of ``sf_dir`` that are not held out. A text goes if its bits a
+    symbol are over ``most_bits`` of ``identify``, a bound from labelled text that narrows with the
+    length and has no step. Equal texts are judged alike, repeated rows one by one; an empty table
+    stays empty; columns other than those of documents go.
     """
     model = fit(read(spark, sf_dir, "documents").filter(~held_out("doc_id")))
-    got = identify(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != "und") & ((F.col("bits") < FOREIGN) | (F.length("text") < EVIDENCE)))
+    got = identify(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != "und") & (F.col("bits") <= F.col("most_bits")))
     return got.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated windows of three lines go; a document of which nothing is left goes with them."""
+    """Repeated windows of three lines go; a document of which nothing is left goes with them.
+
+    Null and empty texts and texts of fewer than three lines stay as they are; of equal windows that of
+    the smallest id stays, of repeated rows the first; an empty table stays empty; columns other than
+    those of documents go.
+    """
     return _sized(line_dedup(docs.select(*COLUMNS)).filter((F.col("n_removed") == 0) | (F.length("text") > 0)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard similarity of 0.8 or more stays: the smallest id."""
+    """One document of each group of five-word Jaccard similarity of 0.8 or more stays: the smallest id.
+
+    Rows without an id, null texts and texts without words stay; of repeated rows one stays; an empty
+    table stays empty; columns other than those of documents go.
+    """
     return keep_one(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows drawn to the target weights; a document drawn twice is there twice."""
-    return mix(docs.select(*COLUMNS))[0].select(*COLUMNS)
+    """Rows drawn to the target weights, in the order of the mix's shards; a document drawn twice is there twice.
+
+    A null source is a source; texts without words are drawn with their block; an empty table stays
+    empty; columns other than those of documents go.
+    """
+    return in_order(mix(docs.select(*COLUMNS))[0], parts=1 + docs.count() // 100_000).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all rows in sequences of at most 4096 tokens."""
+    """Token pieces of all rows in sequences of at most 4096 tokens.
+
+    A null or empty text is one piece of the end id; each of repeated rows has pieces of its own; an
+    empty table gives no rows; columns other than the id and the text go.
+    """
     pieces = table(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pipeline-pieces")
     return pack(pieces.withColumnRenamed("id", "doc_id"))
 
