@@ -13,89 +13,122 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_groups
+from .common import byte_slices, map_groups
 
+#: Bytes of text that are looked up at once; a longer text goes alone.
+SLICE = 4_000_000
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
 #: Characters that the vocabulary's pattern keeps apart from letters, without the apostrophe of contractions.
-APART = ".,!?;:|$%&*#()[]{}<>=+@~^/\\\"_-"
+APART = r"[\-.,!?;:|$%&*#()\[\]{}<>=+@~^/\\\"_]*"
+#: A chunk of plain lower-case letters below U+0250 within such characters: what stands before, the letters, what stands after.
+PLAIN = f"^(?P<a>{APART})(?P<b>[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+)(?P<c>{APART})$"
 
 
-class _Ids(dict):
-    """Little-endian 32-bit ids of chunks without ASCII white space, found once and kept for a while.
+class _Ids:
+    """Ids of chunks without ASCII white space; those of their parts are found once and kept for a while.
 
-    Chunks of plain letters within ``APART`` characters are put together from their parts, since the
-    vocabulary drops case and never joins across such a border; so most words are encoded once. Both
-    tables have a bound; of the words, the older half goes when it is reached.
+    A ``PLAIN`` chunk is put together from its parts, since the vocabulary drops case and never joins
+    across such a border; so most words are encoded once. All other chunks, and those that hold a
+    special token's text, go to the tokenizer as they are. The table is an Arrow array of words and one
+    array of ids, some 40 bytes a word; when it has more than ``most`` words, the half that was not
+    used for longest goes.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.tok.encode_special_tokens = True
+        self.tok, self.most, self.clock = Tokenizer.from_file(path), most, 0
         vocabulary = self.tok.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def of(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks."""
-        if len(self) > self.most // 4:
-            self.clear()
-        if len(self.words) > self.most:
-            self.words, self.older = {}, self.words
-        parts: dict[str, tuple[str, ...]] = {}
-        want: set[str] = set()
-        odd: set[str] = set()
-        for chunk in chunks:
-            if chunk in self:
-                continue
-            low = chunk.lower()
-            core = low.strip(APART)
-            if core.isalpha() and (chunk.isascii() or max(chunk) < "\u0250"):
-                if len(core) == len(low):
-                    own = (core,)
-                else:
-                    lo = low.index(core)
-                    own = (low[:lo], core, low[lo + len(core) :])
-            else:
-                own = (chunk,)
-                odd.add(chunk)
-            parts[chunk] = own
-            want.update(own)
-        want.difference_update(self.words)
-        for x in want.intersection(self.older):
-            self.words[x] = self.older[x]
-        self.words[""] = b""
-        rest = list(want.difference(self.words, odd))
-        for lo in range(0, len(rest), 1000):  # each of these is one word of the vocabulary's pattern
-            part = rest[lo : lo + 1000]
-            got = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.words, self.pool = pa.array([""], pa.string()), np.zeros(0, np.uint32)
+        self.sizes, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def parts(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Distinct parts of the chunks, and for each chunk the places of its three (-1: none)."""
+        found = pc.extract_regex(pc.utf8_lower(chunks), PLAIN)
+        odd = pc.or_(pc.is_null(found), pc.match_substring(chunks, "\u0130"))
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(chunks, x))
+        cols = [pc.if_else(odd, "", pc.struct_field(found, k)) for k in range(3)]
+        cols[1] = pc.if_else(odd, chunks, cols[1])
+        flat = pa.chunked_array(cols).combine_chunks().dictionary_encode()
+        return flat.dictionary, flat.indices.to_numpy().reshape(3, -1)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Encode words that the table doesn't have yet; their places in it."""
+        plain = pc.match_substring_regex(words, "^[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+$").to_numpy(zero_copy_only=False)
+        rest, found, sizes = words.to_pylist(), [], np.zeros(len(words), np.int64)
+        line = np.flatnonzero(plain)
+        for lo in range(0, len(line), 1000):  # each of these is one word of the vocabulary's pattern
+            part = line[lo : lo + 1000]
+            got = np.array(self.tok.encode_batch_fast([" ".join([rest[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.last[got]) + 1
             if len(ends) != len(part):
-                odd.update(part)
+                plain[part] = False
                 continue
-            raw, at = got.tobytes(), 0
-            for x, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.words[x] = raw[at:end]
-                at = end
-        for x in odd.difference(self.words):
-            self.words[x] = np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.words
-        for chunk, own in parts.items():
-            self[chunk] = words[own[0]] if len(own) == 1 else words[own[0]] + words[own[1]] + words[own[2]]
-        return [self[c] for c in chunks]
+            found.append((part, got))
+            sizes[part] = np.diff(ends, prepend=0)
+        line = np.flatnonzero(~plain)
+        for lo in range(0, len(line), 1000):
+            part = line[lo : lo + 1000]
+            each = [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast([rest[i] for i in part], add_special_tokens=False)]
+            found.append((part, np.concatenate(each)))
+            sizes[part] = [len(x) for x in each]
+        order = np.concatenate([part for part, _ in found])
+        places = np.empty(len(order), np.int64)
+        places[order] = len(self.words) + np.arange(len(order))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
+        self.pool = np.concatenate([self.pool, *[ids for _, ids in found]])
+        self.sizes = np.concatenate([self.sizes, sizes[order]])
+        self.used = np.concatenate([self.used, np.full(len(order), self.clock)])
+        return places
+
+    def forget(self) -> None:
+        """Keep the half of the table that was used last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        keep = np.union1d(keep, [0])  # the empty part
+        inside = np.zeros(len(self.sizes), bool)
+        inside[keep] = True
+        self.pool = self.pool[np.repeat(inside, self.sizes)]
+        self.words, self.sizes, self.used = self.words.take(pa.array(keep)), self.sizes[keep], self.used[keep]
+
+    def of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, begin, sizes)``: ids of all distinct chunks in a row, and where those of each lie."""
+        self.clock += 1
+        if len(self.words) > self.most:
+            self.forget()
+        words, of = self.parts(chunks)
+        found = pc.index_in(words, self.words)
+        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        if found.null_count:
+            new = pc.is_null(found)
+            at[new.to_numpy(zero_copy_only=False)] = self.learn(words.filter(new))
+        self.used[at] = self.clock
+        at = at[of]  # three rows: the table's places of each chunk's parts
+        begin = np.cumsum(self.sizes) - self.sizes
+        each = self.sizes[at.T.reshape(-1)]
+        ids = self.pool[runs(begin[at.T.reshape(-1)], each)]
+        sizes = each.reshape(-1, 3).sum(1)
+        return ids, np.cumsum(sizes) - sizes, sizes
+
+
+def runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the runs of the given sizes, one run after the other."""
+    upto = np.cumsum(sizes)
+    out = np.arange(int(upto[-1]) if len(upto) else 0)
+    out += np.repeat(begin - (upto - sizes), sizes)
+    return out
 
 
 _KEPT: dict[str, _Ids] = {}
 
 
 def _ids(path: str) -> _Ids:
-    """This Python worker's tables; later tasks of the worker use them again."""
+    """This Python worker's table; later tasks of the worker use it again."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _KEPT:
         _KEPT.clear()
@@ -113,29 +146,26 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _ids(tokenizer_path)
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + 8_000_000, side="right")))
+            for lo, hi in byte_slices(batch.column(1), SLICE):
                 yield cut(ids, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
-                lo = hi
+                pa.default_memory_pool().release_unused()
 
     def cut(ids: _Ids, key: pa.Array, text: pa.Array) -> pa.RecordBatch:
         # Each distinct chunk is looked up once; the ids are then gathered by position.
         split = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_trim_whitespace(text), ""))
         flat = split.flatten().dictionary_encode()
         counts = np.diff(split.offsets.to_numpy())
-        known = ids.of(flat.dictionary.to_pylist()) + [np.array([end_id], "<u4").tobytes(), b""]
-        sizes = np.array([len(x) // 4 for x in known], np.int64)
-        pool, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        pool, begin, sizes = ids.of(flat.dictionary)
+        pool = np.append(pool, np.uint32(end_id))
+        begin, sizes = np.append(begin, len(pool) - 1), np.append(sizes, 1)
         ends = np.cumsum(counts + 1)
-        codes = np.full(int(ends[-1]) if len(ends) else 0, len(known) - 2, np.int64)
+        codes = np.full(int(ends[-1]) if len(ends) else 0, len(sizes) - 1, np.int32)
         inner = np.ones(len(codes), bool)
         inner[ends - 1] = False
-        codes[inner] = flat.indices.to_numpy(zero_copy_only=False)
+        codes[inner] = flat.indices.to_numpy()
         each = sizes[codes]
         upto = np.cumsum(each)
-        out = pool[np.repeat(begin[codes] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        out = pool[runs(begin[codes], each)]
         stop = upto[ends - 1]
         total = np.diff(stop, prepend=0)
         pieces = -(-total // capacity)
