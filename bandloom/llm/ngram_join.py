@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from fractions import Fraction
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_groups, table
+from .common import byte_slices, connected_components, map_groups, table
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,18 +71,24 @@ def signature(grams: np.ndarray, odd: np.ndarray, add: np.ndarray, bands: int, r
     return out.view(np.int64)
 
 
-def jaccard_links(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, hashes: int = 160, block: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(id, class_id, n_links)``: documents linked by a Jaccard similarity of word n-grams of ``threshold`` or more.
+def jaccard_links(df: DataFrame, **options) -> DataFrame:
+    """Rows ``(id, class_id, n_links)`` of ``text_classes``, whose parameters and results for odd input hold."""
+    return text_classes(df, **options).select("id", "class.id", "n_links").toDF("id", "class_id", "n_links")
 
-    ``class_id`` is the smallest id reachable by links, ``n_links`` the number of other rows linked
-    directly. Words are split at ASCII white space and kept as they are. Texts of fewer than ``n``
+
+def text_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, hashes: int = 160, block: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows ``(id, h, class, n_links)``: documents linked by a Jaccard similarity of word n-grams of ``threshold`` or more.
+
+    ``h`` is a hash of the text, ``class`` the smallest ``(id, h)`` reachable by links, ``n_links`` the
+    number of other rows linked directly. Words are split at ASCII white space and kept as they are. Texts of fewer than ``n``
     words have one n-gram of all their words; null texts and texts without words link with nothing,
     not even with each other, and are classes of their own. Ties and repeated rows: rows of equal
     n-gram sets are one node with a count, so copies are never paired. A row without an id has no
-    class and is left out; repeated ids count as rows and share a result.
+    class and is left out; rows that repeat an id are rows like others, each with its own text. An
+    empty table gives no rows; extra columns are ignored.
 
     MinHash bands (``band_plan``: at the threshold a pair meets with ``recall``) are shuffled on their
-    hashes; each bucket becomes a star around its smallest id, and components of stars hold all
+    hashes; each bucket becomes a star around its smallest set, and components of stars hold all
     candidates. A component is cut into blocks of about ``block`` documents, and each pair of blocks
     is compared by itself on full n-gram sets. A block pair returns link counts and a spanning
     forest of its links, never the pairs, so a group of thousands of near copies makes few rows,
@@ -92,37 +99,36 @@ def jaccard_links(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     kind = df.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         rng, known = np.random.default_rng(20_240), _Words()
         odd, add = rng.integers(0, 2**31, bands * rows).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, bands * rows).astype(np.uint32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo, hi in byte_slices(batch.column(2), 2_000_000):
+                part = batch.slice(lo, hi - lo)
                 sets, sigs = [], []
-                for t in part.column(1).to_pylist():
+                for t in part.column(2).to_pylist():
                     grams = shingles(t, known, n)
                     sets.append(hashlib.md5(grams.tobytes()).digest() if len(grams) else None)
                     sigs.append(signature(grams, odd, add, bands, rows) if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "set", "bands"])
-
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    marks = table(docs.mapInArrow(sketch, f"id {kind}, set binary, bands array<long>"), "ngram-bands")
-    sets = table(marks.filter("set is not null").groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "ngram-sets")
-    reps = marks.select("id", "set", "bands").join(sets.select("set", F.col("rep").alias("id")), ["set", "id"]).dropDuplicates(["id"])
-    buckets = reps.select("id", F.posexplode("bands").alias("band", "hash"))
-    stars = buckets.groupBy("band", "hash").agg(F.min("id").alias("b"), F.count("*").alias("m")).filter("m > 1").select("band", "hash", "b")
-    edges = buckets.join(stars, ["band", "hash"]).select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "h", "set", "bands"])
+
+    # A text is known by its id and hash, a node by the digest of its n-gram set.
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
+    marks = table(docs.mapInArrow(sketch, f"id {kind}, h long, set binary, bands array<long>"), "ngram-bands")
+    sets = table(marks.filter("set is not null").groupBy("set").agg(F.min(F.struct("id", "h")).alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "ngram-sets")
+    buckets = sets.select("set", F.posexplode("bands").alias("band", "hash"))
+    stars = buckets.groupBy("band", "hash").agg(F.min("set").alias("b"), F.count("*").alias("m")).filter("m > 1").select("band", "hash", "b")
+    edges = buckets.join(stars, ["band", "hash"]).select(F.col("set").alias("a"), "b").filter("a <> b").distinct()
     groups = connected_components(edges, "ngram-candidates")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "component").join(sets.select(F.col("rep").alias("node"), "n"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.dropDuplicates(["id"]).join(placed, docs["id"] == placed["node"]).select("id", "text", "n", "component", "blocks", "own")
-    sent = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "text", "n", "component", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    placed = groups.join(sizes, "component").join(sets.select(F.col("set").alias("node"), "rep", "n"), "node")
+    placed = placed.select("node", "rep.id", "rep.h", "n", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    texts = docs.join(placed, ["id", "h"])
+    sent = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "text", "n", "component", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame | None:
         p, q = int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
         known = _Words()
-        frame = frame.sort_values("id", ignore_index=True)
+        frame = frame.drop_duplicates("node").sort_values("node", ignore_index=True)  # rows may repeat an id and text
         left, right = ((frame.index[frame["own"] == x]).to_numpy() for x in (p, q))
         if not len(left) or not len(right) or len(frame) < 2:
             return None
@@ -150,14 +156,16 @@ def jaccard_links(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
                 break
             lowest = new
         hit = own > 0
-        ids = frame["id"].to_numpy()
-        return pd.DataFrame({"id": ids[hit], "links": own[hit], "low": ids[lowest[hit]]})
+        nodes = frame["node"].to_numpy()
+        return pd.DataFrame({"node": nodes[hit], "links": own[hit], "low": nodes[lowest[hit]]})
 
-    found = table(map_groups(sent, ["component", "p", "q"], compare, f"id {kind}, links long, low {kind}"), "ngram-links")
-    classes = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "ngram-classes")
-    links = found.groupBy("id").agg(F.sum("links").alias("links")).join(classes, F.col("id") == F.col("node")).select(F.col("id").alias("rep"), "links", "component")
-    known = sets.join(links, "rep", "left").select("set", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    return marks.select("id", "set").join(known, "set", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = table(map_groups(sent, ["component", "p", "q"], compare, "node binary, links long, low binary"), "ngram-links")
+    classes = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "ngram-classes")
+    linked = classes.join(sets.select(F.col("set").alias("node"), "rep"), "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("class"))
+    links = linked.join(least, "component").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").select(F.col("node").alias("set"), "class", "links")
+    known = sets.join(links, "set", "left").select("set", F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return marks.select("id", "h", "set").join(known, "set", "left").select("id", "h", F.coalesce("class", F.struct("id", "h")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -192,7 +200,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``df`` whose id is the smallest of its class; rows without an id stay."""
-    classes = jaccard_links(df, id_col=id_col, text_col=text_col, **options)
-    gone = classes.filter("id <> class_id").select(F.col("id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """Rows of ``df`` whose id and text are the smallest of their class; rows without an id stay.
+
+    Rows that repeat both id and text are one document and stay or go together; of different texts
+    under one id each is judged by itself.
+    """
+    found = text_classes(df, id_col=id_col, text_col=text_col, **options)
+    gone = found.filter(F.struct("id", "h") != F.col("class")).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    return df.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
