@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +23,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
+    """A fresh folder under ``spark.checkpoint.dir`` (or the session's checkpoint folder), which all executors share.
 
-    Only where the session names no such folder (local tests) a temporary one is made.
+    Only a local session (one machine, as in tests) that names none gets a temporary one; on a cluster
+    that is an error, since other machines wouldn't see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="bandloom-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,6 +49,16 @@ def unit_hash(*cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+def byte_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows whose texts have at most so many bytes together; a longer text goes alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def row_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Consecutive rows with equal keys as frames; the input is sorted by them.
 

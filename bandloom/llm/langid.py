@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import byte_slices, unit_hash
 
 #: Symbols of a lane: texts are cut into lanes, which are parsed side by side; bytes of text parsed at once, a longer text alone.
 LANE, SLICE = 512, 2_000_000
@@ -270,14 +269,10 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
         known = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE, side="right")))
+            for lo, hi in byte_slices(batch.column(at), SLICE):
                 part = batch.slice(lo, hi - lo)
                 lang, *numbers = known.predict([t or "" for t in part.column(at).to_pylist()])
                 cols = [*[part.column(c) for c in keep], pa.array(lang, pa.string()), *map(pa.array, numbers)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added])
-                lo = hi
 
     return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)

@@ -6,10 +6,13 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from bandloom.llm import jpeg, media, mixing, packing, queries
+from bandloom.llm import suffix_dedup as suffix_module
 from bandloom.llm.langid import LANE, Model, fit, held_out, identify, suffix_automaton
 from bandloom.llm.line_dedup import line_dedup
 from bandloom.llm.mixing import mix, quota_tree, targets
@@ -70,6 +73,14 @@ def test_line_dedup(edge, none, spark):
     assert got == brute_lines(docs)
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    """Unique lines under an id that is there twice stay; a repeated window goes from the text that has it."""
+    one, two = "a\nb\nc\nd", "e\nf\ng\nh\ni"
+    rows = [(1, one), (2, "x\n" + one), (2, two), (2, two), (3, two + "\nz"), (None, one)]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got) == Counter([(1, one, 0), (2, "x", 4), (2, two, 0), (2, two, 0), (3, "z", 5), (None, one, 0)])
+
+
 def test_automaton_accepts_all_substrings():
     text = [1, 2, 1, 1, 2, 3, 1, 2, 1]
     table = suffix_automaton(text, 5)
@@ -257,6 +268,15 @@ def test_ngram_join(edge, none, spark):
     assert jaccard_links(none).count() == 0
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    """Texts under one id are rows of their own: each has its own class, and one that is a copy goes alone."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (3, b + " end"), (4, None), (4, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_links(df).collect())) == Counter([(1, 1, 1), (2, 1, 1), (2, 2, 2), (2, 2, 2), (3, 2, 2), (4, 4, 0), (4, 4, 0)])
+    assert Counter((r["doc_id"], r["text"]) for r in keep_one(df).collect()) == Counter([(1, a), (2, b), (2, b), (4, None), (4, "alone here")])
+
+
 def test_band_plan_meets_recall():
     for recall in (0.9, 0.99, 0.999):
         bands, rows = band_plan(0.8, recall)
@@ -300,7 +320,6 @@ def test_packing(edge, none, spark, sf):
 def test_ids_are_the_tokenizers(spark):
     """Odd letters, marks, contractions, special tokens and a table that forgets: as the tokenizer itself gives them."""
     import public_tokenizers
-    import pyarrow as pa
     import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
@@ -360,8 +379,48 @@ def test_suffix_dedup_of_texts_made_to_collide(spark):
     docs = [(1, letters[:800] + x + letters[800:]), (2, letters[:800] + y + letters[800:])]
     x, y = (Prefixes(np.frombuffer(s.encode(), np.uint8)) for s in (x, y))
     assert x.hash(np.array([0]), 1024) == y.hash(np.array([0]), 1024)
-    got = suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), window=1500).collect()
-    assert [r["n_removed"] for r in got] == [0, 0]
+    docs += [(3, docs[1][1]), (4, docs[0][1])]  # true copies of both are found all the same
+    for window in (1100, 1500):
+        got = suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), window=window).collect()
+        assert {r["id"]: tuple(r)[1:5] for r in got} == brute_cover(docs, window)
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_suffix_dedup_of_forged_block_hashes(spark, hot):
+    """Blocks that only seem to be equal: their bytes are compared, and they are resolved like any others."""
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    first, shared = word(900), word(300)
+    docs = {1: first + shared, 2: word(500) + shared + word(400), 3: first[:400] + word(30) + first[430:] + shared}
+    batch = lambda rows, kinds: iter([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[str(i) for i in range(len(kinds))])])
+    zip_ = lambda t: zstandard.compress(t.encode())
+    pair = pa.list_(pa.struct([("start", pa.int32()), ("m", pa.int32()), ("pid", pa.int64()), ("ph", pa.int64()), ("ps", pa.int32())]))
+    claims = [(k, k, [{"start": i, "m": 100, "pid": 1, "ph": 1, "ps": i} for i in range(0, 900, 100)], zip_(docs[k])) for k in (2, 3)]
+    asked = [r for b in suffix_module._copies(100)(batch(claims, [pa.int64(), pa.int64(), pair, pa.binary()])) for r in b.to_pylist()]
+    assert len(asked) == 2  # touching pairs go as one stretch
+    part = pa.list_(pa.struct([("id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("ps", pa.int32()), ("part", pa.binary())]))
+    checked = [r for b in suffix_module._verify(100)(batch([(1, 1, asked, zip_(docs[1]))], [pa.int64(), pa.int64(), part, pa.binary()])) for r in b.to_pylist()]
+    assert {r["kind"] for r in checked} == {2}  # no byte goes by the claim
+    rows = sorted(checked, key=lambda r: r["kg"])
+    columns = ["kind", "kg", "id", "h", "start", "m", "off", "block"]
+    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    blocks = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(columns, kinds, strict=True)], names=columns)
+    gone = {k: np.zeros(len(t), bool) for k, t in docs.items()}
+    for b in suffix_module._resolve(100)(iter([blocks])):
+        for r in b.to_pylist():
+            gone[r["id"]][r["start"] : r["start"] + r["m"]] = True
+    want = brute_cover([(k, t[:999]) for k, t in docs.items()])
+    assert {k: int(x[:999].sum()) for k, x in gone.items()} == {k: v[1] for k, v in want.items()}
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    """Two texts of one id are two texts; rows that repeat both are one."""
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    a, b, c = word(300), word(400), word(350)
+    docs = [(1, a), (2, b), (2, c), (2, c), (3, a + b), (None, a), (5, c)]
+    got = suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r["id"], r["n_bytes"], r["n_removed"]) for r in got) == Counter([(1, 300, 0), (2, 400, 0), (2, 350, 0), (2, 350, 0), (3, 700, 700), (None, 300, 0), (5, 350, 350)])
 
 
 def test_suffix_dedup_edges(edge, none):
