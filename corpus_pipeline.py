@@ -53,8 +53,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word Jaccard similarity of 0.8 or more stays: the smallest id.
 
-    Rows without an id, null texts and texts without words stay; of repeated rows one stays; an empty
-    table stays empty; columns other than those of documents go.
+    Rows without an id, null texts and texts without words stay; rows that repeat an id and text are one
+    document; an empty table stays empty; columns other than those of documents go.
     """
     return keep_one(docs.select(*COLUMNS))
 
