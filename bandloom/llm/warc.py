@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -63,62 +62,83 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record; lengths, not separators, cut them."""
-    at, end = 0, len(raw)
-    while at < end:
-        if raw[at : at + 2] == b"\r\n":
-            at += 2
+#: What parts two records; the rest of a version line follows.
+BORDER = b"\r\n\r\nWARC/"
+
+
+def parse_warc(chunks: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record, from ``(file, bytes between borders)`` in order.
+
+    Lengths cut the records, not borders: where a block itself holds a border, its chunks are put
+    together again. One record is held at a time. ValueError where a record is cut short or isn't one.
+    """
+    held, own = None, None
+    for file, chunk in chunks:
+        if file != own:
+            if held is not None:
+                raise ValueError(f"a record of {own} is cut short")
+            own, chunk = file, chunk.lstrip(b"\r\n")
+            if not chunk:
+                continue
+            if not chunk.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at the start of {file}")
+            data = chunk[5:]
+        else:
+            data = chunk if held is None else held + BORDER + chunk
+        held, stop = data, data.find(b"\r\n\r\n")
+        if stop < 0:
             continue
-        if raw[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        stop = raw.index(b"\r\n\r\n", at)
         fields = {}
-        for line in raw[at:stop].decode("utf-8").split("\r\n")[1:]:
+        for line in data[:stop].decode("utf-8").split("\r\n")[1:]:
             key, _, value = line.partition(":")
             fields[key.strip().lower()] = value.strip()
-        n = int(fields["content-length"])
-        if stop + 4 + n > end:
-            raise ValueError(f"record at byte {at} is cut short")
-        yield fields, raw[stop + 4 : stop + 4 + n]
-        at = stop + 4 + n
+        end = stop + 4 + int(fields["content-length"])
+        if len(data) < end:
+            continue
+        if data[end:].strip(b"\r\n"):
+            raise ValueError(f"a record of {file} is longer than it says")
+        held = None
+        yield fields, data[stop + 4 : end]
+    if held is not None:
+        raise ValueError(f"a record of {own} is cut short")
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row a record of the archives in ``path``: ``RECORD`` and, if asked for, the payload.
+    """One row a record of the gzipped archives in ``path``: ``RECORD`` and, if asked for, the payload.
 
     ``digest`` and ``n_bytes`` of a response are those of the payload bytes as read; a revisit has the
-    digest that it declares. Every file is read by one task; writers bound its size.
+    digest that it declares. A file is streamed by one task, a record at a time, so neither its size nor
+    its number of records has a bound. An empty folder is an error, empty archives give no rows.
     """
+    names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * with_payload
+    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in RECORD.split(", ")] + [pa.binary()] * with_payload
+    bare = lambda x: x.strip("<>") if x else None
+
+    def row(f: dict[str, str], block: bytes) -> tuple:
+        kind, head, body, notes = f.get("warc-type"), None, None, None
+        if kind in ("response", "revisit"):
+            top, _, body = block.partition(b"\r\n\r\n")
+            head = top.decode("utf-8", "replace")
+        elif kind == "metadata":
+            notes = block.decode("utf-8", "replace")
+        digest = hashlib.sha1(body).hexdigest() if kind == "response" else (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+        out = (bare(f.get("warc-record-id")), kind, bare(f.get("warc-concurrent-to")), bare(f.get("warc-refers-to")), f.get("warc-target-uri"), int(f["warc-page-id"]) if "warc-page-id" in f else None, digest, len(body) if kind == "response" else None, head, notes)
+        return (*out, body if kind == "response" else None) if with_payload else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * with_payload
-        kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in RECORD.split(", ")] + [pa.binary()] * with_payload
-        bare = lambda x: x.strip("<>") if x else None
-        for batch in batches:
-            for item in batch.column(0):
-                raw = item.as_buffer().to_pybytes()
-                if raw[:2] == b"\x1f\x8b":
-                    raw = gzip.decompress(raw)
-                rows: list[tuple] = []
-                for f, block in parse_warc(raw):
-                    kind, head, body, notes = f.get("warc-type"), None, None, None
-                    if kind in ("response", "revisit"):
-                        top, _, body = block.partition(b"\r\n\r\n")
-                        head = top.decode("utf-8", "replace")
-                    elif kind == "metadata":
-                        notes = block.decode("utf-8", "replace")
-                    digest = hashlib.sha1(body).hexdigest() if kind == "response" else (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None
-                    row = (bare(f.get("warc-record-id")), kind, bare(f.get("warc-concurrent-to")), bare(f.get("warc-refers-to")), f.get("warc-target-uri"), int(f["warc-page-id"]) if "warc-page-id" in f else None, digest, len(body) if kind == "response" else None, head, notes)
-                    rows.append((*row, body if kind == "response" else None) if with_payload else row)
-                    if len(rows) == 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, RECORD + ", payload binary" * with_payload)
+        rows, size = [], 0
+        chunks = ((file, chunk) for batch in batches for file, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for fields, block in parse_warc(chunks):
+            rows.append(row(fields, block))
+            size += len(block) * with_payload
+            if len(rows) == 2000 or size > 8_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    parts = spark.read.option("lineSep", BORDER.decode()).text(path).select("_metadata.file_path", F.col("value").cast("binary"))
+    return parts.mapInArrow(run, RECORD + ", payload binary" * with_payload)
 
 
 def assemble(records: DataFrame) -> DataFrame:
