@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -44,6 +47,22 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Spark hand texts to Python in Arrow batches of about ``size`` bytes.
+
+    By default a batch has up to 64 MB, which every task holds several times over, outside the heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system; workers live on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unit_hash(*cols: Column | str) -> Column:
     """A deterministic hash in [0, 1) of the given columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
@@ -108,6 +127,8 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.D
                 held, n = [], 0
         if held:
             yield pa.RecordBatch.from_pandas(pd.concat(held), schema=arrow, preserve_index=False)
+        held = []
+        give_back()
 
     return df.repartition(*(salt or keys)).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, unit_hash
+from .common import byte_slices, give_back, unit_hash
 
 #: Symbols of a lane: texts are cut into lanes, which are parsed side by side; bytes of text parsed at once, a longer text alone.
 LANE, SLICE = 512, 2_000_000
@@ -274,5 +274,6 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
                 lang, *numbers = known.predict([t or "" for t in part.column(at).to_pylist()])
                 cols = [*[part.column(c) for c in keep], pa.array(lang, pa.string()), *map(pa.array, numbers)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added])
+        give_back()
 
     return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, connected_components, map_groups, table
+from .common import byte_slices, connected_components, give_back, map_groups, table
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +110,8 @@ def text_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
                     sets.append(hashlib.md5(grams.tobytes()).digest() if len(grams) else None)
                     sigs.append(signature(grams, odd, add, bands, rows) if len(grams) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "h", "set", "bands"])
+        known.clear()
+        give_back()
 
     # A text is known by its id and hash, a node by the digest of its n-gram set.
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_groups
+from .common import byte_slices, give_back, map_groups
 
 #: Bytes of text that are looked up at once; a longer text goes alone.
 SLICE = 4_000_000
@@ -144,6 +144,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages left in this worker
         ids = _ids(tokenizer_path)
         for batch in batches:
             for lo, hi in byte_slices(batch.column(1), SLICE):
