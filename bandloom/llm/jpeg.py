@@ -1,12 +1,13 @@
 """Progressive JPEG in numpy: coefficients to scans, scans to coefficients, coefficients to full-resolution RGB.
 
-Blocks of many images are coded side by side. The encoder writes a restart interval of one block, so
+Blocks of many images are coded side by side. The encoder writes a restart interval of ``LANE`` blocks, so
 the decoder can walk over all intervals of all images at once; it reads any Huffman-coded progressive
 stream of 8-bit samples with one or three components, with or without restarts.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 from bisect import bisect_left
 from dataclasses import dataclass, field
@@ -18,8 +19,8 @@ ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
     35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
 ])
-#: Lift of a stored byte: all coefficients then have 9 bits, and their codes one length.
-LIFT = 256
+#: Blocks of a restart interval.
+LANE = 4
 #: Scans of Y and of a chroma component: first and last coefficient, high and low bit of the approximation.
 LUMA = [(0, 0, 0, 0), (1, 5, 0, 1), (6, 63, 0, 1), (1, 63, 1, 0)]
 CHROMA = [(0, 0, 0, 0), (1, 63, 0, 1), (1, 63, 1, 0)]
@@ -48,69 +49,216 @@ def shape(mcus: int) -> tuple[int, int]:
     return rows, -(-mcus // rows)
 
 
+def huffman(weights: dict[int, float]) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """Codes of at most 16 bits for symbols of these weights, none of all ones: counts a length, symbols in order, and by symbol code and length."""
+    scale = 1 << 24
+    while True:
+        sizes = {s: max(1, int(w * scale)) for s, w in weights.items()}
+        heap = [(n, s, (s,)) for s, n in sorted(sizes.items())] + [(0, -1, (-1,))]  # -1 takes the code of all ones
+        length = dict.fromkeys([-1, *sizes], 0)
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, i, x), (b, j, y) = heapq.heappop(heap), heapq.heappop(heap)
+            for s in x + y:
+                length[s] += 1
+            heapq.heappush(heap, (a + b, min(i, j), x + y))
+        if max(length.values()) <= 16:
+            break
+        scale //= 2
+    order = sorted(length, key=lambda s: (length[s], s < 0, s))
+    counts, codes, sizes_, code, last = [0] * 16, np.zeros(256, np.int64), np.zeros(256, np.int64), 0, 0
+    for s in order:
+        code <<= length[s] - last
+        last = length[s]
+        if s >= 0:
+            counts[last - 1] += 1
+            codes[s], sizes_[s] = code, last
+        code += 1
+    return bytes(counts), bytes(s for s in order if s >= 0), codes, sizes_
+
+
+def _tables() -> list[tuple]:
+    """Tables of the DC, the first AC and the refining AC scans, from a model of text: the byte of rank r has a share falling by a tenth a rank."""
+    share = 0.9 ** np.arange(256)
+    share /= share.sum()
+    value = (np.arange(256) + 1) // 2
+    size = lambda v: int(v).bit_length()
+    first = [float(share[[size(v >> 1) == k for v in value]].sum()) for k in range(8)]
+    zero, new = float(share[0] / share[:3].sum()), float(share[1:3].sum() / share[:3].sum())
+    dc = dict.fromkeys(range(9), 1.0)
+    ac = {r << 4 | k: first[0] ** r * first[k] for r in range(16) for k in range(1, 8)} | {0xF0: first[0] ** 16, 0: 0.05}
+    refine = {r << 4 | 1: zero**r * new for r in range(16)} | {0xF0: zero**16, 0: 0.1}
+    return [huffman(x) for x in (dc, ac, refine)]
+
+
+DC, AC, REFINE = _tables()
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """One 4:2:0 progressive JPEG for each payload of a positive multiple of 64 bytes.
 
-    Payload bytes are, in order, the zigzag coefficients of the Y, then the Cb, then the Cr blocks,
-    each lifted by ``LIFT``; blocks of zero bytes fill the last units; a comment holds the length.
+    Payload bytes are, in order, the zigzag coefficients of the Y, then the Cb, then the Cr blocks: the
+    image's commonest byte is 0, the next ones 1, -1, 2, -2 and so on; blocks of zero bytes fill the last
+    units. A comment holds the length and the bytes by rank.
     """
     sizes = [shape(-(-len(p) // 384)) for p in payloads]
     mcus = np.array([r * c for r, c in sizes])
     filled = b"".join(p.ljust(m * 384, b"\0") for p, m in zip(payloads, mcus.tolist(), strict=True))
     blocks = np.frombuffer(filled, np.uint8).reshape(-1, 64)
-    first = np.concatenate([[0], np.cumsum(mcus * 6)])[:-1]
+    first = np.concatenate([[0], np.cumsum(mcus * 6)])
+    ranks, n = np.zeros((len(payloads), 256), np.int16), len(payloads)
     parts: list[list[bytes]] = [[] for _ in payloads]
-    tables = b"".join(_segment(0xC4, bytes([kind << 4, 1, *[0] * 15, symbol])) for kind, symbol in ((0, 9), (1, 8)))
-    refine = _segment(0xC4, bytes([0x10, 1, *[0] * 15, 0]))
+    tables = b"".join(_segment(0xC4, bytes([kind]) + t[0] + t[1]) for kind, t in ((0x00, DC), (0x10, AC)))
+    refine = _segment(0xC4, bytes([0x10]) + REFINE[0] + REFINE[1])
     for i, (p, (rows, cols)) in enumerate(zip(payloads, sizes, strict=True)):
+        seen = np.bincount(blocks[first[i] : first[i + 1]].reshape(-1), minlength=256)
+        order = np.argsort(-seen, kind="stable")
+        ranks[i, order] = np.arange(256)
+        told = b"bytes:%d;" % len(p) + order[: np.count_nonzero(seen)].astype(np.uint8).tobytes()
         frame = struct.pack(">BHHB", 8, rows * 16, cols * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
-        parts[i] += [b"\xff\xd8", _segment(0xFE, b"bytes:%d" % len(p)), _segment(0xDB, bytes([0, *[1] * 64])), _segment(0xC2, frame), _segment(0xDD, struct.pack(">H", 1)), tables]
+        parts[i] += [b"\xff\xd8", _segment(0xFE, told), _segment(0xDB, bytes([0, *[1] * 64])), _segment(0xC2, frame), _segment(0xDD, struct.pack(">H", LANE)), tables]
+    value = (ranks + 1) // 2 * np.where(ranks % 2, 1, -1).astype(np.int16)
     for comp, (skip, share) in enumerate(((0, 4), (4, 1), (5, 1)), 1):
         counts = mcus * share
         nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        own = blocks[np.repeat(first + mcus * skip, counts) + nth]
-        ends = np.cumsum(counts)
+        coefs = value[np.repeat(np.arange(n), counts)[:, None], blocks[np.repeat(first[:-1] + mcus * skip, counts) + nth]]
+        ends = np.cumsum(-(-counts // LANE))
         for lo_k, hi_k, high, low in LUMA if comp == 1 else CHROMA:
             head = (refine if lo_k and high else tables if high == 0 and lo_k == 1 else b"") + _segment(0xDA, bytes([1, comp, 0, lo_k, hi_k, high << 4 | low]))
-            data, offsets = _scan(own, nth, lo_k, hi_k, high)
+            data, offsets = _scan(coefs[:, lo_k : hi_k + 1], nth, high, low)
             at = np.concatenate([[0], offsets[ends - 1]]).tolist()
-            for i in range(len(payloads)):
-                parts[i] += [head, data[at[i] : at[i + 1] - 2]]  # no restart marker after the last block
+            for i in range(n):
+                parts[i] += [head, data[at[i] : at[i + 1] - 2]]  # no restart marker after the last interval
     return [b"".join([*x, b"\xff\xd9"]) for x in parts]
 
 
-def _scan(blocks: np.ndarray, nth: np.ndarray, lo: int, hi: int, high: int) -> tuple[bytes, np.ndarray]:
-    """Entropy-coded blocks, each byte-aligned and followed by a restart marker; and where each ends."""
-    out, ends, base = [], [], 0
-    for at in range(0, len(blocks), 8192):
-        part = blocks[at : at + 8192, lo : hi + 1]
-        n = len(part)
-        if lo == 0:  # code 0 (size 9), then all 9 bits
-            bits = np.ones((n, 10), np.uint8)
-            bits[:, 0], bits[:, 2:] = 0, np.unpackbits(part, axis=1)
-        elif high == 0:  # code 0 (run 0, size 8), then the upper 8 of 9 bits
-            bits = np.zeros((n, part.shape[1], 9), np.uint8)
-            bits[:, :, 1:] = np.unpackbits((part >> 1 | 128)[:, :, None], axis=2)
-            bits = bits.reshape(n, -1)
-        else:  # code 0 (end of block), then one correction bit for each coefficient
-            bits = np.concatenate([np.zeros((n, 1), np.uint8), part & 1], axis=1)
-        pad = -bits.shape[1] % 8
-        packed = np.packbits(np.concatenate([bits, np.ones((n, pad), np.uint8)], axis=1), axis=1)
-        width = packed.shape[1]
-        rows = np.empty((n, width + 2), np.uint8)
-        rows[:, :width], rows[:, width] = packed, 0xFF
-        rows[:, width + 1] = 0xD0 + nth[at : at + 8192] % 8
+def _scan(coefs: np.ndarray, nth: np.ndarray, high: int, low: int) -> tuple[bytes, np.ndarray]:
+    """Entropy-coded intervals, each byte-aligned and followed by a restart marker; and where each ends."""
+    out, ends, base, lo = [], [], 0, 0
+    tokens = _dc_tokens if coefs.shape[1] == 1 else _refining_tokens if high else _first_tokens
+    begins = np.flatnonzero(nth % LANE == 0)
+    while lo < len(coefs):
+        k = int(np.searchsorted(begins, lo + 8192))
+        hi = int(begins[k]) if k < len(begins) else len(coefs)
+        lane = np.cumsum(nth[lo:hi] % LANE == 0) - 1
+        value, width, row = tokens(coefs[lo:hi].astype(np.int64), nth[lo:hi], low)
+        own = lane[row]
+        # Ones fill an interval's last byte; tokens of one interval lie together.
+        bits = np.bincount(own, width, minlength=lane[-1] + 1).astype(np.int64)
+        pad = -bits % 8
+        start = np.cumsum(bits + pad) - bits - pad
+        pos = np.cumsum(width) - width + (np.cumsum(pad) - pad)[own]
+        some = pad > 0
+        value, width, pos = np.concatenate([value, (1 << pad[some]) - 1]), np.concatenate([width, pad[some]]), np.concatenate([pos, (start + bits)[some]])
+        packed = _put(value, width, pos, int(start[-1] + bits[-1] + pad[-1]) // 8)
         stuffed = packed == 0xFF
-        each = stuffed.sum(1) + width + 2
-        flat, twice = rows.reshape(-1), np.zeros((n, width + 2), bool)
-        twice[:, :width] = stuffed
-        twice = np.flatnonzero(twice.reshape(-1))
-        out.append(np.insert(flat, twice + 1, 0).tobytes() if len(twice) else flat.tobytes())
-        ends.append(base + np.cumsum(each))
-        base = int(ends[-1][-1])
+        last = (start + bits + pad) // 8 - 1  # an interval's last byte
+        after = np.zeros(len(packed), np.int64)
+        after[last] = 2
+        after += stuffed
+        place = np.arange(len(packed)) + np.cumsum(after) - after
+        made = np.zeros(len(packed) + int(after.sum()), np.uint8)
+        made[place] = packed
+        end = place[last] + after[last] + 1
+        made[end - 2] = 0xFF
+        made[end - 1] = 0xD0 + nth[lo:hi][nth[lo:hi] % LANE == 0] // LANE % 8
+        out.append(made.tobytes())
+        ends.append(base + end)
+        base += len(made)
+        lo = hi
     return b"".join(out), np.concatenate(ends)
 
 
+def _put(value: np.ndarray, width: np.ndarray, pos: np.ndarray, size: int) -> np.ndarray:
+    """``size`` bytes with each value in its ``width`` bits from bit ``pos`` on; no two overlap and none has over 32."""
+    word = value.astype(np.uint64) << (64 - width - (pos & 31)).astype(np.uint64)
+    n = size // 4 + 3
+    at = pos >> 5
+    out = np.bincount(at, (word >> np.uint64(32)).astype(np.float64), minlength=n) + np.bincount(at + 1, (word & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)
+    return np.frombuffer(out.astype(">u4").tobytes(), np.uint8)[:size]
+
+
+def _bits_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size class and further bits of coefficients."""
+    a = np.abs(v)
+    size = _SIZES[a]
+    return size, np.where(v < 0, v + (1 << size) - 1, v)
+
+
+_SIZES = np.array([x.bit_length() for x in range(512)])
+
+
+def _dc_tokens(coefs: np.ndarray, nth: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, widths and blocks of the codes of differences to the block before, within an interval."""
+    v = coefs[:, 0]
+    before = np.concatenate([[0], v[:-1]]) * (nth % LANE > 0)
+    size, more = _bits_of(v - before)
+    return DC[2][size] << size | more, DC[3][size] + size, np.arange(len(v))
+
+
+def _first_tokens(coefs: np.ndarray, nth: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the upper bits: runs of zeros and a coefficient, 16 zeros, or the end of a block."""
+    coefs = np.sign(coefs) * (np.abs(coefs) >> low)
+    n, w = coefs.shape
+    row, col = np.nonzero(coefs)
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] != row[:-1]
+    run = np.where(new, col, np.diff(col, prepend=0) - 1)
+    long = run // 16
+    size, more = _bits_of(coefs[row, col])
+    symbol = (run % 16) << 4 | size
+    end = np.ones(n, bool)  # whether zeros end the block
+    end[row[col == w - 1]] = False
+    ends = np.flatnonzero(end)
+    count = np.bincount(row, 1 + long, minlength=n).astype(np.int64)
+    place = np.arange(len(row)) + np.cumsum(long) + (np.cumsum(end) - end)[row]
+    total = len(row) + int(long.sum()) + len(ends)
+    code = np.full(total, AC[2][0xF0])  # what stays is a run of 16 zeros
+    width = np.full(total, AC[3][0xF0])
+    code[place], width[place] = AC[2][symbol] << size | more, AC[3][symbol] + size
+    at = np.cumsum(count + end)[ends] - 1
+    code[at], width[at] = AC[2][0], AC[3][0]
+    return code, width, np.repeat(np.arange(n), count + end)
+
+
+def _refining_tokens(coefs: np.ndarray, nth: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the last bit: events (a new coefficient after a run, 16 zeros, the end), each before the bits of known coefficients passed."""
+    n, w = coefs.shape
+    a = np.abs(coefs)
+    known, new, zero = a > 1, a == 1, a == 0
+    zeros = np.cumsum(zero, axis=1)
+    # Zeros since the last new coefficient, at each place.
+    since = zeros - np.maximum.accumulate(np.where(new, zeros, 0), axis=1)
+    later = np.zeros((n, w), bool)  # whether a new coefficient comes later in the block
+    later[:, :-1] = np.maximum.accumulate(new[:, ::-1], axis=1)[:, ::-1][:, 1:]
+    sixteen = zero & (since > 0) & (since % 16 == 0) & later
+    event = np.zeros((n, w + 1), bool)
+    event[:, :w] = new | sixteen
+    event[:, w] = ~event[:, w - 1]  # what follows the last event needs an end
+    bit = np.zeros((n, w + 1), bool)
+    bit[:, :w] = known
+    ev, bt = np.flatnonzero(event.reshape(-1)), np.flatnonzero(bit.reshape(-1))
+    events, bits = np.cumsum(event.reshape(-1)), np.cumsum(bit.reshape(-1))
+    before = bits - bit.reshape(-1)
+    row, col = ev // (w + 1), ev % (w + 1)
+    inner = np.zeros((n, w + 1), np.int64)  # zeros before a place since the last new coefficient
+    inner[:, 1:w] = since[:, : w - 1]
+    fresh = np.zeros((n, w + 1), bool)
+    fresh[:, :w] = new
+    is_new = fresh.reshape(-1)[ev].astype(np.int64)
+    symbol = np.where(is_new > 0, (inner[row, col] % 16) << 4 | 1, np.where(col < w, 0xF0, 0))
+    sign = is_new * (coefs[row, np.minimum(col, w - 1)] > 0)
+    total = len(ev) + len(bt)
+    code, width, owner = np.zeros(total, np.int64), np.ones(total, np.int64), np.zeros(total, np.int64)
+    at = np.arange(len(ev)) + np.concatenate([[0], before[ev[:-1]]]) if len(ev) else ev
+    code[at], width[at] = REFINE[2][symbol] << is_new | sign, REFINE[3][symbol] + is_new
+    owner[at] = row
+    place = events[bt] + 1 + before[bt]  # after its event, which is the next one
+    code[place] = a.reshape(-1)[bt // (w + 1) * w + bt % (w + 1)] & 1
+    owner[place] = bt // (w + 1)
+    return code, width, owner
+
+
 @dataclass
 class Image:
     """What the markers of one stream say, and where its scans lie."""

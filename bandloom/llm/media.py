@@ -8,40 +8,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .common import byte_slices
 
-#: Payload bytes coded side by side; a larger text goes alone.
+#: Bytes of text or media coded side by side; a larger one goes alone.
 BATCH = 3_000_000
 
 
-def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    lo, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > BATCH:
-            yield lo, i
-            lo, held = i, 0
-        held += n
-    if lo < len(sizes):
-        yield lo, len(sizes)
-
-
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(id, n_bytes, media)``: each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a JPEG.
 
     A null text counts as empty, and an empty one is one block of zeros. Equal texts have equal media;
-    repeated rows stay repeated; a null id is kept. The payload is held losslessly, as coefficients.
+    repeated rows stay repeated; a null id is kept; an empty table gives no rows; extra columns are
+    ignored. The payload is held losslessly, as coefficients.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for lo, hi in _parts([len(x) for x in raw]):
-                part = raw[lo:hi]
+            for lo, hi in byte_slices(batch.column(1), BATCH):
+                part = [(t or "").encode() for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 media = jpeg.encode([x + bytes(-len(x) % 64 if x else 64) for x in part])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in part], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
@@ -50,8 +39,9 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def payload_of(image: jpeg.Image, coefs: list[np.ndarray]) -> bytes:
     """The payload that ``jpeg.encode`` put into an image."""
-    n = int(image.comment.removeprefix(b"bytes:"))
-    return (np.concatenate(coefs).reshape(-1)[:n] - jpeg.LIFT).astype(np.uint8).tobytes()
+    told, _, ranked = image.comment.removeprefix(b"bytes:").partition(b";")
+    flat = np.concatenate(coefs).reshape(-1)[: int(told)].astype(np.int64)
+    return np.frombuffer(ranked, np.uint8)[2 * np.abs(flat) - (flat > 0)].tobytes()
 
 
 def decode_media(df: DataFrame, id_col: str = "id", media_col: str = "media", with_tensor: bool = False) -> DataFrame:
@@ -59,7 +49,8 @@ def decode_media(df: DataFrame, id_col: str = "id", media_col: str = "media", wi
 
     ``feature`` is the image's size, mean and spread of each colour over the full-resolution tensor
     and the tensor's CRC-32; all come from integer sums. ``tensor`` holds height x width x 3 samples.
-    A null medium gives nulls; a broken one fails with its reason.
+    A null medium gives nulls; a broken one fails with its reason; equal media give equal values; an
+    empty table gives no rows; extra columns are ignored.
     """
     kind = df.schema[id_col].dataType.simpleString()
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width"]
@@ -69,8 +60,7 @@ def decode_media(df: DataFrame, id_col: str = "id", media_col: str = "media", wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [x or 0 for x in pa.compute.binary_length(batch.column(2)).to_pylist()]
-            for lo, hi in _parts(sizes):
+            for lo, hi in byte_slices(batch.column(2), BATCH):
                 media = batch.column(2).slice(lo, hi - lo).to_pylist()
                 at = [i for i, m in enumerate(media) if m is not None]
                 images = [jpeg.parse(media[i]) for i in at]

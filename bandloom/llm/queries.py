@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch, table
+from .common import read, scratch, small_batches, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the labelled ones that are not held out."""
+    small_batches(spark)
     from .langid import fit, held_out, identify
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -39,6 +40,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
+    small_batches(spark)
     from .ngram_join import jaccard_links
 
     return jaccard_links(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -46,6 +48,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token pieces in sequences of at most 4096 tokens."""
+    small_batches(spark)
     import public_tokenizers
 
     from .packing import pack, token_pieces
@@ -56,18 +59,19 @@ def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that a string of 100 bytes covers which also starts earlier."""
+    small_batches(spark)
     from .suffix_dedup import suffix_dedup
 
     return suffix_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a progressive JPEG, read back, with features of its RGB tensor."""
+    """Every text stored as a progressive JPEG, read back, with its full-resolution RGB tensor and features of it."""
+    small_batches(spark)
     from .media import decode_media, encode_media
 
     media = table(encode_media(read(spark, sf_dir, "documents")), "media")
-    stored = table(decode_media(media, with_tensor=True).drop("payload"), "tensors")
-    return stored.drop("tensor").withColumnRenamed("id", "doc_id")
+    return decode_media(media, with_tensor=True).drop("payload").withColumnRenamed("id", "doc_id")
 
 
 def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
