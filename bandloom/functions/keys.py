@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The chemical symbols in order of atomic number.
@@ -82,6 +82,14 @@ def rounded_hash(values: Column, digits: int) -> Column:
     return F.sha2(F.to_json(F.struct(F.transform(values, lambda x: F.round(x, digits)).alias("v"))), 256)
 
 
+def block_digest(rows: DataFrame, by: str, block: Column, order: str, text: str) -> DataFrame:
+    """KEY15: one digest a group: rows in order are digested in blocks, and the blocks' digests in theirs, so no row list is unbounded."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), ";")
+    parts = rows.groupBy(by, block.alias("__block")).agg(F.sha2(listed, 256).alias("__d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__d"))), lambda x: x["__d"]), ";")
+    return parts.groupBy(by).agg(F.sha2(whole, 256).alias("digest"))
+
+
 def candidate_id(prefix: str, identity: Column, digits: int = 24) -> Column:
     """KEY13: prefix and the first hex digits of the identity's SHA-256."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(identity, 256), 1, digits))

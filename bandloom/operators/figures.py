@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,26 +34,21 @@ def best_match(left: DataFrame, right: DataFrame, image: str) -> DataFrame:
 def suppress(boxes: DataFrame, image: str, bound: float = 0.55) -> DataFrame:
     """JN22: greedy suppression: boxes by falling score, each dropped if it overlaps a kept one by ``bound`` or more.
 
-    The order matters, so an image's boxes are walked over in one task; ties go by ``box_id``.
+    The order matters, so an image's boxes are one array, folded over once; ties go by ``box_id``.
     """
-    import numpy as np
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "box_id"], ascending=[False, True])
-        b = g[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        keep: list[int] = []
-        for i in range(len(b)):
-            k = b[keep]
-            if len(k):
-                w = np.clip(np.minimum(k[:, 2], b[i, 2]) - np.maximum(k[:, 0], b[i, 0]), 0, None)
-                h = np.clip(np.minimum(k[:, 3], b[i, 3]) - np.maximum(k[:, 1], b[i, 1]), 0, None)
-                area = (k[:, 2] - k[:, 0]) * (k[:, 3] - k[:, 1]) + (b[i, 2] - b[i, 0]) * (b[i, 3] - b[i, 1]) - w * h
-                if (w * h >= bound * np.where(area > 0, area, np.inf)).any():
-                    continue
-            keep.append(i)
-        return g.iloc[keep]
-
-    return boxes.groupBy(image).applyInPandas(run, boxes.schema)
+    own = [c for c in boxes.columns if c != image]
+    listed = boxes.groupBy(image).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("__o"), F.col("box_id").alias("__b"), *own))).alias("all"))
+    size = lambda c: (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
+
+    def hit(a: Column, b: Column) -> Column:
+        w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
+        h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+        union = size(a) + size(b) - w * h
+        return (union > 0) & (w * h >= bound * union)
+
+    add = lambda kept, b: F.when(F.exists(kept, lambda k: hit(k, b)), kept).otherwise(F.array_append(kept, b))
+    kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), add)
+    return listed.select(image, F.inline(kept)).select(*boxes.columns)
 
 
 def clean_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import figures as G
 from ..operators import quality as Q
 from ..registry import query, read
 
-BOX = "b AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS box_id, l_quantity * 4 AS x1, l_discount * 1000 AS y1, l_quantity * 4 + 60 + l_linenumber * 12 AS x2, l_discount * 1000 + 50 + l_suppkey % 90 AS y2, l_extendedprice AS score FROM lineitem WHERE l_orderkey % 4 = 0)"
+BOX = "b AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS box_id, l_quantity * 4 AS x1, l_discount * 1000 AS y1, l_quantity * 4 + 60 + l_linenumber * 12 AS x2, l_discount * 1000 + 50 + l_suppkey % 90 AS y2, l_extendedprice AS score FROM lineitem)"
 
 
 def boxes(spark, sf_dir):
@@ -16,7 +16,7 @@ def boxes(spark, sf_dir):
 
     r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")
     x, y = F.col("l_quantity") * 4, F.col("l_discount") * 1000
-    return read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("image"), r.alias("box_id"), x.alias("x1"), y.alias("y1"), (x + 60 + F.col("l_linenumber") * 12).alias("x2"), (y + 50 + F.col("l_suppkey") % 90).alias("y2"), F.col("l_extendedprice").alias("score"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), r.alias("box_id"), x.alias("x1"), y.alias("y1"), (x + 60 + F.col("l_linenumber") * 12).alias("x2"), (y + 50 + F.col("l_suppkey") % 90).alias("y2"), F.col("l_extendedprice").alias("score"))
 
 
 IOU = "greatest(0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0, least(a.y2, c.y2) - greatest(a.y1, c.y1))"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..registry import query, read, shared_folder
@@ -91,19 +89,19 @@ def _snk1(spark, sf_dir):
     return spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
-@query("snk2_create_only", "SELECT n_regionkey AS region, count(*) AS n, true AS refused FROM nation GROUP BY 1")
+@query("snk2_create_only", "SELECT s_nationkey AS nation, count(*) AS n, true AS refused FROM supplier GROUP BY 1")
 def _snk2(spark, sf_dir):
     """A second write to the same place is refused and leaves the first one as it was."""
     from pyspark.errors import AnalysisException
 
-    path, rows = shared_folder(spark, "once"), read(spark, sf_dir, "nation")
+    path, rows = shared_folder(spark, "once"), read(spark, sf_dir, "supplier")
     S.write_new(rows, path)
     try:
         S.write_new(rows.limit(1), path)
         refused = False
     except AnalysisException:
         refused = True
-    return spark.read.parquet(path).groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+    return spark.read.parquet(path).groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
 
 
 COMMITS = "b AS (SELECT event_id, user_id AS id, md5(event_type || CAST(event_id % 3 AS VARCHAR)) AS digest FROM events), s AS (SELECT *, first_value(digest) OVER (PARTITION BY id ORDER BY event_id) AS f, row_number() OVER (PARTITION BY id ORDER BY event_id) AS n, row_number() OVER (PARTITION BY id, digest ORDER BY event_id) AS m FROM b)"
@@ -148,11 +146,11 @@ def _ss3(spark, sf_dir):
 def _ss4(spark, sf_dir):
     """Counters as a stream in complete mode over the events, written as they change."""
     e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    src, mark, name = shared_folder(spark, "outcome-in"), shared_folder(spark, "outcome-mark"), f"outcomes_{uuid.uuid4().hex}"
+    src, mark, out = (shared_folder(spark, x) for x in ("outcome-in", "outcome-mark", "outcome-out"))
     e.repartition(3).write.parquet(src)
     stream = J.outcome_counts(J.read_files(spark, src, e.schema, files=2), "ts", "event_type", late="60 days")
-    stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    J.start_counts(stream, out, mark).awaitTermination()
+    return J.latest_counts(spark, out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("ag47_run_report", "SELECT count(*) AS attempted, count(*) FILTER (WHERE event_type <> 'view') AS submitted, count(*) FILTER (WHERE event_type IN ('purchase', 'click')) AS success, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'signup') AS no_data, count(DISTINCT user_id) AS groups FROM events")

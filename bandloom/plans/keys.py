@@ -92,9 +92,9 @@ def _key10(spark, sf_dir):
     return rows.select("id", K.semantic_hash(rows.columns, ("id", "fetched")).alias("digest"))
 
 
-@query("key12_structure_hash", """SELECT o_orderkey AS id, sha256('{"v":[' || CAST(round(o_totalprice, 0)::BIGINT AS VARCHAR) || '.0,2.0]}') AS digest FROM orders WHERE o_totalprice < 1000000""")
+@query("key12_structure_hash", """SELECT o_orderkey AS id, sha256('{"v":[' || CAST(round(o_totalprice, 0)::BIGINT AS VARCHAR) || '.0,2.0]}') AS digest FROM orders""")
 def _key12(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").filter("o_totalprice < 1000000")
+    rows = read(spark, sf_dir, "orders")
     return rows.select(F.col("o_orderkey").alias("id"), K.rounded_hash(F.array(F.col("o_totalprice"), F.lit(1.5)), 0).alias("digest"))
 
 
@@ -110,10 +110,10 @@ def _key14(spark, sf_dir):
     return d.groupBy("sha", F.col("lang").alias("kind"), F.col("source").alias("meta")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
 
-@query("key15_observation_digest", "SELECT c_nationkey AS part, sha256(string_agg(c_custkey || '=' || c_mktsegment, ';' ORDER BY c_custkey)) AS digest FROM customer GROUP BY 1")
+@query("key15_observation_digest", "WITH b AS (SELECT c_nationkey AS part, c_custkey // 500 AS block, sha256(string_agg(c_custkey || '=' || c_mktsegment, ';' ORDER BY c_custkey)) AS d FROM customer GROUP BY ALL) SELECT part, sha256(string_agg(d, ';' ORDER BY block)) AS digest FROM b GROUP BY 1")
 def _key15(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("part")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat_ws("=", "c_custkey", "c_mktsegment").alias("t")))).alias("all"))
-    return rows.select("part", F.sha2(F.array_join(F.transform("all", lambda x: x["t"]), ";"), 256).alias("digest"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("part"), "c_custkey", F.concat_ws("=", "c_custkey", "c_mktsegment").alias("t"))
+    return K.block_digest(rows, "part", F.floor(F.col("c_custkey") / 500), "c_custkey", "t")
 
 
 @query("snk3_csv_safe", """WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '  -' WHEN 2 THEN chr(9) WHEN 3 THEN '@' ELSE '' END || props AS v FROM events)

@@ -156,14 +156,14 @@ def _flt22(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.array_join(Q.token_flags(t, F.col("value") / 50), ",").alias("flags"))
 
 
-@query("flt25_axis_fit", """WITH t AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 10.0 AS pixel, CASE WHEN user_id % 5 = 0 THEN value ELSE row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 2.5 + 1 END AS v FROM events WHERE event_id < 600),
+@query("flt25_axis_fit", """WITH t AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 10.0 AS pixel, CASE WHEN user_id % 5 = 0 THEN value ELSE row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 2.5 + 1 END AS v FROM events),
 f AS (SELECT id, count(*) AS n, regr_slope(v, pixel) AS slope, regr_intercept(v, pixel) AS i FROM t GROUP BY id), s AS (SELECT *, sign(v - lag(v) OVER (PARTITION BY id ORDER BY pixel)) AS st FROM t),
 r AS (SELECT s.id, any_value(n) AS n, any_value(slope) AS slope, min(st) AS a, max(st) AS b, max(abs(v - slope * pixel - i)) AS res FROM s JOIN f USING (id) GROUP BY s.id)
 SELECT id, n, CASE WHEN n < 2 THEN 'too few' WHEN a <> b OR a = 0 THEN 'not monotone' WHEN res > greatest(1e-6, abs(slope) / 2) THEN 'residual' ELSE 'ok' END AS status FROM r""")
 def _flt25(spark, sf_dir):
     from pyspark.sql import Window
 
-    e = read(spark, sf_dir, "events").filter("event_id < 600")
+    e = read(spark, sf_dir, "events")
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     t = e.select(F.col("user_id").alias("id"), (i * 10.0).alias("pixel"), F.when(F.col("user_id") % 5 == 0, F.col("value")).otherwise(i * 2.5 + 1).alias("value"))
     return Q.axis_fit(t, "id").select("id", "n", "status")

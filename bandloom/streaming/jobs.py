@@ -37,6 +37,7 @@ def start_commits(stream: DataFrame, path: str, checkpoint: str, key: str, diges
     def put(batch: DataFrame, n: int) -> None:
         own = f"{path}/batch={n}"
         stored = spark.read.schema(schema + ", batch long").option("basePath", path).parquet(path).filter(F.col("batch") < n) if n else spark.createDataFrame([], schema)
+        stored = stored.join(batch.select(key).distinct(), key, "left_semi")  # the other ids don't matter here
         new = commit_status(batch, stored, key, digest, order).filter("status in ('canonical', 'variant')")
         new.select(key, digest, (F.col("status") == "canonical").alias("canonical")).write.mode("overwrite").parquet(own)
 
@@ -77,6 +78,24 @@ def outcome_counts(stream: DataFrame, time: str, status: str, width: str = "1 da
     return got.select(F.col("window.start").alias("start"), status, "n", "total")
 
 
+def start_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """SS4: run an aggregated stream in update mode; every batch's changed counters go to a folder of its own under ``path``.
+
+    A batch that is run again overwrites its folder; nothing passes the driver.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, path: str, keys: tuple[str, ...] = ("start", "event_type")) -> DataFrame:
+    """SS4: the counters as they stand: of each key the row of its last batch."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rows.columns if c not in (*keys, "batch")])
+
+
 def read_files(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream, ``files`` at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
