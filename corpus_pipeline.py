@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm.common import read, table
+from bandloom.llm.common import read, small_batches, table
 from bandloom.llm.langid import fit, held_out, identify
 from bandloom.llm.line_dedup import line_dedup
 from bandloom.llm.mixing import in_order, mix
@@ -35,6 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     length and has no step. Equal texts are judged alike, repeated rows one by one; an empty table
     stays empty; columns other than those of documents go.
     """
+    small_batches(spark)
     model = fit(read(spark, sf_dir, "documents").filter(~held_out("doc_id")))
     got = identify(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != "und") & (F.col("bits") <= F.col("most_bits")))
     return got.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -56,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id, null texts and texts without words stay; rows that repeat an id and text are one
     document; an empty table stays empty; columns other than those of documents go.
     """
+    small_batches(spark)
     return keep_one(docs.select(*COLUMNS))
 
 
@@ -74,6 +76,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is one piece of the end id; each of repeated rows has pieces of its own; an
     empty table gives no rows; columns other than the id and the text go.
     """
+    small_batches(spark)
     pieces = table(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pipeline-pieces")
     return pack(pieces.withColumnRenamed("id", "doc_id"))
 
