@@ -30,18 +30,6 @@ def classify(hard: list[tuple[Column, str]], soft: list[tuple[Column, str]]) ->
     return status, F.when(bad.isNotNull(), F.array(bad)).otherwise(odd)
 
 
-def curve_checks(level: str = "reference") -> tuple[list[tuple[Column, str]], list[tuple[Column, str]]]:
-    """FLT4: checks of a record with arrays ``energies`` and ``k`` and declared counts."""
-    finite = lambda c: F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x))
-    steps = F.zip_with(F.slice("k", 2, F.greatest(F.lit(0), F.size("k") - 1)), F.slice("k", 1, F.greatest(F.lit(0), F.size("k") - 1)), lambda a, b: a >= b)
-    hard = [
-        (F.col("energies").isNull() | (F.size("energies") == 0), "no energies"), (F.size("energies") != F.size("k"), "shape"),
-        (~finite("energies") | ~finite("k"), "not finite"), (~F.forall(steps, lambda x: x), "k not monotone"), (F.col("declared") != F.size("k"), "declared count"),
-    ]
-    soft = [(F.col(level).isNull(), "no reference level"), (F.col("source").isNull(), "no source")]
-    return hard, soft
-
-
 def worst_status(statuses: list[Column]) -> Column:
     """FLT7: the worst of invalid, read_error, ambiguous, valid."""
     rank = lambda c: F.when(c == "invalid", 3).when(c == "read_error", 2).when(c == "ambiguous", 1).otherwise(0)
@@ -90,10 +78,21 @@ def legacy_type(gap: Column, top: Column, bottom: Column) -> Column:
     return F.when(gap < 0.01, 0).when(top == bottom, 1).otherwise(2)
 
 
-def recommendations(rules: list[tuple[str, Column, Column]], default: str) -> Column:
+def ledger(rows: DataFrame, *by: Column) -> DataFrame:
+    """AG41, AG45: rows by status and whatever else they are counted by."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def vector_contract(rows: DataFrame, vector: str, dim: int) -> DataFrame:
+    """FLT31: first broken rule of each row of a vector table, as ``problem``."""
+    problem = first_reason((F.exists(vector, lambda x: x.isNull() | F.isnan(x)), "not finite"), (F.size(vector) != dim, "wrong length"))
+    return rows.withColumn("problem", problem)
+
+
+def recommendations(rules: list[tuple[str, Column, Column]], default: str, otherwise: Column | float = 0.5) -> Column:
     """FLT18: array of (rule, confidence clamped to 0..1) of all rules that hold; the default rule if none does."""
     hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), w)).alias("confidence"))) for n, c, w in rules]), lambda x: x.isNotNull())
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.struct(F.lit(default).alias("rule"), F.lit(0.5).alias("confidence"))))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.struct(F.lit(default).alias("rule"), (otherwise if isinstance(otherwise, Column) else F.lit(otherwise)).alias("confidence"))))
 
 
 def alignment(v1: Column, c1: Column, v2: Column, c2: Column) -> Column:

@@ -72,20 +72,6 @@ def _jn13(spark, sf_dir):
     return G.review_queue(p, marks, "page_id", ["sha", "host"])
 
 
-@query("jn23_traceability", """WITH d AS (SELECT doc_id, source, sha256(text) AS sha, CASE WHEN doc_id % 5 < 3 THEN 'fit' ELSE 'test' END AS split FROM documents), w AS (SELECT *, count(*) OVER (PARTITION BY sha) AS copies FROM d), g AS (SELECT sha, count(DISTINCT split) AS sides FROM d GROUP BY sha)
-SELECT doc_id, concat_ws(',', CASE WHEN source = 'src1' THEN 'unknown operator' END, CASE WHEN copies > 1 THEN 'duplicate image' END, CASE WHEN sides > 1 THEN 'leaks' END) AS errors FROM w JOIN g USING (sha)""")
-def _jn23(spark, sf_dir):
-    """Errors of each record: unknown operator, duplicate content, content on both sides of a split."""
-    from pyspark.sql import Window
-
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha"), F.when(F.col("doc_id") % 5 < 3, "fit").otherwise("test").alias("split"))
-    known = d.filter("source <> 'src1'").select("source", F.lit(True).alias("known")).distinct()
-    w = Window.partitionBy("sha")
-    j = d.withColumn("copies", F.count("*").over(w)).withColumn("sides", F.size(F.collect_set("split").over(w))).join(F.broadcast(known), "source", "left")
-    errors = Q.all_reasons((F.col("known").isNull(), "unknown operator"), (F.col("copies") > 1, "duplicate image"), (F.col("sides") > 1, "leaks"))
-    return j.select("doc_id", F.array_join(errors, ",").alias("errors"))
-
-
 @query("jn24_digest_check", "SELECT doc_id, doc_id % 8 <> 0 AS bound FROM documents")
 def _jn24(spark, sf_dir):
     """Recompute the digest that a queue record claims and compare."""
@@ -103,25 +89,6 @@ def _wn10(spark, sf_dir):
     return d.select("doc_id", (F.count("*").over(w) > 1).alias("repeated"), (F.size(F.collect_set("source").over(w)) > 1).alias("across_sources"))
 
 
-@query("flt23_claim_issues", "SELECT c_custkey AS id, concat_ws(',', CASE WHEN c_custkey % 4 = 0 THEN 'no evidence' END, CASE WHEN c_acctbal < 0 THEN 'negative value' END, CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 3 = 0 THEN 'computed paper as recipe' END) AS issues FROM customer")
-def _flt23(spark, sf_dir):
-    """Issues of each claim: missing evidence, impossible values, a computational paper cited as a recipe."""
-    k = F.col("c_custkey")
-    claims = read(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 4 != 0, "p1").alias("evidence"), F.col("c_acctbal").alias("value"), (F.col("c_mktsegment") == "BUILDING").alias("computed"), F.when(k % 3 == 0, "recipe").otherwise("gap").alias("kind"))
-    issues = Q.all_reasons((F.col("evidence").isNull(), "no evidence"), (F.col("value") < 0, "negative value"), (F.col("computed") & (F.col("kind") == "recipe"), "computed paper as recipe"))
-    return claims.select("id", F.array_join(issues, ",").alias("issues"))
-
-
-@query("flt24_observation_review", "SELECT user_id AS id, concat_ws(',', CASE WHEN count(*) < 60 THEN 'samples' END, CASE WHEN max(value) > 300 THEN 'values' END) AS invalid_fields, concat_ws(',', CASE WHEN user_id % 3 = 0 THEN 'reference' END, CASE WHEN user_id % 4 = 0 THEN 'units' END) AS missing_evidence FROM events GROUP BY user_id")
-def _flt24(spark, sf_dir):
-    """Invalid fields and missing evidence of each observation set."""
-    o = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
-    o = o.withColumn("reference", F.when(F.col("id") % 3 != 0, 0.0)).withColumn("units", F.when(F.col("id") % 4 != 0, "eV"))
-    bad = Q.all_reasons((F.col("n") < 60, "samples"), (F.col("top") > 300, "values"))
-    lacks = Q.all_reasons((F.col("reference").isNull(), "reference"), (F.col("units").isNull(), "units"))
-    return o.select("id", F.array_join(bad, ",").alias("invalid_fields"), F.array_join(lacks, ",").alias("missing_evidence"))
-
-
 @query("flt26_calibrated_samples", "WITH s AS (SELECT user_id AS id, event_id, abs(value - (value + CASE WHEN event_id % 97 = 0 THEN 0.2 ELSE 0.001 END)) AS off FROM events) SELECT id, count(*) FILTER (WHERE off > 0.01) AS bad, min(event_id) FILTER (WHERE off > 0.01) AS first_bad FROM s GROUP BY id")
 def _flt26(spark, sf_dir):
     """Samples whose value disagrees with what the calibration says, and the first of them."""

@@ -92,12 +92,6 @@ def _key10(spark, sf_dir):
     return rows.select("id", K.semantic_hash(rows.columns, ("id", "fetched")).alias("digest"))
 
 
-@query("key12_structure_hash", """SELECT o_orderkey AS id, sha256('{"v":[' || CAST(round(o_totalprice, 0)::BIGINT AS VARCHAR) || '.0,2.0]}') AS digest FROM orders""")
-def _key12(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders")
-    return rows.select(F.col("o_orderkey").alias("id"), K.rounded_hash(F.array(F.col("o_totalprice"), F.lit(1.5)), 0).alias("digest"))
-
-
 @query("key13_candidate_id", "SELECT page_id, 'cand-' || substr(sha256(url || '|' || page_id), 1, 24) AS candidate_id, substr(sha256(url), 1, 20) AS audit_id FROM pages")
 def _key13(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", K.candidate_id("cand-", F.concat_ws("|", "url", "page_id")).alias("candidate_id"), K.candidate_id("", F.col("url"), 20).alias("audit_id"))

@@ -27,22 +27,6 @@ def _flt2(spark, sf_dir):
     return p.select("id", F.nullif(F.trim("brand"), F.lit("")).alias("brand"), F.get("dates", F.lit(0)).alias("first_type"))
 
 
-@query("flt4_source_qa", """WITH u AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1), s AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'invalid' WHEN id % 7 = 0 THEN 'invalid' WHEN id % 5 = 0 OR id % 3 = 0 THEN 'ambiguous' ELSE 'verified_valid' END AS status,
-CASE WHEN id % 11 = 0 THEN 'shape' WHEN id % 7 = 0 THEN 'declared count' ELSE concat_ws(',', CASE WHEN id % 5 = 0 THEN 'no reference level' END, CASE WHEN id % 3 = 0 THEN 'no source' END) END AS reasons FROM u) SELECT * FROM s""")
-def _flt4(spark, sf_dir):
-    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("x"))
-    rows = e.select("id", F.transform("x", lambda v: v["value"]).alias("energies"), F.transform("x", lambda v: v["event_id"].cast("double")).alias("k"))
-    rows = rows.withColumn("declared", F.size("k") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)).withColumn("energies", F.when(F.col("id") % 11 == 0, F.slice("energies", 1, 3)).otherwise(F.col("energies")))
-    rows = rows.withColumn("reference", F.when(F.col("id") % 5 != 0, 0.0)).withColumn("source", F.when(F.col("id") % 3 != 0, "lab"))
-    status, reasons = Q.classify(*Q.curve_checks())
-    return rows.select("id", status.alias("status"), F.array_join(reasons, ",").alias("reasons"))
-
-
-@query("ag41_source_qa_ledger", "WITH u AS (SELECT user_id AS id FROM events GROUP BY 1) SELECT id % 2 AS split, CASE WHEN id % 11 = 0 OR id % 7 = 0 THEN 'invalid' WHEN id % 5 = 0 OR id % 3 = 0 THEN 'ambiguous' ELSE 'verified_valid' END AS status, count(*) AS n FROM u GROUP BY ALL")
-def _ag41(spark, sf_dir):
-    return _flt4(spark, sf_dir).groupBy((F.col("id") % 2).alias("split"), "status").agg(F.count("*").alias("n"))
-
-
 @query("flt5_quarantine", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 1)")
 def _flt5(spark, sf_dir):
     """Rows whose content is not that of a quarantined one; ids don't matter."""
@@ -57,13 +41,6 @@ def _flt6(spark, sf_dir):
     return gaps(spark, sf_dir).groupBy(F.coalesce(reason, F.lit("used")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("flt7_field_audit", "SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'invalid' ELSE 'valid' END AS name_status, CASE WHEN c_acctbal < 0 THEN 'ambiguous' WHEN c_custkey % 10 = 0 THEN 'read_error' ELSE 'valid' END AS balance_status, CASE WHEN c_custkey % 9 = 0 THEN 'invalid' WHEN c_acctbal < 0 THEN 'ambiguous' WHEN c_custkey % 10 = 0 THEN 'read_error' ELSE 'valid' END AS record_status FROM customer")
-def _flt7(spark, sf_dir):
-    k = F.col("id")
-    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
-    return Q.field_audit(rows, {"name": [(k % 9 == 0, "invalid", "name")], "balance": [(F.col("balance") < 0, "ambiguous", "sign"), (k % 10 == 0, "read_error", "read")]}).drop("balance")
-
-
 @query("flt9_caption_filter", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\p{L}])(the|und)([^\\p{L}]|$)', 'i') AND NOT regexp_matches(text, '(^|[^\\p{L}])(trash|stupid)([^\\p{L}]|$)', 'i')")
 def _flt9(spark, sf_dir):
     word = lambda w: F.col("text").rlike(rf"(?i)(^|[^\p{{L}}])({w})([^\p{{L}}]|$)")
@@ -125,12 +102,6 @@ def _flt17(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(Q.material_class(F.col("value") / 40).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("flt18_recommendations", """SELECT event_id, rule, round(confidence, 8) AS confidence FROM (SELECT event_id, unnest(['high', 'even', 'plain']) AS rule, unnest([least(1, value / 100), 0.7, 0.5]) AS confidence, unnest([value > 60, event_id % 2 = 0, value <= 60 AND event_id % 2 = 1]) AS ok FROM events) WHERE ok""")
-def _flt18(spark, sf_dir):
-    rules = [("high", F.col("value") > 60, F.col("value") / 100), ("even", F.col("event_id") % 2 == 0, F.lit(0.7))]
-    return read(spark, sf_dir, "events").select("event_id", F.explode(Q.recommendations(rules, "plain")).alias("r")).select("event_id", "r.rule", F.round("r.confidence", 8).alias("confidence"))
-
-
 @query("flt19_alignment", """WITH s AS (SELECT s_suppkey AS id, s_nationkey AS n, -s_acctbal / 1000 AS v, -s_acctbal / 1000 + s_suppkey % 4 + 0.5 AS c FROM supplier)
 SELECT a.id AS a, b.id AS b, CASE WHEN a.c < b.v OR b.c < a.v THEN 'III' WHEN (a.v >= b.v AND a.c <= b.c) OR (b.v >= a.v AND b.c <= a.c) THEN 'I' ELSE 'II' END AS kind FROM s a JOIN s b ON a.n = b.n AND a.id < b.id""")
 def _flt19(spark, sf_dir):
@@ -181,12 +152,3 @@ def _flt28(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(m == 0, ab).alias("x"), F.when(m == 1, F.array(F.lit("A"))).when(m == 3, F.array(F.lit("A"), F.lit("B"), F.lit("C"))).otherwise(ab).alias("s"), F.lit(2).alias("n"))
     value, label = Q.resolve_species(F.col("x"), F.col("s"), F.col("n"))
     return rows.select("id", F.array_join(value, ",").alias("species"), label.alias("label"))
-
-
-@query("flt31_row_contracts", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'not finite' WHEN vec_id % 7 = 0 THEN 'wrong length' END AS problem FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 7 = 0")
-def _flt31(spark, sf_dir):
-    """Rows that break the contract of a vector table, with the first reason."""
-    v = F.col("embedding")
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 10 == 0, F.transform(v, lambda x: x * float("nan"))).when(F.col("vec_id") % 7 == 0, F.slice(v, 1, 3)).otherwise(v).alias("v"))
-    problem = Q.first_reason((F.exists("v", lambda x: x.isNull() | F.isnan(x)), "not finite"), (F.size("v") != 64, "wrong length"))
-    return rows.withColumn("problem", problem).filter("problem is not null").select("vec_id", "problem")
