@@ -37,45 +37,103 @@ def random_split(rows: DataFrame, key: str, train: float, seed: str) -> DataFram
     return got.withColumn("part", F.when(F.col("train"), "train").otherwise("test")).drop("train")
 
 
-def group_split(rows: DataFrame, group: str, test: float, seed: str, trials: int = 64) -> DataFrame:
-    """SP2: whole groups go to one side; of ``trials`` shuffles the cut whose test share is nearest to ``test``.
+def shuffles(counts: DataFrame, group: str, seed: str, trials: int, block: int = 4096) -> DataFrame:
+    """Every group once for each trial, with its ``rank`` in the trial's hash order and ``upto``, the rows up to it.
 
-    Trials multiply groups, not rows. Each shuffle tries every prefix of its order as the test side.
+    ``counts`` has a row a group with ``n``. Adds ``all`` and ``groups``. The order is cut into blocks of
+    about ``block`` groups by the head of the hash; running sums go over block sums, then inside blocks,
+    so no task sorts all groups of a trial.
+    """
+    whole = counts.agg(F.sum("n").alias("all"), F.count("*").alias("groups"))
+    sized = counts.crossJoin(F.broadcast(whole))  # one row
+    tries = sized.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("__o", keyed(seed, "trial", group))
+    head = F.conv(F.substring("__o", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    tries = tries.withColumn("__b", F.floor(head * F.ceil(F.col("groups") / block)).cast("int"))
+    upto = Window.partitionBy("trial").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = tries.groupBy("trial", "__b").agg(F.sum("n").alias("__n"), F.count("*").alias("__k"))
+    blocks = blocks.select("trial", "__b", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__n"), F.coalesce(F.sum("__k").over(upto), F.lit(0)).alias("__k"))
+    inside = Window.partitionBy("trial", "__b").orderBy("__o", group)
+    got = tries.join(blocks, ["trial", "__b"])
+    got = got.withColumn("upto", F.col("__n") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", (F.col("__k") + F.row_number().over(inside)).cast("int"))
+    return got.drop("__b", "__n", "__k", "__o")
+
+
+def trials_for(counts: DataFrame, least: int, most: int, each: int = 1) -> int:
+    """Number of shuffles: ``each`` for a group, within bounds."""
+    return max(least, min(most, counts.count() * each))
+
+
+def group_split(rows: DataFrame, group: str, test: float, seed: str, trials: int | None = None) -> DataFrame:
+    """SP2: whole groups go to one side; of all shuffles the cut whose test share is nearest to ``test``.
+
+    There are 64 to 1024 shuffles, one for each group. Trials multiply groups, not rows. Each shuffle
+    tries every prefix of its order as the test side.
     """
     counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    total = Window.partitionBy(F.lit(1))
-    sized = counts.withColumn("all", F.sum("n").over(total)).withColumn("groups", F.count("*").over(total))
-    tries = sized.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    order = Window.partitionBy("trial").orderBy(keyed(seed, "trial", group), group)
-    tries = tries.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
+    tries = shuffles(counts, group, seed, trials or trials_for(counts, 64, 1024))
     usable = tries.filter((F.col("rank") < F.col("groups")) | (F.col("groups") == 1))
     best = usable.agg(F.min(F.struct(F.round(F.abs(F.col("upto") / F.col("all") - test), 12).alias("miss"), "trial", "rank")).alias("b")).select("b.*")
     chosen = tries.join(F.broadcast(best.select(F.col("trial").alias("t"), F.col("rank").alias("r"))), (F.col("trial") == F.col("t"))).select(group, (F.col("rank") <= F.col("r")).alias("__test"))
     return rows.join(chosen, group).withColumn("part", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
-def stratified_group_split(rows: DataFrame, group: str, cls: str, test: float, seed: str, trials: int = 64) -> DataFrame:
-    """SP3: like the group split, with the score share error + 0.35 mean class-share error + 2 per class missing on a side."""
+def stratified_group_split(rows: DataFrame, group: str, cls: str, test: float, seed: str, trials: int | None = None, around: int = 3) -> DataFrame:
+    """SP3: like the group split, with the score share error + 0.35 mean class-share error + 2 per class missing on a side.
+
+    There are 256 to 2048 shuffles, 16 for each group; each tries the prefix nearest to the share and
+    ``around`` shorter and longer ones, and every such cut is scored.
+    """
     counts = rows.groupBy(group, cls).agg(F.count("*").alias("n"))
     per = counts.groupBy(group).agg(F.sum("n").alias("n"))
     classes = counts.groupBy(cls).agg(F.sum("n").alias("cn"))
-    one = Window.partitionBy(F.lit(1))
-    per = per.withColumn("all", F.sum("n").over(one)).withColumn("groups", F.count("*").over(one))
-    tries = per.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    order = Window.partitionBy("trial").orderBy(keyed(seed, "trial", group), group)
-    tries = tries.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
-    # One cut a trial: the prefix nearest to the wanted share.
-    cut = tries.filter((F.col("rank") < F.col("groups")) | (F.col("groups") == 1)).groupBy("trial").agg(F.min(F.struct(F.round(F.abs(F.col("upto") / F.col("all") - test), 12).alias("miss"), "rank", "upto", "all")).alias("c")).select("trial", "c.*")
-    side = tries.select("trial", group, "rank").join(cut.select("trial", F.col("rank").alias("last"), "miss", "upto", "all"), "trial").filter("rank <= last")
-    share = side.join(counts.withColumnRenamed("n", "own"), group).groupBy("trial", cls).agg(F.sum("own").alias("tn"))
-    grid = cut.crossJoin(classes).join(share, ["trial", cls], "left").withColumn("tn", F.coalesce("tn", F.lit(0)))
-    off = F.abs(F.col("tn") / F.col("upto") - F.col("cn") / F.col("all"))
-    lost = ((F.col("tn") == 0) | (F.col("tn") == F.col("cn"))).cast("int")
-    best = grid.groupBy("trial").agg(F.round(F.max("miss") + 0.35 * F.avg(off) + 2 * F.sum(lost), 12).alias("score"), F.max("rank").alias("last")).agg(F.min(F.struct("score", "trial", "last")).alias("b")).select(F.col("b.trial").alias("t"), F.col("b.last").alias("r"))
+    tries = shuffles(per, group, seed, trials or trials_for(per, 256, 2048, 16))
+    off = F.round(F.abs(F.col("upto") - test * F.col("all")), 9)
+    centre = tries.groupBy("trial").agg(F.min(F.struct(off.alias("off"), "rank")).alias("c"), F.first("groups").alias("groups"), F.first("all").alias("all"))
+    bound = lambda x: F.greatest(F.lit(1), F.least(F.col("groups").cast("int") - 1, x))
+    spans = centre.select("trial", "all", bound(F.col("c.rank") - around).alias("low"), bound(F.col("c.rank") + around).alias("high"))
+    # Groups up to the shortest cut are summed once, later ones a rank at a time.
+    steps = tries.select("trial", group, "rank").join(spans, "trial").filter("rank <= high").withColumn("step", F.greatest(F.col("rank"), F.col("low")))
+    steps = steps.join(counts.withColumnRenamed("n", "own"), group).groupBy("trial", "step", cls).agg(F.sum("own").alias("own"))
+    cuts = spans.select("trial", "all", F.explode(F.sequence("low", "high")).alias("rank")).crossJoin(F.broadcast(classes))
+    grid = cuts.join(steps, ["trial", cls], "left").groupBy("trial", "rank", cls, "all", "cn").agg(F.coalesce(F.sum(F.when(F.col("step") <= F.col("rank"), F.col("own"))), F.lit(0)).alias("tn"))
+    size = F.sum("tn").over(Window.partitionBy("trial", "rank"))
+    grid = grid.withColumn("upto", size)
+    lost = (F.col("tn") == 0).cast("int") + (F.col("tn") == F.col("cn")).cast("int")
+    score = F.abs(F.max("upto") / F.max("all") - test) + 0.35 * F.avg(F.abs(F.col("tn") / F.col("upto") - F.col("cn") / F.col("all"))) + 2 * F.sum(lost)
+    best = grid.groupBy("trial", "rank").agg(F.round(score, 12).alias("score")).agg(F.min(F.struct("score", "trial", "rank")).alias("b")).select(F.col("b.trial").alias("t"), F.col("b.rank").alias("r"))
     chosen = tries.join(F.broadcast(best), F.col("trial") == F.col("t")).select(group, (F.col("rank") <= F.col("r")).alias("__test"))
     return rows.join(chosen, group).withColumn("part", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
+def split_manifest(splits: dict[str, DataFrame], key: str, claims: dict[str, str], unavailable: dict[str, str] | None = None) -> DataFrame:
+    """SP8: one row a split: status, claim, numbers of rows on either side and of excluded ones, test share, and why it isn't there.
+
+    Each split has ``key, part`` (train, test or excluded). A split of which a side is empty is
+    unavailable; ``unavailable`` names those that could not be built, with the reason.
+    """
+    out = None
+    for name, rows in splits.items():
+        n = lambda part: F.count_if(F.col("part") == part)
+        got = rows.agg(n("train").alias("num_train"), n("test").alias("num_test"), n("excluded").alias("num_excluded"), F.round(n("test") / F.count("*"), 6).alias("test_fraction"))
+        empty = (F.col("num_train") == 0) | (F.col("num_test") == 0)
+        got = got.select(F.lit(name).alias("split"), F.when(empty, "unavailable").otherwise("available").alias("status"), F.lit(claims[name]).alias("claim"), "num_train", "num_test", "num_excluded", "test_fraction", F.when(empty, "a side is empty").alias("reason"))
+        out = got if out is None else out.unionByName(got)
+    for name, reason in (unavailable or {}).items():
+        zero = F.lit(0).cast("long")
+        lost = out.limit(1).select(F.lit(name).alias("split"), F.lit("unavailable").alias("status"), F.lit(claims[name]).alias("claim"), zero.alias("num_train"), zero.alias("num_test"), zero.alias("num_excluded"), F.lit(0.0).alias("test_fraction"), F.lit(reason).alias("reason"))
+        out = out.unionByName(lost)
+    return out
+
+
+def manifest_ids(splits: dict[str, DataFrame], key: str) -> DataFrame:
+    """SP8: the ids of every split by part, those left out with them."""
+    out = None
+    for name, rows in splits.items():
+        got = rows.select(F.lit(name).alias("split"), "part", key)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def leave_element_out(rows: DataFrame, key: str, elements: str, test: float) -> DataFrame:
     """SP5: the element whose rows come nearest to the share ``test`` is held out with all rows that contain it.
 
@@ -92,19 +150,24 @@ def leave_element_out(rows: DataFrame, key: str, elements: str, test: float) ->
 def temporal_split(rows: DataFrame, key: str, time: str, train: float) -> DataFrame:
     """SP7: rows up to the floor(train * n)-th time train, later ones test; undated rows are excluded.
 
-    The cut is an order statistic: counts per day, then a rank inside the day at the edge.
+    The cut is an order statistic: counts per day, then per hour of the day at the edge, and so on down
+    to the microsecond, so a day with a third of all rows is counted, never sorted.
     """
-    dated = rows.filter(F.col(time).isNotNull())
-    day = F.to_date(time)
-    days = dated.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(F.lit(1)).orderBy("day")
-    days = days.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    place = F.greatest(F.lit(1), F.floor(F.col("all") * train))
-    edge = days.filter((F.col("before") < place) & (F.col("before") + F.col("n") >= place)).select("day", (place - F.col("before")).alias("k"))
-    inside = dated.join(F.broadcast(edge), day == F.col("day")).withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy(time)))
-    cutoff = inside.filter("r = k").agg(F.max(time).alias("cutoff"))
-    part = F.when(F.col(time).isNull(), "excluded").when(F.col(time) <= F.col("cutoff"), "train").otherwise("test")
-    return rows.crossJoin(F.broadcast(cutoff)).withColumn("part", part)
+    dated = rows.filter(F.col(time).isNotNull()).select(F.col(time).cast("timestamp").alias("__t"))
+    n = dated.count()
+    if not n:
+        return rows.withColumn("cutoff", F.lit(None).cast(rows.schema[time].dataType)).withColumn("part", F.lit("excluded"))
+    place, lo = max(1, int(n * train)), None
+    for unit in ("day", "hour", "minute", "second", "microsecond"):  # each step counts inside the one before
+        at = F.date_trunc(unit, "__t")
+        inside = dated if lo is None else dated.filter(F.date_trunc(above, "__t") == F.lit(lo))  # noqa: F821
+        counts = inside.groupBy(at.alias("u")).agg(F.count("*").alias("c"))
+        order = Window.partitionBy(F.lit(1)).orderBy("u")
+        counts = counts.withColumn("before", F.sum("c").over(order) - F.col("c"))
+        edge = counts.filter((F.col("before") < place) & (F.col("before") + F.col("c") >= place)).first()
+        lo, place, above = edge["u"], place - edge["before"], unit
+    part = F.when(F.col(time).isNull(), "excluded").when(F.col(time).cast("timestamp") <= F.lit(lo), "train").otherwise("test")
+    return rows.withColumn("cutoff", F.lit(lo).cast(rows.schema[time].dataType)).withColumn("part", part)
 
 
 def stride_split(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -115,10 +178,8 @@ def stride_split(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
 
 def grouped_validation(rows: DataFrame, group: str, share: float, seed: str) -> DataFrame:
     """SP9: whole groups in hash order go to validation until they hold ``share`` of the rows; at least one does."""
-    counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(F.lit(1)).orderBy(keyed(seed, group))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = counts.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1)))).select(group, (F.col("before") < F.col("all") * share).alias("__val"))
+    counts = shuffles(rows.groupBy(group).agg(F.count("*").alias("n")), group, seed, 1)
+    chosen = counts.select(group, (F.col("upto") - F.col("n") < F.col("all") * share).alias("__val"))
     return rows.join(chosen, group).withColumn("part", F.when(F.col("__val"), "val").otherwise("train")).drop("__val")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import splits as S
@@ -24,8 +22,8 @@ def _sp1(spark, sf_dir):
     return S.random_split(customers(spark, sf_dir), "id", 0.8, "r1").select("id", "part")
 
 
-def group_sql(table: str, grp: str, seed: str, share: float, out: str, trials: int = 64) -> str:
-    return f"""{out}n AS (SELECT {grp} AS g, count(*) AS n FROM {table} GROUP BY 1), {out}t AS (SELECT g, n, CAST(unnest(range({trials})) AS INT) AS trial, sum(n) OVER () AS a, count(*) OVER () AS k FROM {out}n),
+def group_sql(table: str, grp: str, seed: str, share: float, out: str) -> str:
+    return f"""{out}n AS (SELECT {grp} AS g, count(*) AS n FROM {table} GROUP BY 1), {out}t AS (SELECT g, n, CAST(unnest(range((SELECT least(1024, greatest(64, count(*))) FROM {out}n))) AS INT) AS trial, sum(n) OVER () AS a, count(*) OVER () AS k FROM {out}n),
 {out}r AS (SELECT *, sum(n) OVER w AS upto, row_number() OVER w AS rank FROM {out}t WINDOW w AS (PARTITION BY trial ORDER BY md5(concat_ws('|', '{seed}', trial, g)), g)),
 {out}b AS (SELECT trial, rank FROM {out}r WHERE rank < k OR k = 1 ORDER BY round(abs(upto / a - {share}), 12), trial, rank LIMIT 1),
 {out} AS (SELECT x.*, CASE WHEN r.rank <= b.rank THEN 'test' ELSE 'train' END AS part FROM {table} x JOIN {out}r r ON x.{grp} = r.g JOIN {out}b b ON r.trial = b.trial)"""
@@ -37,13 +35,13 @@ def _sp2(spark, sf_dir):
 
 
 @query("sp3_stratified_group_split", f"""WITH {C}, n AS (SELECT grp, cls, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT grp, sum(n) AS n FROM n GROUP BY 1), q AS (SELECT cls, sum(n) AS cn FROM n GROUP BY 1),
-t AS (SELECT grp, n, CAST(unnest(range(64)) AS INT) AS trial, sum(n) OVER () AS a, count(*) OVER () AS k FROM p),
+t AS (SELECT grp, n, CAST(unnest(range((SELECT least(2048, greatest(256, 16 * count(*))) FROM p))) AS INT) AS trial, sum(n) OVER () AS a, count(*) OVER () AS k FROM p),
 r AS (SELECT *, sum(n) OVER w AS upto, row_number() OVER w AS rank FROM t WINDOW w AS (PARTITION BY trial ORDER BY md5(concat_ws('|', 'h1', trial, grp)), grp)),
-u AS (SELECT *, round(abs(upto / a - 0.2), 12) AS miss FROM r WHERE rank < k), v AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY miss, rank) AS o FROM u), cut AS (SELECT * FROM v WHERE o = 1),
-s AS (SELECT r.trial, n.cls, sum(n.n) AS tn FROM r JOIN cut ON r.trial = cut.trial AND r.rank <= cut.rank JOIN n ON n.grp = r.grp GROUP BY ALL),
-g AS (SELECT cut.trial, cut.rank, miss, upto, a, q.cls, cn, coalesce(tn, 0) AS tn FROM cut CROSS JOIN q LEFT JOIN s ON s.trial = cut.trial AND s.cls = q.cls),
-z AS (SELECT trial, max(rank) AS last, round(max(miss) + 0.35 * avg(abs(tn / upto - cn / a)) + 2 * sum(CASE WHEN tn = 0 OR tn = cn THEN 1 ELSE 0 END), 12) AS score FROM g GROUP BY trial), b AS (SELECT * FROM z ORDER BY score, trial, last LIMIT 1)
-SELECT c.id, c.grp, CASE WHEN r.rank <= b.last THEN 'test' ELSE 'train' END AS part FROM c JOIN r ON c.grp = r.grp JOIN b ON r.trial = b.trial""")
+m AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY round(abs(upto - 0.2 * a), 9), rank) AS o FROM r), cut AS (SELECT DISTINCT trial, a, greatest(1, least(k - 1, rank + d)) AS rank FROM m, (SELECT unnest(range(-3, 4)) AS d) WHERE o = 1),
+s AS (SELECT cut.trial, cut.rank, n.cls, sum(n.n) AS tn FROM cut JOIN r ON r.trial = cut.trial AND r.rank <= cut.rank JOIN n ON n.grp = r.grp GROUP BY ALL),
+g AS (SELECT cut.trial, cut.rank, a, q.cls, cn, coalesce(tn, 0) AS tn, sum(coalesce(tn, 0)) OVER (PARTITION BY cut.trial, cut.rank) AS upto FROM cut CROSS JOIN q LEFT JOIN s ON s.trial = cut.trial AND s.rank = cut.rank AND s.cls = q.cls),
+z AS (SELECT trial, rank, round(abs(max(upto) / max(a) - 0.2) + 0.35 * avg(abs(tn / upto - cn / a)) + 2 * sum((tn = 0)::INT + (tn = cn)::INT), 12) AS score FROM g GROUP BY ALL), b AS (SELECT * FROM z ORDER BY score, trial, rank LIMIT 1)
+SELECT c.id, c.grp, CASE WHEN r.rank <= b.rank THEN 'test' ELSE 'train' END AS part FROM c JOIN r ON c.grp = r.grp JOIN b ON r.trial = b.trial""")
 def _sp3(spark, sf_dir):
     return S.stratified_group_split(customers(spark, sf_dir), "grp", "cls", 0.2, "h1").select("id", "grp", "part")
 
@@ -55,14 +53,14 @@ def parts_rows(spark, sf_dir):
 P = "p AS (SELECT p_partkey AS id, p_brand || '|' || p_type AS composition, 'sg' || p_size AS prototype FROM part)"
 
 
-@query("sp4_composition_split", f"WITH {P}, {group_sql('p', 'composition', 'c1', 0.25, 's4', 16)} SELECT id, composition, part FROM s4")
+@query("sp4_composition_split", f"WITH {P}, {group_sql('p', 'composition', 'c1', 0.25, 's4')} SELECT id, composition, part FROM s4")
 def _sp4(spark, sf_dir):
-    return S.group_split(parts_rows(spark, sf_dir), "composition", 0.25, "c1", 16).select("id", "composition", "part")
+    return S.group_split(parts_rows(spark, sf_dir), "composition", 0.25, "c1").select("id", "composition", "part")
 
 
-@query("sp4_prototype_split", f"WITH {P}, {group_sql('p', 'prototype', 'c2', 0.25, 's4', 16)} SELECT id, prototype, part FROM s4")
+@query("sp4_prototype_split", f"WITH {P}, {group_sql('p', 'prototype', 'c2', 0.25, 's4')} SELECT id, prototype, part FROM s4")
 def _sp4b(spark, sf_dir):
-    return S.group_split(parts_rows(spark, sf_dir), "prototype", 0.25, "c2", 16).select("id", "prototype", "part")
+    return S.group_split(parts_rows(spark, sf_dir), "prototype", 0.25, "c2").select("id", "prototype", "part")
 
 
 def species(spark, sf_dir):
@@ -79,10 +77,10 @@ def _sp5(spark, sf_dir):
     return S.leave_element_out(species(spark, sf_dir), "id", "elements", 0.2).select("id", "held_out", "part")
 
 
-@query("sp6_source_protocol_split", f"WITH d AS (SELECT doc_id AS id, source || '|' || lang AS protocol FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), {group_sql('d', 'protocol', 'p1', 0.2, 's6', 16)} SELECT id, protocol, part FROM s6")
+@query("sp6_source_protocol_split", f"WITH d AS (SELECT doc_id AS id, source || '|' || lang AS protocol FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), {group_sql('d', 'protocol', 'p1', 0.2, 's6')} SELECT id, protocol, part FROM s6")
 def _sp6(spark, sf_dir):
     d = read(spark, sf_dir, "documents").filter("source is not null and lang is not null").select(F.col("doc_id").alias("id"), F.concat_ws("|", "source", "lang").alias("protocol"))
-    return S.group_split(d, "protocol", 0.2, "p1", 16).select("id", "protocol", "part")
+    return S.group_split(d, "protocol", 0.2, "p1").select("id", "protocol", "part")
 
 
 def dated(spark, sf_dir):
@@ -95,20 +93,53 @@ def _sp7(spark, sf_dir):
     return S.temporal_split(dated(spark, sf_dir), "id", "t", 0.8).select("id", "part")
 
 
-@query("sp8_split_manifest", f"""WITH {RANDOM}, {group_sql('c', 'grp', 'g1', 0.2, 's2')}, a AS (SELECT 'random' AS split, id, part FROM s1 UNION ALL SELECT 'group', id, part FROM s2)
-SELECT split, part, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY split), 8) AS share, 'ready' AS status FROM a GROUP BY split, part""")
+#: What each of the seven splits claims to hold out.
+CLAIMS = {
+    "random": "sample_random_holdout_not_group_ood", "space_group": "spacegroup_number", "composition": "reduced_stoichiometric_composition", "prototype": "prototype_or_explicit_proxy",
+    "leave_element": "held_out_element", "source_protocol": "reported_source_catalog_functional_key_disjoint_not_full_protocol", "temporal": "catalog_entry_time_not_blind_dft",
+}
+
+
+def materials(spark, sf_dir):
+    """A material a part, with all that the seven splits go by; some have no species, no protocol or no date."""
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").alias("spacegroup"), F.concat_ws("|", "p_brand", "p_type").alias("composition"), F.concat(F.lit("sg"), "p_size").alias("prototype"),
+        F.when(F.col("p_partkey") % 13 != 0, F.concat_ws("|", "p_brand", (F.col("p_partkey") % 5).cast("string"))).alias("protocol"), F.when(F.col("p_partkey") % 17 != 0, F.timestamp_add("DAY", F.col("p_partkey") * 7 % 400, F.lit("2024-01-01").cast("timestamp"))).alias("dated"),
+    )
+    return p.join(species(spark, sf_dir), "id")
+
+
+def seven_splits(spark, sf_dir):
+    m = materials(spark, sf_dir)
+    known = S.group_split(m.filter("protocol is not null"), "protocol", 0.2, "m5").select("id", "part")
+    return {
+        "random": S.random_split(m, "id", 0.8, "m1"), "space_group": S.group_split(m, "spacegroup", 0.2, "m2"), "composition": S.group_split(m, "composition", 0.2, "m3"), "prototype": S.group_split(m, "prototype", 0.2, "m4"),
+        "leave_element": S.leave_element_out(m, "id", "elements", 0.2), "source_protocol": known.unionByName(m.filter("protocol is null").select("id", F.lit("excluded").alias("part"))), "temporal": S.temporal_split(m, "id", "dated", 0.8),
+    }
+
+
+SEVEN = f"""mat AS (SELECT p_partkey AS id, p_size AS spacegroup, p_brand || '|' || p_type AS composition, 'sg' || p_size AS prototype, CASE WHEN p_partkey % 13 <> 0 THEN p_brand || '|' || p_partkey % 5 END AS protocol, CASE WHEN p_partkey % 17 <> 0 THEN p_partkey * 7 % 400 END AS dated FROM part), mp AS (SELECT * FROM mat WHERE protocol IS NOT NULL),
+s1 AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('m1|' || id)) <= CAST(floor(0.8 * (SELECT count(*) FROM mat) + 0.5) AS BIGINT) THEN 'train' ELSE 'test' END AS part FROM mat), {group_sql('mat', 'spacegroup', 'm2', 0.2, 's2')}, {group_sql('mat', 'composition', 'm3', 0.2, 's3')}, {group_sql('mat', 'prototype', 'm4', 0.2, 's4')}, {group_sql('mp', 'protocol', 'm5', 0.2, 's6')},
+{PARTS_SQL}, e AS (SELECT id, list(DISTINCT element ORDER BY element) AS e FROM c GROUP BY id), k AS (SELECT * FROM e WHERE id % 10 <> 0), en AS (SELECT unnest(e) AS e, count(*) AS n FROM k GROUP BY 1), eb AS (SELECT e AS held FROM en ORDER BY round(abs(n / (SELECT count(*) FROM k) - 0.2), 12), e LIMIT 1),
+td AS (SELECT dated, row_number() OVER (ORDER BY dated) AS r, count(*) OVER () AS n FROM mat WHERE dated IS NOT NULL), tc AS (SELECT dated AS cut FROM td WHERE r = greatest(1, CAST(floor(n * 0.8) AS BIGINT))),
+a AS (SELECT 'random' AS split, id, part FROM s1 UNION ALL SELECT 'space_group', id, part FROM s2 UNION ALL SELECT 'composition', id, part FROM s3 UNION ALL SELECT 'prototype', id, part FROM s4 UNION ALL SELECT 'source_protocol', id, part FROM s6 UNION ALL SELECT 'source_protocol', id, 'excluded' FROM mat WHERE protocol IS NULL
+UNION ALL SELECT 'leave_element', id, CASE WHEN id % 10 = 0 THEN 'excluded' WHEN list_contains(e, held) THEN 'test' ELSE 'train' END FROM e, eb UNION ALL SELECT 'temporal', id, CASE WHEN dated IS NULL THEN 'excluded' WHEN dated <= cut THEN 'train' ELSE 'test' END FROM mat, tc)"""
+CLAIM = "CASE split " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLAIMS.items()) + " END"
+
+
+@query("sp8_split_manifest", f"""WITH {SEVEN}, g AS (SELECT split, count(*) FILTER (WHERE part = 'train') AS num_train, count(*) FILTER (WHERE part = 'test') AS num_test, count(*) FILTER (WHERE part = 'excluded') AS num_excluded, round(count(*) FILTER (WHERE part = 'test') / count(*), 6) AS test_fraction FROM a GROUP BY split)
+SELECT split, CASE WHEN num_train = 0 OR num_test = 0 THEN 'unavailable' ELSE 'available' END AS status, {CLAIM} AS claim, num_train, num_test, num_excluded, test_fraction, CASE WHEN num_train = 0 OR num_test = 0 THEN 'a side is empty' END AS reason FROM g""")
 def _sp8(spark, sf_dir):
-    """Summary over several splits: rows and share of every part."""
-    from pyspark.sql import Window
+    """The manifest of the seven splits of all materials."""
+    return S.split_manifest(seven_splits(spark, sf_dir), "id", CLAIMS)
 
-    c = customers(spark, sf_dir)
-    splits = {"random": S.random_split(c, "id", 0.8, "r1"), "group": S.group_split(c, "grp", 0.2, "g1")}
-    rows = reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(k).alias("split"), "id", "part") for k, df in splits.items()])
-    got = rows.groupBy("split", "part").agg(F.count("*").alias("n"))
-    return got.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")), 8)).withColumn("status", F.lit("ready"))
+
+@query("sp8_manifest_ids", f"WITH {SEVEN} SELECT split, part, id FROM a")
+def _sp8_ids(spark, sf_dir):
+    return S.manifest_ids(seven_splits(spark, sf_dir), "id")
 
 
-@query("sp9_grouped_validation", "WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT source, coalesce(sum(n) OVER (ORDER BY md5('v1|' || source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS a FROM n) SELECT doc_id AS id, CASE WHEN b < a * 0.2 THEN 'val' ELSE 'train' END AS part FROM documents JOIN o USING (source)")
+@query("sp9_grouped_validation", "WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT source, coalesce(sum(n) OVER (ORDER BY md5('v1|0|' || source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS a FROM n) SELECT doc_id AS id, CASE WHEN b < a * 0.2 THEN 'val' ELSE 'train' END AS part FROM documents JOIN o USING (source)")
 def _sp9(spark, sf_dir):
     return S.grouped_validation(read(spark, sf_dir, "documents"), "source", 0.2, "v1").select(F.col("doc_id").alias("id"), "part")
 

@@ -1,5 +1,6 @@
 """Invariants and published values on hand-made tables."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -254,3 +255,47 @@ def test_entry_lists_everything():
 
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names) and json.dumps(sorted(names))
+
+
+def test_shuffles_in_blocks_are_the_plain_order(spark):
+    """Ranks and running sums put together from blocks of any size are those of one sort a trial."""
+    rows = spark.createDataFrame([(f"g{i}", i % 7 + 1) for i in range(60)], "g string, n long")
+    want = {}
+    for t in range(3):
+        order = sorted((hashlib.md5(f"s|{t}|g{i}".encode()).hexdigest(), f"g{i}", i % 7 + 1) for i in range(60))
+        for k, (_, g, _) in enumerate(order):
+            want[t, g] = k + 1, sum(n for _, _, n in order[: k + 1])
+    for block in (1, 7, 1000):
+        got = S.shuffles(rows, "g", "s", 3, block).collect()
+        assert {(r["trial"], r["g"]): (r["rank"], r["upto"]) for r in got} == want
+
+
+def test_stratified_search_scores_every_cut(spark):
+    """The chosen cut has the least score of all shuffles and of seven cuts around the wanted share."""
+    rng = np.random.default_rng(0)
+    data = [(f"g{i}", str(c)) for i in range(12) for c in rng.choice(3, rng.integers(1, 9), p=[0.7, 0.2, 0.1])]
+    rows = spark.createDataFrame(data, "g string, c string")
+    got = S.stratified_group_split(rows, "g", "c", 0.3, "s")
+    chosen = {r["g"] for r in got.filter("part = 'test'").select("g").distinct().collect()}
+    n, classes = len(data), sorted({c for _, c in data})
+
+    def score(side):
+        test = [c for g, c in data if g in side]
+        lost = sum((test.count(c) == 0) + (test.count(c) == [x for _, x in data].count(c)) for c in classes)
+        off = np.mean([abs(test.count(c) / len(test) - [x for _, x in data].count(c) / n) for c in classes])
+        return round(abs(len(test) / n - 0.3) + 0.35 * off + 2 * lost, 12)
+
+    scores = []
+    for t in range(256):
+        order = sorted({g for g, _ in data}, key=lambda g: (hashlib.md5(f"s|{t}|{g}".encode()).hexdigest(), g))
+        upto = np.cumsum([sum(x == g for x, _ in data) for g in order])
+        centre = int(np.abs(upto - 0.3 * n).round(9).argmin()) + 1
+        scores += [score(set(order[: max(1, min(11, centre + d))])) for d in range(-3, 4)]
+    assert score(chosen) == min(scores)
+
+
+def test_manifest_tells_what_is_not_there(spark):
+    part = lambda *p: spark.createDataFrame([(i, x) for i, x in enumerate(p)], "id int, part string")
+    got = {r["split"]: r for r in S.split_manifest({"a": part("train", "test", "excluded", "test"), "b": part("test", "test")}, "id", {"a": "x", "b": "y", "c": "z"}, {"c": "no dates"}).collect()}
+    assert (got["a"]["status"], got["a"]["num_test"], got["a"]["num_excluded"], got["a"]["test_fraction"]) == ("available", 2, 1, 0.5)
+    assert got["b"]["status"] == got["c"]["status"] == "unavailable" and got["c"]["reason"] == "no dates" and got["b"]["reason"]
