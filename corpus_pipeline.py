@@ -1,7 +1,9 @@
 """Corpus pipeline: language ID, line dedup, n-gram Jaccard join, source mixing, best-fit packing.
 
 Each stage reads the table that the stage before wrote. All but the last return the columns of
-``documents``; the last returns one row a packed piece.
+``documents``; the last returns one row a packed piece. Stages that hand texts to Python do so in
+Arrow batches of 4 MB, and Python workers give back what a stage has freed, so that an executor's
+memory doesn't climb from stage to stage.
 """
 
 from __future__ import annotations
