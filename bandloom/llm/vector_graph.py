@@ -10,95 +10,121 @@ from pyspark.sql import functions as F
 from .common import connected_components, map_groups, table, unit_hash
 
 
-def robust_prune(vectors: np.ndarray, rows: np.ndarray, degree: int, alpha: float, pool: int) -> np.ndarray:
-    """Neighbours of the nodes ``rows`` (-1 fills) from each one's ``pool`` nearest, pruned by occlusion.
+def robust_prune(vectors: np.ndarray, rows: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Neighbours of the nodes ``rows`` (-1 fills) out of each one's candidates ``cand`` (-1 for none), pruned by occlusion.
 
     The nearest candidate left becomes a neighbour and drops every candidate that is ``alpha`` times
     nearer to it than to the node, by squared distance of unit vectors; so long edges survive.
     """
-    pool = min(pool, len(vectors) - 1)
-    out = np.full((len(rows), degree), -1, np.int32)
-    if pool < 1:
-        return out
-    for lo in range(0, len(rows), 256):
-        own = rows[lo : lo + 256]
-        sims, line = vectors[own] @ vectors.T, np.arange(len(own))
-        sims[line, own] = -np.inf
-        cand = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
-        near = np.take_along_axis(sims, cand, 1)
-        order = np.argsort(-near, axis=1, kind="stable")
-        cand, near = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1)
-        alive, x = np.ones(cand.shape, bool), vectors[cand]
-        between = x @ x.transpose(0, 2, 1)
-        for k in range(degree):
-            pick = alive.argmax(1)
-            ok = alive[line, pick]
-            if not ok.any():
-                break
-            out[lo : lo + 256, k][ok] = cand[line, pick][ok]
-            alive[line, pick] = False
-            alive &= ~(ok[:, None] & (alpha * (1 - between[line, pick]) <= 1 - near))
+    out, line = np.full((len(rows), degree), -1, np.int32), np.arange(len(rows))
+    x = vectors[cand]
+    near = np.einsum("qd,qkd->qk", vectors[rows], x)
+    near[(cand < 0) | (cand == rows[:, None])] = -np.inf
+    order = np.argsort(-near, axis=1, kind="stable")
+    cand, near, x = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1), np.take_along_axis(x, order[:, :, None], 1)
+    alive, between = np.isfinite(near), x @ x.transpose(0, 2, 1)
+    for k in range(degree):
+        pick = alive.argmax(1)
+        ok = alive[line, pick]
+        if not ok.any():
+            break
+        out[ok, k] = cand[line, pick][ok]
+        alive[line, pick] = False
+        alive &= ~(ok[:, None] & (alpha * (1 - between[line, pick]) <= 1 - near))
     return out
 
 
-def build_graph(vectors: np.ndarray, rows: np.ndarray, degree: int = 24, alpha: float = 1.2, pool: int = 64) -> list[np.ndarray]:
-    """Adjacency lists of one shard: robust-pruned edges of ``rows`` and their reverses, and a ring that connects all."""
-    n = len(vectors)
-    out = robust_prune(vectors, rows, degree, alpha, pool)
-    src, dst = np.repeat(rows, out.shape[1]), out.reshape(-1)
-    ok = dst >= 0
-    ring = np.arange(n)
-    a = np.concatenate([src[ok], dst[ok], ring, (ring + 1) % n])
-    b = np.concatenate([dst[ok], src[ok], (ring + 1) % n, ring])
-    pairs = np.unique(a.astype(np.int64) * n + b)
-    a, b = pairs // n, pairs % n
-    keep = a != b
-    return np.split(b[keep], np.cumsum(np.bincount(a[keep], minlength=n))[:-1])
-
-
-def range_search(vectors: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, starts: int, radius: float, beam: int = 32) -> np.ndarray:
-    """Cells (query, node) visited with a similarity of ``radius`` or more, for the nodes ``queries``.
-
-    Greedy: each query starts at the medoid and at its own node and expands its nearest unexpanded
-    node, ``beam`` times; then all unexpanded nodes within the radius at once, until there are none.
-    All queries take their steps side by side.
+def walk(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: list[np.ndarray], beam: int, radius: float | None = None) -> np.ndarray:
+    """Greedy search of the nodes ``queries``: similarity to each node that was visited, minus infinity for others.
+
+    Each query expands its nearest unexpanded node, ``beam`` times; with a ``radius``, then all unexpanded
+    nodes within it at once, until there are none. All queries take their steps side by side, and
+    similarities are worked out for visited nodes only.
+    """
+    own, line = vectors[queries], np.arange(len(queries))
+    sims = np.full((len(queries), len(vectors)), -np.inf, np.float32)
+    todo = sims.copy()
+
+    def visit(q: np.ndarray, at: np.ndarray) -> None:
+        q, at = q.astype(np.int64), at.astype(np.int64)
+        new = (at >= 0) & np.isneginf(sims[q, at])
+        q, at = q[new], at[new]
+        sims[q, at] = todo[q, at] = np.einsum("id,id->i", own[q], vectors[at])
+
+    for at in starts:
+        visit(line, at)
+    live = line
+    for _ in range(beam):
+        best = todo[live].argmax(1)
+        go = np.isfinite(todo[live, best])
+        live, best = live[go], best[go]
+        if not len(live):
+            break
+        todo[live, best] = -np.inf
+        visit(np.repeat(live, links.shape[1]), links[best].reshape(-1))
+    while radius is not None:
+        q, node = np.nonzero(todo >= radius)
+        if not len(q):
+            break
+        todo[q, node] = -np.inf
+        for lo in range(0, len(q), 20_000):
+            visit(np.repeat(q[lo : lo + 20_000], links.shape[1]), links[node[lo : lo + 20_000]].reshape(-1))
+    return sims
+
+
+def build_graph(vectors: np.ndarray, degree: int = 16, alpha: float = 1.2, beam: int = 24, pool: int = 48, batch: int = 256) -> tuple[np.ndarray, int]:
+    """Adjacency lists (-1 fills) of one shard, and its medoid.
+
+    Nodes go in one batch after the other, in a fixed random order: each searches the graph as it is from
+    the medoid, its visited nodes are pruned to its neighbours, and these get it as a neighbour in turn,
+    pruned where a list is full. A second round searches for every node once more in the whole graph.
     """
     n = len(vectors)
-    width = max((len(x) for x in lists), default=0) or 1
-    links = np.full((n, width), -1, np.int32)
-    for i, x in enumerate(lists):
-        links[i, : len(x)] = x
-    found = np.zeros((len(queries), n), bool)
-    for lo in range(0, len(queries), 512):
-        own = queries[lo : lo + 512]
-        line, sims = np.arange(len(own)), vectors[own] @ vectors.T
-        seen, todo = np.zeros(sims.shape, bool), np.full(sims.shape, -np.inf, np.float32)
-        for at in (np.full(len(own), starts), own):
-            seen[line, at], todo[line, at] = True, sims[line, at]
-        live = line
-        for _ in range(beam):
-            best = todo[live].argmax(1)
-            go = np.isfinite(todo[live, best])
-            live, best = live[go], best[go]
-            if not len(live):
-                break
-            todo[live, best] = -np.inf
-            x = links[best]
-            r, c = np.nonzero((x >= 0) & ~seen[live[:, None], x])
-            q, to = live[r], x[r, c]
-            seen[q, to], todo[q, to] = True, sims[q, to]
-        while True:
-            q, node = np.nonzero(todo >= radius)
-            if not len(q):
-                break
-            todo[q, node] = -np.inf
-            for k in range(0, len(q), 50_000):
-                x, r = links[node[k : k + 50_000]], q[k : k + 50_000]
-                i, c = np.nonzero((x >= 0) & ~seen[r[:, None], x])
-                to = x[i, c]
-                seen[r[i], to], todo[r[i], to] = True, sims[r[i], to]
-        found[lo : lo + 512] = seen & (sims >= radius)
-    return found
+    links, filled = np.full((n, 2 * degree), -1, np.int32), np.zeros(n, np.int64)
+    medoid = int((vectors @ vectors.mean(0)).argmax())
+    order = np.random.default_rng(n).permutation(n)
+    order = np.concatenate([[medoid], order[order != medoid]])
+
+    def put(rows: np.ndarray, cand: np.ndarray) -> None:
+        got = robust_prune(vectors, rows, cand, degree, alpha)
+        links[rows] = -1
+        links[rows, :degree] = got
+        filled[rows] = (got >= 0).sum(1)
+        back = np.stack([got.reshape(-1), np.repeat(rows, degree)], 1)
+        back = back[back[:, 0] >= 0]
+        back = back[~(links[back[:, 0]] == back[:, 1:]).any(1)]
+        back = back[np.argsort(back[:, 0], kind="stable")]
+        to, first, more = np.unique(back[:, 0], return_index=True, return_counts=True)
+        nth = np.arange(len(back)) - np.repeat(first, more)
+        fits = np.repeat(filled[to] + more <= 2 * degree, more)
+        at = back[fits]
+        links[at[:, 0], filled[at[:, 0]] + nth[fits]] = at[:, 1]
+        over = filled[to] + more > 2 * degree
+        filled[to[~over]] += more[~over]
+        if over.any():
+            full, rest = to[over], back[~fits]
+            wide = np.full((len(full), int(more[over].max())), -1, np.int32)
+            wide[np.searchsorted(full, rest[:, 0]), nth[~fits]] = rest[:, 1]
+            for lo in range(0, len(full), batch):
+                own = full[lo : lo + batch]
+                got = robust_prune(vectors, own, np.concatenate([links[own], wide[lo : lo + batch]], 1), degree, alpha)
+                links[own] = -1
+                links[own, :degree] = got
+                filled[own] = (got >= 0).sum(1)
+
+    def nearest(rows: np.ndarray) -> np.ndarray:
+        sims = walk(vectors, links, rows, [np.full(len(rows), medoid), rows], beam)
+        k = min(pool, n)
+        cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        return np.where(np.isfinite(np.take_along_axis(sims, cand, 1)), cand, -1)
+
+    for again in (False, True):
+        lo = 0 if again else 1
+        while lo < n:
+            rows = order[lo : lo + (batch if again else min(batch, lo))]  # a batch is at most as large as what is in
+            put(rows, nearest(rows))
+            lo += len(rows)
+    return links, medoid
 
 
 def spread_pivots(pivots: np.ndarray, angle: float) -> np.ndarray:
@@ -111,24 +137,85 @@ def spread_pivots(pivots: np.ndarray, angle: float) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 250, overlap: int = 3, block_rows: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def _unit(frame: pd.DataFrame) -> np.ndarray:
+    x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cells_of(reps: DataFrame, reach: float, shard_rows: int, fan: int, overlap: int, slack: float, levels: int = 12) -> DataFrame:
+    """Overlapping shards: rows of ``reps`` (``space, node, n, v``) with ``cell, homes, fars``, once for each shard.
+
+    A cell of more than ``shard_rows`` is split around at most some ``fan`` of its vectors, sampled by hash,
+    less those within three link angles of another; its members go to the nearest of these pivots
+    (home), to the ``overlap`` nearest, and to all that are at most ``slack`` link angles over the root of
+    the dimension (one link angle at most) farther than the nearest (guests). ``homes`` and ``fars`` tell for
+    each level whether the shard is at home and how far the nearest pivot is. A cell of one pivot, a
+    tight cluster, stays whole. A level sends a vector to a number of cells that doesn't grow with
+    the table, and each part of 4,000 rows the cell's pivots.
+    """
+    open_ = reps.select("space", F.lit("").alias("cell"), "node", "n", "v", F.array().cast("array<boolean>").alias("homes"), F.array().cast("array<double>").alias("fars"), F.lit(False).alias("whole"))
+    leaves: DataFrame | None = None
+    for level in range(levels):
+        sizes = open_.groupBy("space", "cell").agg(F.count("*").alias("m"))
+        rows = table(open_.join(sizes, ["space", "cell"]), f"vec-level-{level}")
+        done = rows.filter(F.col("whole") | (F.col("m") <= shard_rows)).drop("m", "whole")
+        leaves = done if leaves is None else leaves.union(done)
+        rest = rows.filter(~F.col("whole") & (F.col("m") > shard_rows))
+        if rest.isEmpty():
+            return leaves
+        parts = F.ceil(F.col("m") / 4000).cast("int")
+        members = rest.withColumn("part", F.pmod(F.xxhash64("node", F.lit(level)), parts).cast("int")).withColumn("pivot", F.lit(False))
+        wanted = F.least(F.lit(float(fan)), F.greatest(F.lit(8.0), 2 * F.col("m") / shard_rows))
+        pivots = rest.filter(unit_hash("node", F.lit(100 + level)) * F.col("m") < wanted).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("pivot", F.lit(True))
+
+        def assign(frame: pd.DataFrame) -> pd.DataFrame | None:
+            pivot = frame["pivot"].to_numpy(bool)
+            found, frame = frame[pivot].sort_values("node"), frame[~pivot]
+            if not len(frame):
+                return None
+            keep = ["space", "node", "n", "v"]
+            base = [list(x) for x in frame["homes"]], [list(x) for x in frame["fars"]]
+            p = _unit(found) if len(found) else np.zeros((0, 1))
+            p = p[spread_pivots(p, 3 * reach)] if len(found) else p
+            if len(p) < 2:
+                return frame[keep].assign(cell=frame["cell"] + ".0", homes=[x + [True] for x in base[0]], fars=[x + [0.0] for x in base[1]], whole=True)
+            x = _unit(frame)
+            near = min(1.0, slack / x.shape[1] ** 0.5) * reach
+            out = []
+            for lo in range(0, len(x), 512):
+                angle = np.arccos(np.clip(x[lo : lo + 512] @ p.T, -1, 1))
+                least = angle.min(1)
+                inside = angle <= least[:, None] + near + 1e-6
+                np.put_along_axis(inside, np.argsort(angle, axis=1, kind="stable")[:, :overlap], True, 1)
+                r, c = np.nonzero(inside)
+                out.append(np.stack([r + lo, c, angle.argmin(1)[r] == c, least[r]]))
+            r, c, home, far = np.concatenate(out, 1)
+            r = r.astype(np.int64)
+            made = frame.iloc[r][keep].assign(cell=[f"{a}.{int(b)}" for a, b in zip(frame["cell"].iloc[r], c, strict=True)], whole=False)
+            return made.assign(homes=[base[0][i] + [bool(h)] for i, h in zip(r.tolist(), home, strict=True)], fars=[base[1][i] + [float(d)] for i, d in zip(r.tolist(), far, strict=True)])
+
+        schema = "space string, cell string, node string, n long, v array<double>, homes array<boolean>, fars array<double>, whole boolean"
+        open_ = map_groups(members.unionByName(pivots).drop("m", "whole"), ["space", "cell", "part"], assign, schema)
+    return leaves.union(open_.drop("whole"))
+
+
+def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 500, fan: int = 256, overlap: int = 2, slack: float = 3.0, block_rows: int = 1500, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Rows ``(id, n_links, component_id, kept)``: vectors of equal labels linked by a cosine of ``threshold`` or more.
 
     Null labels, null or zero vectors, and vectors with null or non-finite components link with
     nothing. Vectors of another length than the other are never linked with it. Equal vectors of a
-    label are one node with a count. Rows that repeat an id count as rows and share a result; rows
-    without an id are left out.
-
-    Pivots are about one for ``shard_rows`` vectors of a label, sampled by hash, less those within
-    three link angles of another, so a tight cluster has one. A vector is at home in the shard of
-    its nearest pivot and a guest in those of its ``overlap`` nearest and of all that are at most
-    one link angle farther than the nearest. By the triangle inequality, of two linked vectors the one that
-    is farther from its pivot is in the other's home shard, so no link is lost between shards; where
-    vectors are spread evenly, guests make up much of a label. Only those at home are searched for.
-    A shard of more than ``block_rows`` is cut into blocks, and each pair of blocks has a graph of
-    its own, so a label or a cluster with a third of all rows stays bounded.
-    Adjacency lists of a vector's graphs are united before the search. A link counts in the
-    home shard of the end that is nearer to its pivot; every link is verified in double precision. A graph returns counts and a spanning forest, no pairs.
+    label are one node with a count. Rows that repeat an id count as rows and share the smallest
+    component and the largest number of links; rows without an id are left out. An empty table gives
+    no rows; extra columns are ignored.
+
+    ``cells_of`` makes overlapping shards. A shard of more than ``block_rows`` (a tight cluster) is cut
+    into blocks, and each pair of blocks has a graph of its own, so a label or a cluster with a third of
+    all rows stays bounded. Adjacency lists of a vector's graphs are united before the search. Of two
+    vectors the link counts in one shard only: at each level, in the home of the end that is nearer to
+    its pivot, where the other is a guest. Links are found by the search, so some may be missed
+    (``audit_recall`` measures it), and each is verified in double precision. A graph returns counts and a
+    spanning forest, no pairs.
     """
     kind = df.schema[id_col].dataType.simpleString()
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -137,91 +224,63 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 250, ov
     some = F.exists("v", lambda x: x != 0)
     good = rows.filter(F.col("label").isNotNull() & F.col("v").isNotNull() & finite & some)
     key = F.md5(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))))
-    good = table(good.withColumn("key", F.concat_ws("|", "label", key)), "vec-rows")
-    classes = table(good.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "vec-classes")
-    counts = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("m")).withColumn("space", F.concat_ws("|", "label", F.col("dim").cast("string")))
-    reps = classes.select("rep", "n", "v", F.concat_ws("|", "label", F.size("v").cast("string")).alias("space"))
-    share = reps.join(counts.select("space", "m"), "space")
-
+    good = table(good.withColumn("node", F.concat_ws("|", key, "label")), "vec-rows")
+    classes = table(good.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "vec-classes")
     reach = float(np.arccos(np.clip(threshold, -1, 1)))
-
-    def unit(frame: pd.DataFrame) -> np.ndarray:
-        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    # Vectors are dealt to parts; each part of a label also gets the label's pivots, once.
-    def assign(frame: pd.DataFrame) -> pd.DataFrame | None:
-        pivot = frame["pivot"].to_numpy()
-        found, frame = frame[pivot].sort_values("rep"), frame[~pivot]
-        if not len(frame):
-            return None
-        shards, home, far = [[0]] * len(frame), np.zeros(len(frame), np.int64), np.zeros(len(frame))
-        if len(found):
-            x, p = (unit(f) for f in (frame, found))
-            p = p[spread_pivots(p, 3 * reach)]
-            shards = []
-            for lo in range(0, len(x), 512):
-                angle = np.arccos(np.clip(x[lo : lo + 512] @ p.T, -1, 1))
-                least = angle.min(axis=1)
-                home[lo : lo + 512], far[lo : lo + 512] = angle.argmin(axis=1), least
-                inside = angle <= least[:, None] + reach + 1e-6
-                np.put_along_axis(inside, np.argsort(angle, axis=1, kind="stable")[:, :overlap], True, 1)
-                shards += [np.flatnonzero(row) for row in inside]
-        return frame.assign(shards=shards, home=home, far=far)
-
-    parts = F.greatest(F.lit(1), F.ceil(F.col("m") / 4000)).cast("int")
-    share = share.withColumn("parts", parts)
-    members = share.select("rep", "n", "v", "space", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("pivot"))
-    pivots = share.filter(unit_hash("rep", F.lit(5)) * F.col("m") < F.ceil(F.col("m") / shard_rows)).select("rep", "n", "v", "space", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("pivot"))
-    placed = table(map_groups(members.union(pivots), ["space", "part"], assign, f"rep {kind}, n long, v array<double>, space string, shards array<long>, home long, far double"), "vec-shards")
-    each = placed.withColumn("shard", F.explode("shards")).withColumn("home", F.col("home") == F.col("shard"))
-    sizes = each.groupBy("space", "shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"))
-    cells = each.join(sizes, ["space", "shard"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", "shard", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "v", "home", "far")
-    by = ["space", "shard", "p", "q"]
+    reps = classes.select(F.concat_ws("|", "label", F.size("v").cast("string")).alias("space"), "node", "n", "v")
+    each = table(cells_of(reps, reach, shard_rows, fan, overlap, slack), "vec-cells")
+    sizes = each.groupBy("space", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"))
+    blocks = each.join(sizes, ["space", "cell"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "v", "homes", "fars")
+    by = ["space", "cell", "p", "q"]
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["rep"].to_numpy()
-        lists = build_graph(unit(frame).astype(np.float32), np.flatnonzero(frame["home"].to_numpy(bool)))
-        return pd.DataFrame({"space": frame["space"], "rep": ids, "near": [ids[x] for x in lists]})
+        frame = frame.sort_values("node", ignore_index=True)
+        nodes = frame["node"].to_numpy()
+        links, _ = build_graph(_unit(frame).astype(np.float32))
+        return pd.DataFrame({"space": frame["space"], "node": nodes, "near": [nodes[x[x >= 0]] for x in links]})
 
-    edges = map_groups(cells.drop("n", "far"), by, build, f"space string, rep {kind}, near array<{kind}>")
-    united = edges.groupBy("space", "rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    edges = map_groups(cells.select(*by, "node", "v"), by, build, "space string, node string, near array<string>")
+    united = edges.groupBy("space", "node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = table(united, "vec-graph")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame | None:
         if len(frame) < 2:
             return None
-        frame = frame.sort_values("rep", ignore_index=True)
-        x, ids = unit(frame), frame["rep"].to_numpy()
-        at = {r: i for i, r in enumerate(ids.tolist())}
-        lists = [np.array([at[y] for y in near if y in at], np.int64) if near is not None else np.zeros(0, np.int64) for near in frame["near"]]
-        home, far = frame["home"].to_numpy(bool), frame["far"].to_numpy()
-        queries = np.flatnonzero(home)
-        if not len(queries):
-            return None
-        medoid = int(queries[(x[queries] @ x.mean(0)).argmax()])
-        link = range_search(x.astype(np.float32), lists, queries, medoid, threshold - 1e-4)
-        line, at = far[queries, None], queries[:, None]
-        link &= home | (line < far) | ((line == far) & (at < np.arange(len(x))))
-        link[:, queries] = np.triu(link[:, queries] | link[:, queries].T, 1)
-        own, p, q = frame["own"].to_numpy(), int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
+        frame = frame.sort_values("node", ignore_index=True)
+        x, nodes = _unit(frame), frame["node"].to_numpy()
+        at = {r: i for i, r in enumerate(nodes.tolist())}
+        lists = [[at[y] for y in near if y in at] if near is not None else [] for near in frame["near"]]
+        links = np.full((len(x), max(1, max(map(len, lists)))), -1, np.int32)
+        for i, own in enumerate(lists):
+            links[i, : len(own)] = own
+        homes = np.array([list(h) for h in frame["homes"]], bool).reshape(len(x), -1)
+        fars = np.array([list(d) for d in frame["fars"]], float).reshape(len(x), -1)
+        queries = np.flatnonzero(homes[:, -1]) if homes.shape[1] else np.arange(len(x))
+        medoid = int((x @ x.mean(0)).argmax())
+        own, p, q, small = frame["own"].to_numpy(), int(frame["p"].iloc[0]), int(frame["q"].iloc[0]), x.astype(np.float32)
+        n, total, low, seen = frame["n"].to_numpy(np.int64), np.zeros(len(x), np.int64), np.arange(len(x)), []
+        for lo in range(0, len(queries), 256):
+            part = queries[lo : lo + 256]
+            sims = walk(small, links, part, [np.full(len(part), medoid), part], 24, float(np.cos(1.4 * reach)))
+            i, b = np.nonzero(sims >= threshold - 1e-4)
+            a = part[i]
+            seen.append((np.minimum(a, b) * len(x) + np.maximum(a, b))[a != b])
+        a, b = np.divmod(np.unique(np.concatenate(seen)), len(x)) if seen else np.zeros((2, 0), np.int64)  # found from either end
         if p != q:
-            link &= own[queries, None] != own
-        a, b = np.nonzero(link)
-        a = queries[a]
+            ok = own[a] != own[b]
+            a, b = a[ok], b[ok]
+        nearer = (fars[a] < fars[b]) | ((fars[a] == fars[b]) & (a < b)[:, None])
+        ok = np.where(nearer, homes[a], homes[b]).all(1)
+        a, b = a[ok], b[ok]
         ok = np.zeros(len(a), bool)
-        for lo in range(0, len(a), 100_000):
-            ok[lo : lo + 100_000] = np.einsum("ij,ij->i", x[a[lo : lo + 100_000]], x[b[lo : lo + 100_000]]) >= threshold
+        for k in range(0, len(a), 100_000):
+            ok[k : k + 100_000] = np.einsum("ij,ij->i", x[a[k : k + 100_000]], x[b[k : k + 100_000]]) >= threshold
         a, b = a[ok], b[ok]
-        if not len(a):
-            return None
-        n = frame["n"].to_numpy(np.int64)
-        total = np.zeros(len(frame), np.int64)
         np.add.at(total, a, n[b])
         np.add.at(total, b, n[a])
-        low = np.arange(len(frame))
+        if not len(a):
+            return None
         while True:
             new = low.copy()
             np.minimum.at(new, a, low[b])
@@ -231,17 +290,18 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 250, ov
                 break
             low = new
         hit = total > 0
-        return pd.DataFrame({"id": ids[hit], "links": total[hit], "low": ids[low[hit]]})
-
-    joined = cells.join(graph, ["space", "rep"], "left")
-    found = table(map_groups(joined, by, search, f"id {kind}, links long, low {kind}"), "vec-links")
-    classes_of = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "vec-components")
-    links = found.groupBy("id").agg(F.sum("links").alias("links")).join(classes_of, F.col("id") == F.col("node")).select(F.col("id").alias("rep"), "links", "component")
-    known = classes.select("key", "rep", "n").join(links, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    per_row = good.select("id", "key").join(known, "key").groupBy("id").agg(F.min("component").alias("component"), F.max("n_links").alias("n_links"))
+        return pd.DataFrame({"node": nodes[hit], "links": total[hit], "low": nodes[low[hit]]})
+
+    joined = cells.join(graph, ["space", "node"], "left")
+    found = table(map_groups(joined, by, search, "node string, links long, low string"), "vec-links")
+    linked = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "vec-components").join(classes.select("node", "rep"), "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    links = linked.join(least, "component").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "least", "links")
+    known = classes.select("node", "rep", "n").join(links, "node", "left").select("node", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    per_row = good.select("id", "node").join(known, "node").groupBy("id").agg(F.min("component").alias("component"), F.max("n_links").alias("n_links"))
     out = rows.select("id").join(per_row, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast(kind).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def audit_recall(df: DataFrame, every: int = 50, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", result: DataFrame | None = None) -> DataFrame:

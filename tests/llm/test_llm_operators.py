@@ -20,7 +20,7 @@ from bandloom.llm.ngram_join import band_plan, jaccard_links, keep_one
 from bandloom.llm.packing import fullest, minimum_bin_slack, pack, token_pieces
 from bandloom.llm.sharding import kd_shards
 from bandloom.llm.suffix_dedup import Prefixes, suffix_dedup, suffix_sort
-from bandloom.llm.vector_graph import audit_recall, near_links
+from bandloom.llm.vector_graph import audit_recall, build_graph, cells_of, near_links, walk
 from bandloom.llm.warc import BORDER, assemble, captures, parse_warc, read_warc, write_warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, n_lines string, score string, `group` int, key string"
@@ -701,25 +701,68 @@ def test_near_links(spark):
         hit = sum(min(r["n_links"], want[r["id"]][0]) for r in got.collect())
         assert hit >= 0.97 * sum(w[0] for w in want.values())
         assert all(r["n_links"] <= want[r["id"]][0] for r in got.collect())
-    assert {r["id"]: tuple(r)[1:] for r in near_links(df).collect()} == want
+    got = {r["id"]: tuple(r)[1:] for r in near_links(df).collect()}  # one shard a label
+    assert sum(got[k][0] for k in want) >= 0.99 * sum(w[0] for w in want.values()) and {k: g for k, g in got.items() if want[k][0] == 0} == {k: w for k, w in want.items() if w[0] == 0}
     told = audit_recall(df.filter("size(embedding) = 16 and vec_id < 402"), every=5).first()
-    assert told["recall"] >= 0.9 and told["queries"] > 50
+    assert told["wanted"] > 100 and told["recall"] >= 0.9 and told["queries"] > 50
     assert near_links(df.limit(0)).count() == 0
 
 
+def brute_counts(x, label):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    return link.sum(1)
+
+
 def test_near_links_of_a_cluster_with_many_pivots(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=16) + rng.normal(size=(900, 16)) * 0.14, rng.normal(size=(600, 16))])
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    link = x @ x.T >= 0.98
-    np.fill_diagonal(link, False)
-    assert link.sum() > 100_000
-    for rows, block in ((20, 2000), (20, 300), (250, 2000)):
+    want = brute_counts(x, np.zeros(len(x)))
+    assert want.sum() > 100_000
+    for rows, block in ((40, 2000), (40, 300), (250, 2000)):
         got = {r["id"]: r["n_links"] for r in near_links(df, shard_rows=rows, block_rows=block).collect()}
         n = np.array([got[i] for i in range(len(x))])
-        assert (n <= link.sum(1)).all()
-        assert n.sum() >= 0.999 * link.sum()
+        assert (n <= want).all() and n.sum() >= 0.98 * want.sum()
+
+
+def test_near_links_in_many_small_groups(spark):
+    """Groups without a pivot of their own, over several levels of cells: the recall of links that exist is measured."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(700, 64))
+    x = base[rng.integers(0, 700, 2400)] + rng.normal(size=(2400, 64)) * rng.choice([0.03, 0.1], (2400, 1))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = brute_counts(x, np.zeros(len(x)))
+    assert want.sum() > 4000
+    got = {r["id"]: r["n_links"] for r in near_links(df, shard_rows=60, fan=12).collect()}
+    n = np.array([got[i] for i in range(len(x))])
+    assert (n <= want).all() and n.sum() >= 0.9 * want.sum()
+
+
+def test_cells_grow_with_the_table_not_with_its_square(spark):
+    """Four and sixteen times as many vectors of one label: a vector goes to hardly more cells."""
+    rng, per = np.random.default_rng(7), []
+    x = rng.normal(size=(6400, 32))
+    for n in (400, 1600, 6400):
+        reps = spark.createDataFrame([("s", f"{i:05d}", 1, x[i].tolist()) for i in range(n)], "space string, node string, n long, v array<double>")
+        per.append(cells_of(reps, float(np.arccos(0.98)), 200, 32, 2, 3.0).count() / n)
+    assert per[2] < 2.5 * per[1] and per[1] < 2.5 * per[0] * 2
+
+
+def test_graph_is_searched_not_compared(spark):
+    """Greedy walks visit a part of a shard's nodes, and find the links of a tight cluster and of pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x[:60] = x[0] + rng.normal(size=(60, 32)) * 0.1
+    x[500:600] = x[400:500] + rng.normal(size=(100, 32)) * 0.05
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    links, medoid = build_graph(x)
+    assert (links >= 0).sum(1).max() <= links.shape[1] and not (links == np.arange(900)[:, None]).any()
+    sims = walk(x, links, np.arange(900), [np.full(900, medoid), np.arange(900)], 24, float(np.cos(1.4 * np.arccos(0.98))))
+    true = x @ x.T >= 0.98
+    found = np.isfinite(sims) & true
+    assert (found | found.T)[true].mean() >= 0.98 and np.isfinite(sims).mean() < 0.6
 
 
 def test_warc(spark, tmp_path):
