@@ -12,21 +12,25 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def scores(queries: DataFrame, gallery: DataFrame, blocks: int = 1) -> DataFrame:
+def scores(queries: DataFrame, gallery: DataFrame, blocks: int = 1, parts: int | None = None) -> DataFrame:
     """JN19: cosine of a stated query set against all rows of the gallery, in blocks.
 
-    Queries are dealt to ``blocks``; each gallery row meets each block once. Vectors of zero or
-    non-finite length are refused (no rows). Both tables have ``id, v``.
+    Queries are dealt to ``blocks``, gallery rows to ``parts`` by hash (one for 20,000 rows); every block
+    meets every part, so the product is spread over blocks times parts. A query set that Spark finds
+    small enough is broadcast instead. Vectors of zero or non-finite length are refused (no rows). Both
+    tables have ``id, v``.
     """
-    q = queries.select(F.col("id").alias("query"), unit_vector(F.col("v")).alias("qv")).filter("qv is not null").withColumn("block", F.pmod(F.hash("query"), F.lit(blocks)))
-    g = gallery.select(F.col("id").alias("found"), unit_vector(F.col("v")).alias("gv")).filter("gv is not null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return g.join(q, "block").select("query", "found", dot("qv", "gv").alias("score"))
+    parts = parts or max(1, -(-gallery.count() // 20_000))
+    q = queries.select(F.col("id").alias("query"), unit_vector(F.col("v")).alias("qv")).filter("qv is not null").withColumn("block", F.pmod(F.hash("query"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    g = gallery.select(F.col("id").alias("found"), unit_vector(F.col("v")).alias("gv")).filter("gv is not null").withColumn("part", F.pmod(F.xxhash64("found"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return g.join(q, ["block", "part"]).select("query", "found", "part", dot("qv", "gv").alias("score"))
 
 
 def top_k(pairs: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """JN19: the k best of each query by rounded score, the smaller id first on ties."""
-    o = Window.partitionBy("query").orderBy(F.round("score", digits).desc(), "found")
-    return pairs.withColumn("rank", F.row_number().over(o)).filter(F.col("rank") <= k)
+    """JN19: the k best of each query by rounded score, the smaller id first on ties; first of each part, then of all."""
+    best = [F.round("score", digits).desc(), F.col("found")]
+    some = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query", "part").orderBy(*best))).filter(F.col("rank") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*best))).filter(F.col("rank") <= k).drop("part")
 
 
 def ranks(pairs: DataFrame, digits: int = 9) -> DataFrame:

@@ -29,6 +29,32 @@ def exact_cut(rows: DataFrame, order: Column, n: int, prefix: Column, flag: str
     return edge.unionByName(rest).drop("__o", "__p", "__c", "__before", "__edge")
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[Column], block: Column, name: str) -> DataFrame:
+    """Add ``name``, the place of a row (from 1) in its group in ``order``; ``block`` is a coarse key that sorts like it.
+
+    Counts per block give each block its first place; only a block is ranked in one task, so a group with
+    a third of all rows is no task of its own.
+    """
+    keyed_ = rows.withColumn("__b", block)
+    upto = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed_.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
+    first = counts.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__at"), F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__first"))
+    same = F.col("__b").eqNullSafe(F.col("__at"))
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order))
+    return keyed_.join(first, same).withColumn(name, (F.col("__first") + inside).cast("int")).select(*[c for c in rows.columns if c != name], name)
+
+
+def blocks_of(rows: DataFrame, key: str, blocks: int = 1024) -> Column:
+    """A coarse key that sorts like ``key``: its share of the range of a number, else the first characters of a text."""
+    if rows.schema[key].dataType.typeName() in ("string", "char", "varchar"):
+        return F.substring(key, 1, 3)
+    ends = rows.agg(F.min(F.col(key).cast("double")).alias("a"), F.max(F.col(key).cast("double")).alias("b")).first()
+    low, width = ends["a"] or 0.0, (ends["b"] or 0.0) - (ends["a"] or 0.0)
+    return F.floor((F.col(key).cast("double") - low) / (width or 1.0) * blocks)
+
+
 def random_split(rows: DataFrame, key: str, train: float, seed: str) -> DataFrame:
     """SP1: exactly round(train * n) rows train, by hash order."""
     n = rows.count()
@@ -172,8 +198,8 @@ def temporal_split(rows: DataFrame, key: str, time: str, train: float) -> DataFr
 
 def stride_split(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """SP10: every n-th row of a group goes to validation."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("part", F.when(rank % n == 0, "val").otherwise("train"))
+    got = ranked(rows, [group], [F.col(order)], blocks_of(rows, order), "__place")
+    return got.withColumn("part", F.when((F.col("__place") - 1) % n == 0, "val").otherwise("train")).drop("__place")
 
 
 def grouped_validation(rows: DataFrame, group: str, share: float, seed: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .splits import exact_cut, keyed
+from .splits import blocks_of, exact_cut, keyed, ranked
 
 
 def diverse_order(rows: DataFrame, group: str, kind: str, key: str) -> DataFrame:
@@ -13,8 +13,8 @@ def diverse_order(rows: DataFrame, group: str, kind: str, key: str) -> DataFrame
 
     ``turn`` is a row's place in its kind, ``round`` its place in its group.
     """
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group, kind).orderBy(key)))
-    return rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy("turn", kind, key)))
+    rows = ranked(rows, [group, kind], [F.col(key)], blocks_of(rows, key), "turn")
+    return ranked(rows, [group], [F.col("turn"), F.col(kind), F.col(key)], F.floor(F.col("turn") / 256), "round")
 
 
 def quota_by_bin(rows: DataFrame, key: str, bin_: str, bins: int, total: int, seed: str) -> DataFrame:
@@ -23,12 +23,12 @@ def quota_by_bin(rows: DataFrame, key: str, bin_: str, bins: int, total: int, se
     Rows are ranked by hash in their bin; spare places go round the bins, so only the ranks near
     the quotas meet in a global order.
     """
-    order = Window.partitionBy(bin_).orderBy(keyed(seed, key))
-    ranked = rows.withColumn("k", F.row_number().over(order))
+    digest = keyed(seed, key)
+    placed = ranked(rows, [bin_], [digest], F.substring(digest, 1, 3), "k")
     quota = F.lit(total // bins) + F.when(F.col(bin_) < total % bins, 1).otherwise(0)
     sizes = rows.groupBy(bin_).agg(F.count("*").alias("n")).withColumn("quota", quota)
     spare = sizes.agg(F.sum(F.greatest(F.lit(0), F.col("quota") - F.col("n"))).alias("spare"))
-    marked = ranked.join(F.broadcast(sizes), bin_).crossJoin(F.broadcast(spare))
+    marked = placed.join(F.broadcast(sizes), bin_).crossJoin(F.broadcast(spare))
     first = marked.filter("k <= quota")
     # The spare is at most the total, so are the rows of each bin that can take it.
     waiting = marked.filter("k > quota and k <= quota + spare")
