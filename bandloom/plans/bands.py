@@ -219,32 +219,40 @@ def _wn9(spark, sf_dir):
     return B.span_mask(points(spark, sf_dir), 3, 0.15, 0.30, "m1").select("path_id", "segment_id", "k_idx", "masked")
 
 
-@query("tk3_fermi_window", f"""WITH {SHIFTED},
-r AS (SELECT path_id, band_id, min(energy) AS low, max(energy) AS high FROM d GROUP BY ALL),
+WINDOW = """r AS (SELECT path_id, band_id, min(energy) AS low, max(energy) AS high FROM d GROUP BY ALL),
 f AS (SELECT *, high <= 0 AS below, low >= 0 AS above, max(CASE WHEN NOT high <= 0 AND NOT low >= 0 THEN 1 ELSE 0 END) OVER w AS mixed, max(CAST(high <= 0 AS INT)) OVER w + max(CAST(low >= 0 AS INT)) OVER w AS sides,
       low <= 60 AND high >= -60 AS overlap, max(CAST(low <= 60 AND high >= -60 AS INT)) OVER w AS any_in FROM r WINDOW w AS (PARTITION BY path_id)),
 s AS (SELECT *, mixed = 0 AND sides = 2 AS clean, CASE WHEN mixed = 0 AND sides = 2 THEN CASE WHEN below THEN 0 ELSE 1 END ELSE 2 END AS side, CASE WHEN below THEN -high WHEN above THEN low ELSE 0 END AS distance FROM f),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY path_id, side ORDER BY CAST(overlap AS INT) DESC, distance, band_id) AS INT) AS rank FROM s)
-SELECT path_id, band_id, side, rank, round(distance, 8) AS distance FROM k WHERE rank <= CASE side WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE CASE WHEN any_in = 1 THEN 3 ELSE 2 END END AND (clean OR overlap OR any_in = 0)""")
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY path_id, side ORDER BY CAST(overlap AS INT) DESC, distance, band_id) AS INT) AS rank FROM s),
+chosen AS (SELECT * FROM k WHERE rank <= CASE side WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE CASE WHEN any_in = 1 THEN 3 ELSE 2 END END AND (clean OR overlap OR any_in = 0))"""
+
+
+@query("tk3_fermi_window", f"WITH {SHIFTED}, {WINDOW} SELECT path_id, band_id, side, rank, round(distance, 8) AS distance FROM chosen")
 def _tk3(spark, sf_dir):
     return r8(B.fermi_window(shifted(spark, sf_dir), 3, 60.0), "distance")
 
 
-@query("fn1_resample", f"""WITH {DAILY},
-x AS (SELECT path_id, band_id, k AS x, avg(energy) AS y FROM d GROUP BY ALL),
-a AS (SELECT *, lead(x) OVER o - x AS h, (lead(y) OVER o - y) / (lead(x) OVER o - x) AS dd, count(*) OVER (PARTITION BY path_id, band_id) AS n, row_number() OVER o AS i FROM x WINDOW o AS (PARTITION BY path_id, band_id ORDER BY x)),
-b AS (SELECT *, lag(h) OVER o AS h0, lag(dd) OVER o AS d0, lead(h) OVER o AS h2, lead(dd) OVER o AS d2, lag(h, 2) OVER o AS h00, lag(dd, 2) OVER o AS d00 FROM a WINDOW o AS (PARTITION BY path_id, band_id ORDER BY x)),
-c AS (SELECT *, ((2 * h + h2) * dd - h * d2) / (h + h2) AS e1, ((2 * h0 + h00) * d0 - h0 * d00) / (h0 + h00) AS e2 FROM b),
-m AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN coalesce(dd, d0)
+def resample_sql(p: str, source: str, keys: str, size: int, x: str = "k", y: str = "energy") -> str:
+    """CTEs that resample ``source``; the last one, named ``p`` and r, has the keys, cell and value."""
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    own = ", ".join(f"g.{k}" for k in keys.split(", "))
+    return f"""{p}x AS (SELECT {keys}, {x} AS x, avg({y}) AS y FROM {source} WHERE {y} IS NOT NULL GROUP BY ALL),
+{p}a AS (SELECT *, lead(x) OVER o - x AS h, (lead(y) OVER o - y) / (lead(x) OVER o - x) AS dd, count(*) OVER (PARTITION BY {keys}) AS n, row_number() OVER o AS i FROM {p}x WINDOW o AS (PARTITION BY {keys} ORDER BY x)),
+{p}b AS (SELECT *, lag(h) OVER o AS h0, lag(dd) OVER o AS d0, lead(h) OVER o AS h2, lead(dd) OVER o AS d2, lag(h, 2) OVER o AS h00, lag(dd, 2) OVER o AS d00 FROM {p}a WINDOW o AS (PARTITION BY {keys} ORDER BY x)),
+{p}c AS (SELECT *, ((2 * h + h2) * dd - h * d2) / (h + h2) AS e1, ((2 * h0 + h00) * d0 - h0 * d00) / (h0 + h00) AS e2 FROM {p}b),
+{p}m AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN coalesce(dd, d0)
       WHEN i = 1 THEN CASE WHEN sign(e1) <> sign(dd) THEN 0 WHEN sign(dd) <> sign(d2) AND abs(e1) > 3 * abs(dd) THEN 3 * dd ELSE e1 END
       WHEN i = n THEN CASE WHEN sign(e2) <> sign(d0) THEN 0 WHEN sign(d0) <> sign(d00) AND abs(e2) > 3 * abs(d0) THEN 3 * d0 ELSE e2 END
-      WHEN d0 * dd <= 0 THEN 0 ELSE (3 * h + 3 * h0) / ((2 * h + h0) / d0 + (h + 2 * h0) / dd) END AS m FROM c),
-q AS (SELECT path_id, band_id, x, y, h, m, lead(y) OVER o AS y1, lead(m) OVER o AS m1, min(x) OVER g AS lo, max(x) OVER g AS hi, n, i FROM m WINDOW o AS (PARTITION BY path_id, band_id ORDER BY x), g AS (PARTITION BY path_id, band_id)),
-g AS (SELECT DISTINCT path_id, band_id, lo, hi, n, unnest(range(17)) AS cell FROM q),
-t AS (SELECT g.path_id, g.band_id, g.cell, q.y, q.n, q.h, q.m, q.y1, q.m1, CASE WHEN g.n = 1 THEN 0 ELSE (g.lo + g.cell * (g.hi - g.lo) / 16 - q.x) / q.h END AS t,
-      row_number() OVER (PARTITION BY g.path_id, g.band_id, g.cell ORDER BY q.x DESC) AS k
-      FROM g JOIN q ON g.path_id = q.path_id AND g.band_id = q.band_id AND (g.n = 1 OR (q.h IS NOT NULL AND q.x <= g.lo + g.cell * (g.hi - g.lo) / 16 + 1e-9)))
-SELECT path_id, band_id, CAST(cell AS INT) AS cell, round(CASE WHEN n = 1 THEN y ELSE (1 + 2 * t) * (1 - t) * (1 - t) * y + t * (1 - t) * (1 - t) * h * m + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * m1 END, 10) + 0 AS value FROM t WHERE k = 1""")
+      WHEN d0 * dd <= 0 THEN 0 ELSE (3 * h + 3 * h0) / ((2 * h + h0) / d0 + (h + 2 * h0) / dd) END AS m FROM {p}c),
+{p}q AS (SELECT {keys}, x, y, h, m, lead(y) OVER o AS y1, lead(m) OVER o AS m1, min(x) OVER g AS lo, max(x) OVER g AS hi, n, i FROM {p}m WINDOW o AS (PARTITION BY {keys} ORDER BY x), g AS (PARTITION BY {keys})),
+{p}g AS (SELECT DISTINCT {keys}, lo, hi, n, unnest(range({size})) AS cell FROM {p}q),
+{p}t AS (SELECT {own}, g.cell, q.y, q.n, q.h, q.m, q.y1, q.m1, CASE WHEN g.n = 1 THEN 0 ELSE (g.lo + g.cell * (g.hi - g.lo) / {size - 1} - q.x) / q.h END AS t,
+      row_number() OVER (PARTITION BY {own}, g.cell ORDER BY q.x DESC) AS k
+      FROM {p}g g JOIN {p}q q ON {same("g", "q")} AND (g.n = 1 OR (q.h IS NOT NULL AND q.x <= g.lo + g.cell * (g.hi - g.lo) / {size - 1} + 1e-9))),
+{p}r AS (SELECT {keys}, CAST(cell AS INT) AS cell, CASE WHEN n = 1 THEN y ELSE (1 + 2 * t) * (1 - t) * (1 - t) * y + t * (1 - t) * (1 - t) * h * m + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * m1 END AS value FROM {p}t WHERE k = 1)"""
+
+
+@query("fn1_resample", f"WITH {DAILY}, {resample_sql('z', 'd', 'path_id, band_id', 17)} SELECT path_id, band_id, cell, round(value, 10) + 0 AS value FROM zr")
 def _fn1(spark, sf_dir):
     return B.resample(daily(spark, sf_dir), 17, ["path_id", "band_id"]).select("path_id", "band_id", "cell", (F.round("value", 10) + F.lit(0)).alias("value"))
 
@@ -292,11 +300,15 @@ def _ag23(spark, sf_dir):
     return r8(M.gap_summary(g), "gap_mae", "insulator_mae", "false_gap_rate")
 
 
-@query("ag24_path_diagnostics", f"""WITH {DAILY},
-o AS (SELECT path_id, segment_id, k_idx, band_id, energy, lag(energy) OVER (PARTITION BY path_id, k_idx ORDER BY band_id) AS under FROM d),
-i AS (SELECT path_id, segment_id, count(*) FILTER (WHERE energy < under) AS inversions, min(abs(energy - under)) AS min_separation, count(*) FILTER (WHERE energy <= 0) AS occupied, count(*) FILTER (WHERE energy > 0) AS empty FROM o GROUP BY ALL),
-b AS (SELECT path_id, segment_id, band_id, var_pop(energy) AS v FROM d GROUP BY ALL), r AS (SELECT path_id, segment_id, sqrt(avg(v)) AS dispersion FROM b GROUP BY ALL)
-SELECT path_id, segment_id, inversions, round(min_separation, 8) AS min_separation, occupied, empty, round(dispersion, 8) AS dispersion, CASE WHEN occupied > 0 AND empty > 0 THEN 'both' WHEN occupied > 0 THEN 'valence only' ELSE 'conduction only' END AS frontier FROM i JOIN r USING (path_id, segment_id)""")
+def diagnostics_sql(p: str, source: str) -> str:
+    """CTEs of the diagnostics of ``source``; the last one is named ``p`` and z."""
+    return f"""{p}o AS (SELECT path_id, segment_id, k_idx, band_id, energy, lag(energy) OVER (PARTITION BY path_id, k_idx ORDER BY band_id) AS under FROM {source}),
+{p}i AS (SELECT path_id, segment_id, count(*) FILTER (WHERE energy < under) AS inversions, min(abs(energy - under)) AS min_separation, count(*) FILTER (WHERE energy <= 0) AS occupied, count(*) FILTER (WHERE energy > 0) AS empty FROM {p}o GROUP BY ALL),
+{p}b AS (SELECT path_id, segment_id, band_id, var_pop(energy) AS v FROM {source} GROUP BY ALL), {p}v AS (SELECT path_id, segment_id, sqrt(avg(v)) AS dispersion FROM {p}b GROUP BY ALL),
+{p}z AS (SELECT path_id, segment_id, inversions, round(min_separation, 8) AS min_separation, occupied, empty, round(dispersion, 8) AS dispersion, CASE WHEN occupied > 0 AND empty > 0 THEN 'both' WHEN occupied > 0 THEN 'valence only' ELSE 'conduction only' END AS frontier FROM {p}i JOIN {p}v USING (path_id, segment_id))"""
+
+
+@query("ag24_path_diagnostics", f"WITH {DAILY}, {diagnostics_sql('y', 'd')} SELECT * FROM yz")
 def _ag24(spark, sf_dir):
     got = M.path_diagnostics(daily(spark, sf_dir))
     return r8(got, "min_separation").withColumn("dispersion", F.round("dispersion", 8))

@@ -7,26 +7,40 @@ from pyspark.sql import functions as F
 from ..operators import features as X
 from ..registry import query, read, shared_folder
 from ..sources import records as S
-from .bands import daily, points, shifted
+from .bands import DAILY, POINTS, SHIFTED, WINDOW, _power_sums, daily, diagnostics_sql, points, resample_sql, shifted
 
+PICKED = f"{SHIFTED}, {WINDOW}, slots AS (SELECT path_id, band_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY side, rank, band_id) - 1 AS INT) AS slot FROM chosen), picked AS (SELECT d.* FROM d JOIN slots USING (path_id, band_id)), {resample_sql('z', 'picked', 'path_id, band_id, segment_id', 9)}"
 
-@query("fn2_extract_bands")
+
+@query("fn2_extract_bands", f"WITH {PICKED} SELECT path_id, slot, band_id, segment_id, cell, round(value, 8) AS value FROM zr JOIN slots USING (path_id, band_id)")
 def _fn2(spark, sf_dir):
     return X.extract_bands(shifted(spark, sf_dir), 3, 60.0, 9).withColumn("value", F.round("value", 8))
 
 
-@query("fn3_edge_features")
+@query("fn3_edge_features", f"""WITH {POINTS}, ev AS (SELECT path_id, segment_id AS k, max(CASE WHEN energy <= 0 THEN energy END) AS vbm, min(CASE WHEN energy >= 0 THEN energy END) AS cbm FROM p GROUP BY ALL), ew AS (SELECT *, min(CASE WHEN vbm IS NOT NULL AND cbm IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY path_id) AS whole FROM ev),
+env AS (SELECT path_id, CAST(k AS DOUBLE) AS k, vbm, cbm FROM ew WHERE whole = 1), {resample_sql('l', 'env', 'path_id', 32, y='vbm')}, {resample_sql('u_', 'env', 'path_id', 32, y='cbm')},
+d AS (SELECT path_id, 'vbm' AS edge, cell AS k_idx, least(value, 0) AS energy FROM lr UNION ALL SELECT path_id, 'cbm', cell, greatest(value, 0) FROM u_r), {_power_sums('k_idx', 'energy', 'path_id, edge', 'k_idx')},
+top AS (SELECT path_id, edge, first(k_idx ORDER BY CASE WHEN edge = 'vbm' THEN -energy ELSE energy END, k_idx) AS top FROM d GROUP BY ALL)
+SELECT path_id, edge, k_idx AS cell, round(energy, 8) AS energy, round(2 * (t2 * (n * s2 - s1 * s1) - t1 * (n * s3 - s1 * s2) + t0 * (s1 * s3 - s2 * s2)) / (s4 * (n * s2 - s1 * s1) - s3 * (n * s3 - s1 * s2) + s2 * (s1 * s3 - s2 * s2)), 8) AS curvature, round((k_idx - top) / 31.0, 8) AS distance FROM u JOIN top USING (path_id, edge)""")
 def _fn3(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("k_idx", F.col("segment_id")).withColumn("k", F.col("segment_id").cast("double"))
     return X.edge_features(p, 32).withColumns({c: F.round(c, 8) for c in ("energy", "curvature", "distance")})
 
 
-@query("ag25_resampling_audit")
+@query("ag25_resampling_audit", f"""WITH {PICKED}, grid AS (SELECT path_id, band_id, segment_id, segment_id * 9 + cell AS k_idx, value AS energy FROM zr), {diagnostics_sql('f_', 'd')}, {diagnostics_sql('g_', 'picked')}, {diagnostics_sql('h_', 'grid')}
+SELECT *, 'raw_full' AS stage FROM f_z UNION ALL SELECT *, 'raw_selected' FROM g_z UNION ALL SELECT *, 'resampled' FROM h_z""")
 def _ag25(spark, sf_dir):
     return X.resampling_audit(shifted(spark, sf_dir), 3, 60.0, 9).withColumns({c: F.round(c, 8) for c in ("min_separation", "dispersion")})
 
 
-@query("fn12_directional_mass")
+@query("fn12_directional_mass", f"""WITH {DAILY}, w0 AS (SELECT *, list(struct_pack(k := k, e := energy, s := segment_id, i := k_idx)) OVER (PARTITION BY path_id, band_id ORDER BY k_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w, row_number() OVER (PARTITION BY path_id, band_id ORDER BY energy, k_idx) AS o FROM d),
+best AS (SELECT path_id, band_id, k_idx, w, len(w) = 5 AND coalesce(w[3].i, -1) = k_idx AND len(list_distinct([z.s for z in w])) = 1 AS inside FROM w0 WHERE o = 1), mine AS (SELECT path_id, band_id, unnest(w) AS v FROM best),
+near AS (SELECT m.path_id, m.band_id, d.band_id AS other, min(abs(d.energy - m.v.e)) AS m, count(DISTINCT sign(d.energy - m.v.e)) AS s FROM mine m JOIN d ON d.path_id = m.path_id AND d.k_idx = m.v.i AND d.band_id <> m.band_id GROUP BY ALL), touched AS (SELECT DISTINCT path_id, band_id FROM near WHERE m <= 1e-6 OR s > 1),
+xy AS (SELECT b.*, t.path_id IS NOT NULL AS touched, [z.k - w[3].k for z in w] AS x, [z.e - w[3].e for z in w] AS y FROM best b LEFT JOIN touched t USING (path_id, band_id)),
+sums AS (SELECT *, list_sum(x) AS s1, list_sum([a ** 2 for a in x]) AS s2, list_sum([a ** 3 for a in x]) AS s3, list_sum([a ** 4 for a in x]) AS s4, list_sum(y) AS t0, list_sum([x[i] * y[i] for i in range(1, 6)]) AS t1, list_sum([x[i] ** 2 * y[i] for i in range(1, 6)]) AS t2, (y[4] / x[4] - y[2] / x[2]) / (x[4] - x[2]) AS a3 FROM xy),
+fit AS (SELECT *, (t2 * (5 * s2 - s1 * s1) - t1 * (5 * s3 - s1 * s2) + t0 * (s1 * s3 - s2 * s2)) / (s4 * (5 * s2 - s1 * s1) - s3 * (5 * s3 - s1 * s2) + s2 * (s1 * s3 - s2 * s2)) AS a5 FROM sums),
+told AS (SELECT *, CASE WHEN NOT inside THEN 'end of segment' WHEN touched THEN 'branch not isolated' WHEN NOT (y[2] > 0 AND y[4] > 0) OR a5 <= 0 OR abs(a5 - a3) > 1e-5 * abs(a3) THEN 'not quadratic' ELSE 'local quadratic fit' END AS reason FROM fit)
+SELECT path_id, band_id, k_idx, reason, CASE WHEN reason = 'local quadratic fit' THEN round(1 / (2 * a5), 8) END AS mass FROM told""")
 def _fn12(spark, sf_dir):
     return X.directional_mass(daily(spark, sf_dir), True).withColumn("mass", F.round("mass", 8))
 
