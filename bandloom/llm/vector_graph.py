@@ -49,7 +49,9 @@ def walk(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: li
         q, at = q.astype(np.int64), at.astype(np.int64)
         new = (at >= 0) & np.isneginf(sims[q, at])
         q, at = q[new], at[new]
-        sims[q, at] = todo[q, at] = np.einsum("id,id->i", own[q], vectors[at])
+        for lo in range(0, len(q), 50_000):
+            a, b = q[lo : lo + 50_000], at[lo : lo + 50_000]
+            sims[a, b] = todo[a, b] = np.einsum("id,id->i", own[a], vectors[b])
 
     for at in starts:
         visit(line, at)
@@ -62,14 +64,17 @@ def walk(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: li
             break
         todo[live, best] = -np.inf
         visit(np.repeat(live, links.shape[1]), links[best].reshape(-1))
-    while radius is not None:
-        q, node = np.nonzero(todo >= radius)
-        if not len(q):
-            break
-        todo[q, node] = -np.inf
-        for lo in range(0, len(q), 20_000):
-            visit(np.repeat(q[lo : lo + 20_000], links.shape[1]), links[node[lo : lo + 20_000]].reshape(-1))
-    return sims
+    if radius is None:
+        return sims
+    edges = np.zeros((len(vectors), len(vectors)), np.float32)
+    i, k = np.nonzero(links >= 0)
+    edges[i, links[i, k]] = 1
+    while True:  # what a whole front reaches is one product with the edges
+        front = todo >= radius
+        if not front.any():
+            return sims
+        todo[front] = -np.inf
+        visit(*np.nonzero((front.astype(np.float32) @ edges > 0) & np.isneginf(sims)))
 
 
 def build_graph(vectors: np.ndarray, degree: int = 16, alpha: float = 1.2, beam: int = 24, pool: int = 48, batch: int = 256) -> tuple[np.ndarray, int]:
@@ -166,7 +171,7 @@ def cells_of(reps: DataFrame, reach: float, shard_rows: int, fan: int, overlap:
             return leaves
         parts = F.ceil(F.col("m") / 4000).cast("int")
         members = rest.withColumn("part", F.pmod(F.xxhash64("node", F.lit(level)), parts).cast("int")).withColumn("pivot", F.lit(False))
-        wanted = F.least(F.lit(float(fan)), F.greatest(F.lit(8.0), 2 * F.col("m") / shard_rows))
+        wanted = F.least(F.lit(float(fan)), F.greatest(F.lit(8.0), 4 * F.col("m") / shard_rows))
         pivots = rest.filter(unit_hash("node", F.lit(100 + level)) * F.col("m") < wanted).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("pivot", F.lit(True))
 
         def assign(frame: pd.DataFrame) -> pd.DataFrame | None:
@@ -195,12 +200,12 @@ def cells_of(reps: DataFrame, reach: float, shard_rows: int, fan: int, overlap:
             made = frame.iloc[r][keep].assign(cell=[f"{a}.{int(b)}" for a, b in zip(frame["cell"].iloc[r], c, strict=True)], whole=False)
             return made.assign(homes=[base[0][i] + [bool(h)] for i, h in zip(r.tolist(), home, strict=True)], fars=[base[1][i] + [float(d)] for i, d in zip(r.tolist(), far, strict=True)])
 
-        schema = "space string, cell string, node string, n long, v array<double>, homes array<boolean>, fars array<double>, whole boolean"
+        schema = "space string, cell string, node binary, n long, v array<double>, homes array<boolean>, fars array<double>, whole boolean"
         open_ = map_groups(members.unionByName(pivots).drop("m", "whole"), ["space", "cell", "part"], assign, schema)
-    return leaves.union(open_.drop("whole"))
+    return table(leaves.union(open_.drop("whole")), "vec-cells")
 
 
-def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 500, fan: int = 256, overlap: int = 2, slack: float = 3.0, block_rows: int = 1500, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, fan: int = 256, overlap: int = 2, slack: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Rows ``(id, n_links, component_id, kept)``: vectors of equal labels linked by a cosine of ``threshold`` or more.
 
     Null labels, null or zero vectors, and vectors with null or non-finite components link with
@@ -209,8 +214,8 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 500, fa
     component and the largest number of links; rows without an id are left out. An empty table gives
     no rows; extra columns are ignored.
 
-    ``cells_of`` makes overlapping shards. A shard of more than ``block_rows`` (a tight cluster) is cut
-    into blocks, and each pair of blocks has a graph of its own, so a label or a cluster with a third of
+    ``cells_of`` makes overlapping shards. One of more than ``shard_rows`` (a tight cluster) is cut into
+    blocks of half as many, and each pair of blocks has a graph of its own, so a label or a cluster with a third of
     all rows stays bounded. Adjacency lists of a vector's graphs are united before the search. Of two
     vectors the link counts in one shard only: at each level, in the home of the end that is nearer to
     its pivot, where the other is a guest. Links are found by the search, so some may be missed
@@ -223,13 +228,14 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 500, fa
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists("v", lambda x: x != 0)
     good = rows.filter(F.col("label").isNotNull() & F.col("v").isNotNull() & finite & some)
-    key = F.md5(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))))
-    good = table(good.withColumn("node", F.concat_ws("|", key, "label")), "vec-rows")
+    # A node is the digest of a label and a vector, so equal vectors of a label are one.
+    key = F.unhex(F.md5(F.concat_ws(",", F.concat_ws("|", F.length("label"), "label"), F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")))))
+    good = table(good.withColumn("node", key), "vec-rows")
     classes = table(good.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "vec-classes")
     reach = float(np.arccos(np.clip(threshold, -1, 1)))
     reps = classes.select(F.concat_ws("|", "label", F.size("v").cast("string")).alias("space"), "node", "n", "v")
-    each = table(cells_of(reps, reach, shard_rows, fan, overlap, slack), "vec-cells")
-    sizes = each.groupBy("space", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"))
+    each = cells_of(reps, reach, shard_rows, fan, overlap, slack)
+    sizes = each.groupBy("space", "cell").agg(F.when(F.count("*") <= shard_rows, 1).otherwise(F.ceil(2 * F.count("*") / shard_rows)).cast("int").alias("blocks"))
     blocks = each.join(sizes, ["space", "cell"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "v", "homes", "fars")
     by = ["space", "cell", "p", "q"]
@@ -240,7 +246,7 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 500, fa
         links, _ = build_graph(_unit(frame).astype(np.float32))
         return pd.DataFrame({"space": frame["space"], "node": nodes, "near": [nodes[x[x >= 0]] for x in links]})
 
-    edges = map_groups(cells.select(*by, "node", "v"), by, build, "space string, node string, near array<string>")
+    edges = map_groups(cells.select(*by, "node", "v"), by, build, "space string, node binary, near array<binary>")
     united = edges.groupBy("space", "node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = table(united, "vec-graph")
 
@@ -293,7 +299,7 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 500, fa
         return pd.DataFrame({"node": nodes[hit], "links": total[hit], "low": nodes[low[hit]]})
 
     joined = cells.join(graph, ["space", "node"], "left")
-    found = table(map_groups(joined, by, search, "node string, links long, low string"), "vec-links")
+    found = table(map_groups(joined, by, search, "node binary, links long, low binary"), "vec-links")
     linked = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "vec-components").join(classes.select("node", "rep"), "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     links = linked.join(least, "component").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "least", "links")
