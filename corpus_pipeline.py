@@ -69,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source; texts without words are drawn with their block; an empty table stays
     empty; columns other than those of documents go.
     """
-    return in_order(mix(docs.select(*COLUMNS))[0], parts=1 + docs.count() // 100_000).select(*COLUMNS)
+    return in_order(mix(docs.select(*COLUMNS))[0], parts=1 + docs.count() // 20_000).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
