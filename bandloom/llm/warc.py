@@ -85,20 +85,26 @@ def parse_warc(chunks: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str,
             data = chunk[5:]
         else:
             data = chunk if held is None else held + BORDER + chunk
-        held, stop = data, data.find(b"\r\n\r\n")
-        if stop < 0:
-            continue
-        fields = {}
-        for line in data[:stop].decode("utf-8").split("\r\n")[1:]:
-            key, _, value = line.partition(":")
-            fields[key.strip().lower()] = value.strip()
-        end = stop + 4 + int(fields["content-length"])
-        if len(data) < end:
-            continue
-        if data[end:].strip(b"\r\n"):
-            raise ValueError(f"a record of {file} is longer than it says")
         held = None
-        yield fields, data[stop + 4 : end]
+        while data is not None:
+            stop = data.find(b"\r\n\r\n")
+            if stop < 0:
+                held = data
+                break
+            fields = {}
+            for line in data[:stop].decode("utf-8").split("\r\n")[1:]:
+                key, _, value = line.partition(":")
+                fields[key.strip().lower()] = value.strip()
+            end = stop + 4 + int(fields["content-length"])
+            if len(data) < end:
+                held = data
+                break
+            yield fields, data[stop + 4 : end]
+            rest = data[end:]
+            # A reader of lines may overlook a border that begins like the block's end.
+            data = rest[len(BORDER) :] if rest.startswith(BORDER) else None
+            if data is None and rest.strip(b"\r\n"):
+                raise ValueError(f"a record of {file} is longer than it says")
     if held is not None:
         raise ValueError(f"a record of {own} is cut short")
 

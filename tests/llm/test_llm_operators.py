@@ -793,6 +793,8 @@ def test_warc(spark, tmp_path):
     blocks = [b"", b"ab", b"in\r\n\r\nWARC/1.1\r\nside\r\n\r\nWARC/", b"\r\n\r\n"]
     for cut in ([("f", x) for x in (b"WARC/" + BORDER.join(map(record, blocks)) + b"\r\n\r\n").split(BORDER)],):
         assert [b for _, b in parse_warc(iter([*cut, ("g", b"WARC/" + record(b"z"))]))] == [*blocks, b"z"]
+    missed = [("f", b"WARC/" + BORDER.join(map(record, blocks)) + b"\r\n\r\n")]  # no border was seen
+    assert [b for _, b in parse_warc(iter(missed))] == blocks
     for bad in ([("f", b"junk")], [("f", b"WARC/" + record(b"ab", 9))], [("f", b"WARC/" + record(b"ab", 9)), ("g", b"WARC/" + record(b"z"))], [("f", b"WARC/" + record(b"abc", 1))]):
         with pytest.raises(ValueError):
             list(parse_warc(iter(bad)))
