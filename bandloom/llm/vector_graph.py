@@ -34,27 +34,43 @@ def robust_prune(vectors: np.ndarray, rows: np.ndarray, cand: np.ndarray, degree
     return out
 
 
-def walk(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: list[np.ndarray], beam: int, radius: float | None = None) -> np.ndarray:
+def medoids(vectors: np.ndarray, count: int = 64) -> np.ndarray:
+    """Nodes from which searches start: of ``count`` groups around nodes at random (in a fixed order) the one nearest to each group's mean."""
+    centres = np.random.default_rng(len(vectors)).permutation(len(vectors))[:count]
+    group = (vectors @ vectors[centres].T).argmax(1)
+    sums = np.zeros((len(centres), vectors.shape[1]))
+    np.add.at(sums, group, vectors)
+    near = np.einsum("ij,ij->i", vectors, sums[group])
+    order = np.lexsort((-near, group))
+    return order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]
+
+
+def adjacency(pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``n`` nodes' list begins, and all lists in a row, of edges told as ``from * n + to``."""
+    pairs = np.unique(pairs)
+    return np.searchsorted(pairs, np.arange(n + 1) * n), pairs % n
+
+
+def walk(vectors: np.ndarray, links: tuple[np.ndarray, np.ndarray], queries: np.ndarray, starts: np.ndarray, beam: int, radius: float | None = None) -> np.ndarray:
     """Greedy search of the nodes ``queries``: similarity to each node that was visited, minus infinity for others.
 
-    Each query expands its nearest unexpanded node, ``beam`` times; with a ``radius``, then all unexpanded
+    Each query starts at the nodes ``starts`` and at itself. It expands its nearest unexpanded node, ``beam`` times; with a ``radius``, then all unexpanded
     nodes within it at once, until there are none. All queries take their steps side by side, and
     similarities are worked out for visited nodes only.
     """
-    own, line = vectors[queries], np.arange(len(queries))
+    own, line, (begin, to) = vectors[queries], np.arange(len(queries)), links
     sims = np.full((len(queries), len(vectors)), -np.inf, np.float32)
     todo = sims.copy()
 
     def visit(q: np.ndarray, at: np.ndarray) -> None:
-        q, at = q.astype(np.int64), at.astype(np.int64)
-        new = (at >= 0) & np.isneginf(sims[q, at])
+        new = np.isneginf(sims[q, at])
         q, at = q[new], at[new]
         for lo in range(0, len(q), 50_000):
             a, b = q[lo : lo + 50_000], at[lo : lo + 50_000]
             sims[a, b] = todo[a, b] = np.einsum("id,id->i", own[a], vectors[b])
 
-    for at in starts:
-        visit(line, at)
+    visit(np.repeat(line, len(starts)), np.tile(starts, len(line)))
+    visit(line, queries)
     live = line
     for _ in range(beam):
         best = todo[live].argmax(1)
@@ -63,12 +79,13 @@ def walk(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: li
         if not len(live):
             break
         todo[live, best] = -np.inf
-        visit(np.repeat(live, links.shape[1]), links[best].reshape(-1))
+        size = begin[best + 1] - begin[best]
+        at = np.arange(int(size.sum())) + np.repeat(begin[best] - (np.cumsum(size) - size), size)
+        visit(np.repeat(live, size), to[at])
     if radius is None:
         return sims
     edges = np.zeros((len(vectors), len(vectors)), np.float32)
-    i, k = np.nonzero(links >= 0)
-    edges[i, links[i, k]] = 1
+    edges[np.repeat(np.arange(len(vectors)), np.diff(begin)), to] = 1
     while True:  # what a whole front reaches is one product with the edges
         front = todo >= radius
         if not front.any():
@@ -77,59 +94,31 @@ def walk(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: li
         visit(*np.nonzero((front.astype(np.float32) @ edges > 0) & np.isneginf(sims)))
 
 
-def build_graph(vectors: np.ndarray, degree: int = 16, alpha: float = 1.2, beam: int = 24, pool: int = 48, batch: int = 256) -> tuple[np.ndarray, int]:
-    """Adjacency lists (-1 fills) of one shard, and its medoid.
+def build_graph(vectors: np.ndarray, degree: int = 16, alpha: float = 1.2, beam: int = 24, pool: int = 48, batch: int = 256) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Adjacency lists of one shard (where each begins, and all in a row), and its medoids.
 
-    Nodes go in one batch after the other, in a fixed random order: each searches the graph as it is from
-    the medoid, its visited nodes are pruned to its neighbours, and these get it as a neighbour in turn,
-    pruned where a list is full. A second round searches for every node once more in the whole graph.
+    The medoids go in first, then all others, one batch after the other, in a fixed random order: each
+    node searches the graph as it is from the medoids, its visited nodes are pruned to its neighbours, and
+    these get it as a neighbour in turn. Edges back are never pruned: the middle of a tight cluster must
+    lead to all of it. A second round searches for every node once more in the whole graph.
     """
-    n = len(vectors)
-    links, filled = np.full((n, 2 * degree), -1, np.int32), np.zeros(n, np.int64)
-    medoid = int((vectors @ vectors.mean(0)).argmax())
+    n, starts = len(vectors), medoids(vectors)
     order = np.random.default_rng(n).permutation(n)
-    order = np.concatenate([[medoid], order[order != medoid]])
-
-    def put(rows: np.ndarray, cand: np.ndarray) -> None:
-        got = robust_prune(vectors, rows, cand, degree, alpha)
-        links[rows] = -1
-        links[rows, :degree] = got
-        filled[rows] = (got >= 0).sum(1)
-        back = np.stack([got.reshape(-1), np.repeat(rows, degree)], 1)
-        back = back[back[:, 0] >= 0]
-        back = back[~(links[back[:, 0]] == back[:, 1:]).any(1)]
-        back = back[np.argsort(back[:, 0], kind="stable")]
-        to, first, more = np.unique(back[:, 0], return_index=True, return_counts=True)
-        nth = np.arange(len(back)) - np.repeat(first, more)
-        fits = np.repeat(filled[to] + more <= 2 * degree, more)
-        at = back[fits]
-        links[at[:, 0], filled[at[:, 0]] + nth[fits]] = at[:, 1]
-        over = filled[to] + more > 2 * degree
-        filled[to[~over]] += more[~over]
-        if over.any():
-            full, rest = to[over], back[~fits]
-            wide = np.full((len(full), int(more[over].max())), -1, np.int32)
-            wide[np.searchsorted(full, rest[:, 0]), nth[~fits]] = rest[:, 1]
-            for lo in range(0, len(full), batch):
-                own = full[lo : lo + batch]
-                got = robust_prune(vectors, own, np.concatenate([links[own], wide[lo : lo + batch]], 1), degree, alpha)
-                links[own] = -1
-                links[own, :degree] = got
-                filled[own] = (got >= 0).sum(1)
-
-    def nearest(rows: np.ndarray) -> np.ndarray:
-        sims = walk(vectors, links, rows, [np.full(len(rows), medoid), rows], beam)
-        k = min(pool, n)
-        cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        return np.where(np.isfinite(np.take_along_axis(sims, cand, 1)), cand, -1)
-
+    order = np.concatenate([starts, order[~np.isin(order, starts)]])
+    pairs = np.zeros(0, np.int64)
     for again in (False, True):
-        lo = 0 if again else 1
+        lo = 0
         while lo < n:
-            rows = order[lo : lo + (batch if again else min(batch, lo))]  # a batch is at most as large as what is in
-            put(rows, nearest(rows))
+            rows = order[lo : lo + (batch if again else min(batch, max(len(starts), lo)))]  # at most as large as what is in
+            sims = walk(vectors, adjacency(pairs, n), rows, starts, beam)
+            k = min(pool, n)
+            cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            got = robust_prune(vectors, rows, np.where(np.isfinite(np.take_along_axis(sims, cand, 1)), cand, -1), degree, alpha)
+            a, b = np.repeat(rows, degree), got.reshape(-1).astype(np.int64)
+            a, b = a[b >= 0], b[b >= 0]
+            pairs = np.concatenate([pairs, a * n + b, b * n + a])
             lo += len(rows)
-    return links, medoid
+    return adjacency(pairs, n), starts
 
 
 def spread_pivots(pivots: np.ndarray, angle: float) -> np.ndarray:
@@ -243,8 +232,8 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, f
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node", ignore_index=True)
         nodes = frame["node"].to_numpy()
-        links, _ = build_graph(_unit(frame).astype(np.float32))
-        return pd.DataFrame({"space": frame["space"], "node": nodes, "near": [nodes[x[x >= 0]] for x in links]})
+        (begin, to), _ = build_graph(_unit(frame).astype(np.float32))
+        return pd.DataFrame({"space": frame["space"], "node": nodes, "near": [nodes[x] for x in np.split(to, begin[1:-1])]})
 
     edges = map_groups(cells.select(*by, "node", "v"), by, build, "space string, node binary, near array<binary>")
     united = edges.groupBy("space", "node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -257,18 +246,16 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, f
         x, nodes = _unit(frame), frame["node"].to_numpy()
         at = {r: i for i, r in enumerate(nodes.tolist())}
         lists = [[at[y] for y in near if y in at] if near is not None else [] for near in frame["near"]]
-        links = np.full((len(x), max(1, max(map(len, lists)))), -1, np.int32)
-        for i, own in enumerate(lists):
-            links[i, : len(own)] = own
+        links = np.cumsum([0, *map(len, lists)]), np.array([y for own in lists for y in own], np.int64)
         homes = np.array([list(h) for h in frame["homes"]], bool).reshape(len(x), -1)
         fars = np.array([list(d) for d in frame["fars"]], float).reshape(len(x), -1)
         queries = np.flatnonzero(homes[:, -1]) if homes.shape[1] else np.arange(len(x))
-        medoid = int((x @ x.mean(0)).argmax())
+        starts = medoids(x)
         own, p, q, small = frame["own"].to_numpy(), int(frame["p"].iloc[0]), int(frame["q"].iloc[0]), x.astype(np.float32)
         n, total, low, seen = frame["n"].to_numpy(np.int64), np.zeros(len(x), np.int64), np.arange(len(x)), []
         for lo in range(0, len(queries), 256):
             part = queries[lo : lo + 256]
-            sims = walk(small, links, part, [np.full(len(part), medoid), part], 24, float(np.cos(1.4 * reach)))
+            sims = walk(small, links, part, starts, 24, float(np.cos(1.4 * reach)))
             i, b = np.nonzero(sims >= threshold - 1e-4)
             a = part[i]
             seen.append((np.minimum(a, b) * len(x) + np.maximum(a, b))[a != b])
