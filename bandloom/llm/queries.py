@@ -99,6 +99,35 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by a compiled vocabulary."""
+    small_batches(spark)
+    import public_tokenizers
+
+    from .token_count import token_counts
+
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two vocabularies that cover the same bytes, and corpus-wide counts of their links."""
+    small_batches(spark)
+    import public_tokenizers
+
+    from .token_align import align
+
+    paths = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align(read(spark, sf_dir, "documents"), *paths).withColumnRenamed("id", "doc_id")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and the cheapest edits that repair it."""
+    small_batches(spark)
+    from .turn_repair import damage, repair
+
+    return repair(damage(read(spark, sf_dir, "conversations")), present_col="present")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
