@@ -248,9 +248,21 @@ def resample(points: DataFrame, size: int, by: list[str], x: str = "k", y: str =
 
 
 def nearest_sample(labels: DataFrame, points: DataFrame) -> DataFrame:
-    """JN16: the sample whose distance is nearest to each label's; the first one on ties."""
-    near = labels.join(points.select("path_id", "k_idx", "k"), "path_id")
-    return near.groupBy("path_id", "label", "label_k").agg(F.min(F.struct(F.abs(F.col("k") - F.col("label_k")).alias("d"), "k_idx")).alias("x")).select("path_id", "label", "label_k", F.col("x.k_idx").alias("k_idx"), F.col("x.d").alias("off"))
+    """JN16: the sample whose distance is nearest to each label's; the first one on ties.
+
+    An as-of match without a join: labels and samples of a path go in one order of distance, where the
+    last sample before a label and the first after it are running values; the nearer of both wins. Of
+    samples at one distance (a break) the first stands for all.
+    """
+    samples = points.filter("k is not null").groupBy("path_id", "k").agg(F.min("k_idx").alias("k_idx"))
+    both = samples.select("path_id", "k", F.struct("k", "k_idx").alias("s")).unionByName(labels.select("path_id", F.col("label_k").alias("k"), "label"), allowMissingColumns=True)
+    is_label = F.col("s").isNull()
+    upto = Window.partitionBy("path_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("s", ignorenulls=True).over(upto.orderBy("k", is_label))
+    after = F.last("s", ignorenulls=True).over(upto.orderBy(F.col("k").desc(), is_label))
+    near = lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["k"] - F.col("k")).alias("d"), s["k_idx"].alias("k_idx")))
+    got = both.withColumn("b", before).withColumn("a", after).filter(is_label).withColumn("x", F.least(near(F.col("b")), near(F.col("a"))))
+    return got.filter("x.d is not null").select("path_id", "label", F.col("k").alias("label_k"), F.col("x.k_idx").alias("k_idx"), F.col("x.d").alias("off"))
 
 
 def long_samples(points: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 KNOWN = "y_true is not null and y_true <> -1"
 
 
@@ -157,17 +159,16 @@ def class_weights(pred: DataFrame, classes: int) -> DataFrame:
     return got.select("y_true", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") > 0, F.col("total") / (F.col("present") * F.col("n"))).otherwise(1.0).alias("weight"))
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
+def roc_auc(scores: DataFrame, parts: int | None = None) -> DataFrame:
     """AG36: area under the ROC curve from counts per distinct score; ties count half, null with one class only.
 
-    ``scores`` has ``positive`` (boolean) and ``score``. Rows are first summed by score; running
-    sums go over ranges of scores, whose totals are summed up, not over all scores in one task.
+    ``scores`` has ``positive`` (boolean) and ``score``. Rows are first summed by score, so a score that
+    most rows share is one row; the negatives below each score are running sums over sampled ranges of
+    scores, so it doesn't matter where the scores lie.
     """
-    per = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q")).withColumn("cell", F.floor(F.col("score") * 64))
-    inside = Window.partitionBy("cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    cells = per.groupBy("cell").agg(F.sum("q").alias("cq")).withColumn("base", F.coalesce(F.sum("cq").over(Window.partitionBy(F.lit(1)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("cq")
-    below = per.withColumn("under", F.coalesce(F.sum("q").over(inside), F.lit(0))).join(cells, "cell")
-    won = F.col("p") * (F.col("under") + F.col("base") + F.col("q") / 2)
+    per = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
+    below = running(per, [], [F.col("score")], {"under": "q"}, parts)
+    won = F.col("p") * (F.col("under") + F.col("q") / 2)
     return below.agg(F.when((F.sum("p") > 0) & (F.sum("q") > 0), F.sum(won) / (F.sum("p") * F.sum("q"))).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 

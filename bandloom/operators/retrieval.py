@@ -12,18 +12,18 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def scores(queries: DataFrame, gallery: DataFrame, blocks: int = 1, parts: int | None = None) -> DataFrame:
+def scores(queries: DataFrame, gallery: DataFrame, blocks: int = 1, parts: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """JN19: cosine of a stated query set against all rows of the gallery, in blocks.
 
     Queries are dealt to ``blocks``, gallery rows to ``parts`` by hash (one for 20,000 rows); every block
     meets every part, so the product is spread over blocks times parts. A query set that Spark finds
     small enough is broadcast instead. Vectors of zero or non-finite length are refused (no rows). Both
-    tables have ``id, v``.
+    tables have ``id, v``; columns of the queries named in ``keep`` go along.
     """
     parts = parts or max(1, -(-gallery.count() // 20_000))
-    q = queries.select(F.col("id").alias("query"), unit_vector(F.col("v")).alias("qv")).filter("qv is not null").withColumn("block", F.pmod(F.hash("query"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    q = queries.select(F.col("id").alias("query"), unit_vector(F.col("v")).alias("qv"), *(keep or [])).filter("qv is not null").withColumn("block", F.pmod(F.hash("query"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     g = gallery.select(F.col("id").alias("found"), unit_vector(F.col("v")).alias("gv")).filter("gv is not null").withColumn("part", F.pmod(F.xxhash64("found"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return g.join(q, ["block", "part"]).select("query", "found", "part", dot("qv", "gv").alias("score"))
+    return g.join(q, ["block", "part"]).select("query", "found", "part", dot("qv", "gv").alias("score"), *(keep or []))
 
 
 def top_k(pairs: DataFrame, k: int, digits: int = 9) -> DataFrame:
@@ -33,12 +33,26 @@ def top_k(pairs: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*best))).filter(F.col("rank") <= k).drop("part")
 
 
-def ranks(pairs: DataFrame, digits: int = 9) -> DataFrame:
-    """AG19: rank of each query's own id: one plus the better rows, and the equal ones of smaller id."""
-    own = pairs.filter("query = found").select("query", F.round("score", digits).alias("own"))
-    s = F.round("score", digits)
-    better = (s > F.col("own")) | ((s == F.col("own")) & (F.col("found") < F.col("query")))
-    return pairs.join(own, "query").groupBy("query").agg((1 + F.count_if(better)).alias("rank"))
+def matched(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """Each query with ``own``, its score with the gallery row of the same id; queries without one have no rank."""
+    q = queries.select(F.col("id"), F.col("v"), unit_vector(F.col("v")).alias("__q")).filter("__q is not null")
+    g = gallery.select(F.col("id").alias("__id"), unit_vector(F.col("v")).alias("__g")).filter("__g is not null")
+    return q.join(g, F.col("id") == F.col("__id")).select("id", "v", dot("__q", "__g").alias("own"))
+
+
+def match_facts(queries: DataFrame, gallery: DataFrame, temperature: float = 0.07, digits: int = 9, blocks: int = 1, parts: int | None = None) -> DataFrame:
+    """AG19, AG20: of each query the rank of its own id and the log-sum-exp loss, from one pass over the scores.
+
+    Own scores come first, a row a query, and go along with the queries, so every block of gallery rows
+    is counted where it is scored: better rows (equal ones of smaller id too), and the sum of exponentials.
+    Both are partial sums, so what is shuffled is a row for each query and part. Cosines are at most
+    one, so exponents of (score - 1) over the temperature need no maximum first.
+    """
+    pairs = scores(matched(queries, gallery), gallery, blocks, parts, keep=["own"])
+    s, own = F.round("score", digits), F.round("own", digits)
+    better = (s > own) | ((s == own) & (F.col("found") < F.col("query")))
+    got = pairs.groupBy("query").agg((1 + F.count_if(better)).alias("rank"), F.sum(F.exp((F.col("score") - 1) / temperature)).alias("e"), F.first("own").alias("own"))
+    return got.select("query", "rank", (F.log("e") + (1 - F.col("own")) / temperature).alias("loss"))
 
 
 def rank_metrics(ranked: DataFrame) -> DataFrame:
@@ -47,12 +61,16 @@ def rank_metrics(ranked: DataFrame) -> DataFrame:
     return ranked.agg(F.count("*").alias("queries"), at(1), at(5), at(10), F.avg(1.0 / F.col("rank")).alias("mrr"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), F.avg("rank").alias("mean_rank"))
 
 
-def info_nce(pairs: DataFrame, temperature: float = 0.07) -> DataFrame:
+def info_nce(facts: DataFrame) -> DataFrame:
     """AG20: mean of log-sum-exp of a query's scores over the temperature, less its own."""
-    x = F.col("score") / temperature
-    top = pairs.groupBy("query").agg(F.max(x).alias("m"), F.max(F.when(F.col("query") == F.col("found"), x)).alias("own"))
-    per = pairs.join(top, "query").groupBy("query").agg((F.first("m") + F.log(F.sum(F.exp(x - F.col("m")))) - F.first("own")).alias("loss"))
-    return per.agg(F.avg("loss").alias("loss"), F.count("*").alias("queries"))
+    return facts.agg(F.avg("loss").alias("loss"), F.count("*").alias("queries"))
+
+
+def both_directions(a: DataFrame, b: DataFrame, chosen: Column) -> DataFrame:
+    """AG19: rank metrics of paired embeddings from a to b and from b to a, for the stated queries of either side against all rows of the other."""
+    ways = {"a_to_b": (a, b), "b_to_a": (b, a)}
+    facts = [rank_metrics(match_facts(q.filter(chosen), g)).withColumn("direction", F.lit(name)) for name, (q, g) in ways.items()]
+    return facts[0].unionByName(facts[1])
 
 
 def gallery_check(gallery: DataFrame, dim: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import placed
+
 
 def keyed(seed: str, *cols: Column | str) -> Column:
     """The MD5 of the seed and some columns, joined by '|'."""
@@ -30,7 +32,9 @@ def exact_cut(rows: DataFrame, order: Column, n: int, prefix: Column, flag: str
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], block: Column, name: str) -> DataFrame:
-    """Add ``name``, the place of a row (from 1) in its group in ``order``; ``block`` is a coarse key that sorts like it.
+    """Add ``name``, the place of a row (from 1) in its group in ``order``; ``block`` is a coarse key of even size that sorts like it.
+
+    For orders by a hash, whose head is such a key; any other order goes by ``ordering.placed``.
 
     Counts per block give each block its first place; only a block is ranked in one task, so a group with
     a third of all rows is no task of its own.
@@ -46,15 +50,6 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], block: Column, n
     return keyed_.join(first, same).withColumn(name, (F.col("__first") + inside).cast("int")).select(*[c for c in rows.columns if c != name], name)
 
 
-def blocks_of(rows: DataFrame, key: str, blocks: int = 1024) -> Column:
-    """A coarse key that sorts like ``key``: its share of the range of a number, else the first characters of a text."""
-    if rows.schema[key].dataType.typeName() in ("string", "char", "varchar"):
-        return F.substring(key, 1, 3)
-    ends = rows.agg(F.min(F.col(key).cast("double")).alias("a"), F.max(F.col(key).cast("double")).alias("b")).first()
-    low, width = ends["a"] or 0.0, (ends["b"] or 0.0) - (ends["a"] or 0.0)
-    return F.floor((F.col(key).cast("double") - low) / (width or 1.0) * blocks)
-
-
 def random_split(rows: DataFrame, key: str, train: float, seed: str) -> DataFrame:
     """SP1: exactly round(train * n) rows train, by hash order."""
     n = rows.count()
@@ -197,8 +192,8 @@ def temporal_split(rows: DataFrame, key: str, time: str, train: float) -> DataFr
 
 
 def stride_split(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """SP10: every n-th row of a group goes to validation."""
-    got = ranked(rows, [group], [F.col(order)], blocks_of(rows, order), "__place")
+    """SP10: every n-th row of a group goes to validation; ranks are distributed, so a group of any size is spread over tasks."""
+    got = placed(rows, [group], [F.col(order)], "__place")
     return got.withColumn("part", F.when((F.col("__place") - 1) % n == 0, "val").otherwise("train")).drop("__place")
 
 

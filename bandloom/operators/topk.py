@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .splits import blocks_of, exact_cut, keyed, ranked
+from .ordering import placed
+from .splits import exact_cut, keyed, ranked
 
 
 def diverse_order(rows: DataFrame, group: str, kind: str, key: str) -> DataFrame:
     """TK1: places for a round-robin over groups and, inside a group, over kinds: sort by ``round``, then group (null last).
 
-    ``turn`` is a row's place in its kind, ``round`` its place in its group.
+    ``turn`` is a row's place in its kind, ``round`` its place in its group; neither is ranked in a
+    task of its own, however large the group.
     """
-    rows = ranked(rows, [group, kind], [F.col(key)], blocks_of(rows, key), "turn")
-    return ranked(rows, [group], [F.col("turn"), F.col(kind), F.col(key)], F.floor(F.col("turn") / 256), "round")
+    turns = placed(rows, [group, kind], [F.col(key)], "turn")
+    rounds = placed(turns, [group], [F.col("turn"), F.col(kind), F.col(key)], "round")
+    return rounds.withColumns({c: F.col(c).cast("int") for c in ("turn", "round")})
 
 
 def quota_by_bin(rows: DataFrame, key: str, bin_: str, bins: int, total: int, seed: str) -> DataFrame:
