@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..registry import query, read, shared_folder
 from ..sources import records as S
 from ..streaming import jobs as J
+from ..streaming import state as Z
 
 
 @query("src2_latest_rows", "SELECT o_custkey AS id, max(o_orderkey) AS seq, max_by(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY 1")
@@ -117,23 +118,70 @@ def _ss1(spark, sf_dir):
     return J.commit_status(rows, rows.limit(0).select("id", "digest"), "id", "digest", "event_id").select("event_id", "status")
 
 
+def in_turn(parts, folder):
+    """Write tables as files that a stream reads one after the other."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/part{k}")
+
+
+def committed(spark, rows, order, files, stops=()):
+    """The commit stream over ``files`` parts of the rows, stopped and started again before the parts in ``stops``."""
+    src, out, mark = (shared_folder(spark, x) for x in ("commit-in", "commit-out", "commit-mark"))
+    for k in range(files):
+        in_turn([rows.filter(F.col("part") == k).drop("part")], f"{src}/{k}")
+        if k + 1 in (*stops, files):
+            stream = J.read_files(spark, f"{src}/*/*", rows.drop("part").schema)
+            Z.start_commits(stream, out, mark, "id", "digest", order).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("ss1_commit_stream", f"WITH {COMMITS} SELECT id, digest, n = 1 AS canonical FROM s WHERE n = 1 OR (digest <> f AND m = 1)")
 def _ss1b(spark, sf_dir):
-    """The same rule as a stream over four files, committed batch by batch."""
-    src, out, mark = (shared_folder(spark, x) for x in ("commit-in", "commit-out", "commit-mark"))
-    commits(spark, sf_dir).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(src)
-    stream = J.read_files(spark, src, "event_id long, id long, digest string", files=100)
-    J.start_commits(stream, out, mark, "id", "digest", "event_id", "id long, digest string, canonical boolean").awaitTermination()
-    return spark.read.parquet(out).select("id", "digest", "canonical")
+    """The same rule as a stream with keyed state over four files, restarted after the second."""
+    rows = commits(spark, sf_dir)
+    most = rows.agg(F.max("event_id")).first()[0] or 0
+    got = committed(spark, rows.withColumn("part", F.least(F.lit(3), F.floor(F.col("event_id") * 4 / (most + 1))).cast("int")), "event_id", 4, stops=(2,))
+    return got.filter("status in ('canonical', 'variant')").select("id", "digest", "canonical")
+
+
+@query("ss1_commit_retries", f"""WITH {COMMITS}, r AS (SELECT CASE WHEN digest = f THEN 'duplicate' ELSE 'duplicate_variant' END AS status FROM s WHERE event_id % 3 = 0), a AS (SELECT CASE WHEN n = 1 THEN 'canonical' WHEN digest = f THEN 'duplicate' WHEN m = 1 THEN 'variant' ELSE 'duplicate_variant' END AS status FROM s UNION ALL SELECT status FROM r)
+SELECT status, count(*) AS n FROM a GROUP BY status""")
+def _ss1c(spark, sf_dir):
+    """Every third row comes again a file later, in any order within the file: no retry changes what was committed."""
+    rows = commits(spark, sf_dir)
+    most = rows.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * 3 / (most + 1)).cast("int")
+    again = rows.filter("event_id % 3 = 0").withColumn("part", part + 1)
+    both = rows.withColumn("part", part).unionByName(again).repartition(4, F.xxhash64("event_id", "part"))
+    return committed(spark, both, "event_id", 4).groupBy("status").agg(F.sum("n").alias("n"))
 
 
-@query("ss2_page_state", """WITH p AS (SELECT event_type AS query, CAST(event_id // 200 AS BIGINT) AS page, user_id AS id FROM events), f AS (SELECT query, id, min(page) AS page FROM p GROUP BY ALL), w AS (SELECT query, page, count(*) AS new FROM f GROUP BY ALL), d AS (SELECT DISTINCT query, page FROM p), e AS (SELECT d.query, d.page, coalesce(new, 0) AS new FROM d LEFT JOIN w USING (query, page)),
+PAGES = """WITH p AS (SELECT event_type AS query, CAST(event_id // 200 AS BIGINT) AS page, user_id AS id FROM events), f AS (SELECT query, id, min(page) AS page FROM p GROUP BY ALL), w AS (SELECT query, page, count(*) AS new FROM f GROUP BY ALL), d AS (SELECT DISTINCT query, page FROM p), e AS (SELECT d.query, d.page, coalesce(new, 0) AS new FROM d LEFT JOIN w USING (query, page)),
 x AS (SELECT *, sum(new) OVER (PARTITION BY query ORDER BY page) AS found, sum(new) OVER (PARTITION BY query ORDER BY page ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS idle, row_number() OVER (PARTITION BY query ORDER BY page) AS n FROM e),
 r AS (SELECT *, CASE WHEN found >= 140 THEN 'limit' WHEN n >= 3 AND idle = 0 THEN 'no new ids' END AS reason FROM x), s AS (SELECT query, min(page) FILTER (WHERE reason IS NOT NULL) AS stop, max(page) AS last FROM r GROUP BY query)
-SELECT s.query, coalesce(stop, last) AS cursor, CAST(found AS BIGINT) AS found, CASE WHEN stop IS NULL THEN 'more' ELSE reason END AS state FROM s JOIN r ON r.query = s.query AND r.page = coalesce(stop, last)""")
+SELECT s.query, coalesce(stop, last) AS cursor, CAST(found AS BIGINT) AS found, CASE WHEN stop IS NULL THEN 'more' ELSE reason END AS state FROM s JOIN r ON r.query = s.query AND r.page = coalesce(stop, last)"""
+
+
+def catalogue_pages(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("event_type").alias("query"), F.floor(F.col("event_id") / 200).alias("page"), F.col("user_id").alias("id"))
+
+
+@query("ss2_page_state", PAGES)
 def _ss2(spark, sf_dir):
-    pages = read(spark, sf_dir, "events").select(F.col("event_type").alias("query"), F.floor(F.col("event_id") / 200).alias("page"), F.col("user_id").alias("id"))
-    return J.page_state(pages, 140)
+    return J.page_state(catalogue_pages(spark, sf_dir), 140)
+
+
+@query("ss2_paging_stream", PAGES)
+def _ss2b(spark, sf_dir):
+    """The same as a stream with a cursor kept between runs: pages come in four files, the job is stopped after two."""
+    rows = catalogue_pages(spark, sf_dir)
+    most = rows.agg(F.max("page")).first()[0] or 0
+    src, out, mark = (shared_folder(spark, x) for x in ("paging-in", "paging-out", "paging-mark"))
+    for k in range(4):
+        in_turn([rows.filter(F.floor(F.col("page") * 4 / (most + 1)) == k)], f"{src}/{k}")
+        if k % 2:
+            Z.start_paging(J.read_files(spark, f"{src}/*/*", rows.schema), out, mark, 140).awaitTermination()
+    return Z.paging_table(spark, out)
 
 
 @query("ss3_live_artifacts", "SELECT CASE WHEN event_type = 'view' OR ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-15' THEN 'live' ELSE 'prunable' END AS state, count(*) AS n FROM events GROUP BY 1")
@@ -142,6 +190,24 @@ def _ss3(spark, sf_dir):
     return J.live_artifacts(rows, F.lit("2024-01-15").cast("timestamp")).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query("ss3_expiry_stream", """WITH e AS (SELECT event_id, ts, event_type = 'view' AS attachment, event_id % 11 = 0 AND ts < TIMESTAMP '2024-01-03' AS dropped FROM events), w AS (SELECT epoch_ms(greatest(max(ts) FILTER (WHERE NOT dropped), max(ts + INTERVAL 2 HOUR) FILTER (WHERE event_id % 5 = 0 AND event_id % 11 <> 0))) - 10 * 86400000 AS w FROM e),
+s AS (SELECT event_id, CASE WHEN NOT attachment AND epoch_ms(ts) + 86400000 < w THEN 'prunable' ELSE 'live' END AS state, epoch_ms(ts) AS created_ms FROM e, w WHERE NOT dropped AND epoch_ms(ts) < w) SELECT state, count(*) AS n, min(created_ms) AS first_ms, max(created_ms) AS last_ms FROM s GROUP BY state""")
+def _ss3b(spark, sf_dir):
+    """Expiry with event-time state: a week a file, some rows a file late, some so late that they are dropped, some that repeat a living artifact."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "attachment").otherwise("result").alias("kind"), F.col("ts").cast("timestamp").alias("created"))
+    week = F.least(F.lit(3), F.floor(F.datediff("created", F.lit("2024-01-01")) / 8))
+    lost = (F.col("id") % 11 == 0) & (F.col("created") < "2024-01-03")
+    rows = e.withColumn("part", F.when(lost, 3).when(F.col("id") % 7 == 0, F.least(F.lit(3), week + 1)).otherwise(week))
+    again = rows.filter("id % 5 = 0 and id % 11 <> 0").withColumn("created", F.col("created") + F.make_interval(hours=F.lit(2)))
+    rows = rows.unionByName(again)
+    src, out, mark = (shared_folder(spark, x) for x in ("expiry-in", "expiry-out", "expiry-mark"))
+    in_turn([rows.filter(F.col("part") == k).drop("part") for k in range(4)], src)
+    stream = Z.expiry_stream(J.read_files(spark, f"{src}/*", e.schema), "id", "kind", "created", 24, "10 days")
+    Z.start_expiry(stream, out, mark).awaitTermination()
+    last = spark.read.parquet(out).groupBy("id").agg(F.max("state").alias("state"), F.unix_millis(F.min("created")).alias("ms"))
+    return last.groupBy("state").agg(F.count("*").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+
+
 @query("ss4_outcome_counts", "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _ss4(spark, sf_dir):
     """Counters as a stream in complete mode over the events, written as they change."""

@@ -1,4 +1,4 @@
-"""Incremental jobs on Structured Streaming: idempotent commits, paging, expiry, outcome counters."""
+"""Rules of incremental jobs on tables, and outcome counters as a stream; ``state`` has the jobs that keep state."""
 
 from __future__ import annotations
 
@@ -27,23 +27,6 @@ def commit_status(batch: DataFrame, stored: DataFrame, key: str, digest: str, or
     return both.withColumn("status", status).filter("__o >= 0").drop("__o", "__first", "__n", "__m")
 
 
-def start_commits(stream: DataFrame, path: str, checkpoint: str, key: str, digest: str, order: str, schema: str) -> StreamingQuery:
-    """SS1: run ``commit_status`` on every micro-batch; canonical rows and variants are appended under ``path`` by batch.
-
-    A batch that is run again overwrites its own folder, so a retry changes nothing.
-    """
-    spark = stream.sparkSession
-
-    def put(batch: DataFrame, n: int) -> None:
-        own = f"{path}/batch={n}"
-        stored = spark.read.schema(schema + ", batch long").option("basePath", path).parquet(path).filter(F.col("batch") < n) if n else spark.createDataFrame([], schema)
-        stored = stored.join(batch.select(key).distinct(), key, "left_semi")  # the other ids don't matter here
-        new = commit_status(batch, stored, key, digest, order).filter("status in ('canonical', 'variant')")
-        new.select(key, digest, (F.col("status") == "canonical").alias("canonical")).write.mode("overwrite").parquet(own)
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def page_state(pages: DataFrame, limit: int, patience: int = 3) -> DataFrame:
     """SS2: per query the pages read, ids found, and why paging stops: the limit, or ``patience`` pages without a new id.
 
@@ -66,11 +49,6 @@ def live_artifacts(rows: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return rows.withColumn("state", F.when(expires.isNull() | (expires > now), "live").otherwise("prunable"))
 
 
-def dedupe_stream(stream: DataFrame, key: str, time: str, hours: int = 24) -> DataFrame:
-    """SS3: drop repeats of a key for as long as its first row lives."""
-    return stream.withWatermark(time, f"{hours} hours").dropDuplicatesWithinWatermark([key])
-
-
 def outcome_counts(stream: DataFrame, time: str, status: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """SS4: outcomes per window and status, with a watermark for late rows; works on streams and tables."""
     rows = stream.withWatermark(time, late) if stream.isStreaming else stream

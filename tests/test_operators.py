@@ -184,7 +184,7 @@ def test_periodic_neighbours_of_a_simple_cube(spark):
 
 def test_retrieval_of_itself(spark):
     v = spark.createDataFrame([(i, [float(i == j) for j in range(5)]) for i in range(5)] + [(9, [0.0] * 5)], "id long, v array<double>")
-    got = R.rank_metrics(R.ranks(R.scores(v, v, blocks=3))).first()
+    got = R.rank_metrics(R.match_facts(v, v, blocks=3)).first()
     assert got["queries"] == 5 and got["recall_1"] == got["mrr"] == got["median_rank"] == 1
     assert R.gallery_check(v, 5).collect()[0]["problem"] == "zero or not finite"
 
@@ -228,16 +228,6 @@ def test_commit_statuses(spark):
     assert got == ["duplicate", "duplicate_variant", "variant", "duplicate_variant", "canonical", "duplicate"]
 
 
-def test_commit_stream_over_batches_equals_one_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(i, i % 5, "abc"[(i * i) % 3]) for i in range(60)], "seq long, id long, digest string")
-    for k in range(3):
-        rows.filter(f"seq div 20 = {k}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
-        stream = I.read_files(spark, str(tmp_path / "in" / "*"), rows.schema, files=1)
-    I.start_commits(stream, str(tmp_path / "out"), str(tmp_path / "mark"), "id", "digest", "seq", "id long, digest string, canonical boolean").awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select("id", "digest").distinct()
-    assert got.exceptAll(rows.select("id", "digest").distinct()).count() == 0 and got.count() == rows.select("id", "digest").distinct().count()
-
-
 def test_quota_and_sample_sizes(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") < 30, 0).when(F.col("id") < 300, 1).otherwise(2).alias("bin"))
     got = T.quota_by_bin(rows, "id", "bin", 3, 200, "s")
