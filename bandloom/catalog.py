@@ -7,7 +7,7 @@ import importlib
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "ag6_path_gap"
-_PLANS = ("bands", "keys", "metrics", "splits", "joins", "quality", "geometry", "topk", "figures", "incremental", "features", "contracts")
+_PLANS = ("bands", "keys", "metrics", "splits", "joins", "quality", "geometry", "topk", "figures", "incremental", "features", "contracts", "reports")
 
 
 def _load() -> None:

@@ -46,7 +46,8 @@ def source_quality(rows: DataFrame, quarantine: dict[str, str] | None = None) ->
     """FLT4: ``status`` and ``reasons`` of each imported record: the first broken rule makes it invalid, any open question ambiguous.
 
     ``rows`` has ``source, source_schema, band_layout, source_semantics_evidence, energy_reference``
-    (strings), ``spin_channels, n_bands, n_kpoints`` (integers as declared), ``energies`` (arrays of k
+    (strings), ``spin_channels, n_bands, n_kpoints`` (integers as declared; ``num_bands`` and
+    ``num_kpoints`` too where there are such columns), ``energies`` (arrays of k
     samples, the spins one after the other), ``spin_axis`` (the length of an explicit spin axis, null
     without one), ``k_distances``, ``kpoints`` (arrays), ``efermi, source_efermi_absolute``,
     ``content_sha256``, and ``metadata``, a map of the same names to text that must not contradict.
@@ -55,11 +56,12 @@ def source_quality(rows: DataFrame, quarantine: dict[str, str] | None = None) ->
     c, k, e = F.col, F.col("k_distances"), F.col("energies")
     length = F.size(F.get(e, F.lit(0)))
     flat = F.flatten(e)
-    told = ("source", "energy_reference", "source_schema", "band_layout", "source_semantics_evidence", "spin_channels", "n_bands", "n_kpoints", "efermi", "source_efermi_absolute")
+    told = ("source", "energy_reference", "source_schema", "band_layout", "source_semantics_evidence", "spin_channels", "n_bands", "n_kpoints", "num_bands", "num_kpoints", "efermi", "source_efermi_absolute")
+    told = [name for name in told if name in rows.columns]
     nested = lambda name: F.try_element_at(c("metadata"), F.lit(name))
     differs = F.lit(False)
     for name in told:
-        numeric = name.startswith(("spin_", "n_")) or "efermi" in name
+        numeric = name.startswith(("spin_", "n_", "num_")) or "efermi" in name
         same = nested(name).try_cast("double") == c(name).cast("double") if numeric else nested(name) == c(name)
         differs = differs | (nested(name).isNotNull() & c(name).isNotNull() & ~F.coalesce(same, F.lit(False)))
     blocks = F.coalesce(c("spin_axis"), F.lit(1))
@@ -71,12 +73,12 @@ def source_quality(rows: DataFrame, quarantine: dict[str, str] | None = None) ->
     ) | ((layout == "spin_band_k") & (c("spin_axis").isNull() | (c("spin_axis") != channels)))
     held = quarantine or {}
     why = F.coalesce(*[F.when((c("source") == "aflow") & (c("content_sha256") == d), F.lit(r)) for d, r in held.items()], F.lit(None).cast("string"))
+    sizes = [("n_bands", F.size(e) / blocks), ("num_bands", F.size(e) / blocks), ("n_kpoints", length), ("num_kpoints", length)]
     hard = first_reason(
         (differs, "conflicting_source_metadata"),
         (e.isNull() | (F.size(e) == 0) | (length < 2) | ~F.forall(e, lambda b: F.size(b) == length) | (F.size(e) % blocks != 0), "band data unavailable: invalid_energy_shape"),
         (~F.forall(flat, lambda x: finite(x) & (F.abs(x) <= FLOAT32)), "nonfinite_energy_or_float32_overflow"),
-        (c("n_bands") != F.size(e) / blocks, "declared_n_bands_mismatch_or_illegal"),
-        (c("n_kpoints") != length, "declared_n_kpoints_mismatch_or_illegal"),
+        *[(c(name) != size, f"declared_{name}_mismatch_or_illegal") for name, size in sizes if name in rows.columns],
         (k.isNull() | (F.size(k) != length) | ~F.forall(k, lambda x: finite(x) & (x >= 0) & (x <= FLOAT32)) | F.exists(step, lambda d: d < 0) | ~F.exists(step, lambda d: d > 0), "invalid_k_distances"),
         (~reached, "invalid_k_distances: float32 storage loses positive span"),
         (c("kpoints").isNotNull() & ((F.size("kpoints") != length) | ~F.forall("kpoints", lambda p: F.size(p).isin(1, 3) & F.forall(p, lambda x: finite(x) & (F.abs(x) <= FLOAT32)))), "invalid_kpoints"),

@@ -194,6 +194,19 @@ def content_fingerprint(k: Column, energies: Column) -> Column:
     return digest(k, energies)
 
 
+def text_fingerprint(k: Column, energies: Column, scale: int = 1000) -> Column:
+    """KEY11: the same in SQL alone: SHA-256 of the shape and of the numbers in whole parts of ``scale``, row by row as text.
+
+    A ragged or null table gives null, like the byte form; numbers closer than half a part are equal.
+    """
+    whole = lambda x: F.round(x * scale).cast("long").cast("string")
+    even = F.forall(energies, lambda e: F.size(e) == F.size(k))
+    row = lambda i: F.array_join(F.concat(F.array(whole(F.get(k, i))), F.transform(energies, lambda e: whole(F.get(e, i)))), ",")
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.size(k) - 1), row), ";")
+    shape = F.concat(F.lit("("), F.size(k), F.lit(", "), F.size(energies) + 1, F.lit(")"))
+    return F.when(even & (F.size(k) > 0), F.sha2(F.concat(shape, body), 256))
+
+
 def pixel_trace(points: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
     """FN16: pixels to k and energy by two anchors an axis, with a reason where the calibration can't be used.
 

@@ -144,6 +144,22 @@ def uncertainty(probs: Column, *peaks: Column) -> Column:
     return 0.5 * entropy(probs) + 0.5 * worst
 
 
+def prediction_confidence(probs: Column, valence: Column, conduction: Column, gap: Column) -> Column:
+    """AG33: a struct of ``score`` in [0, 1], ``level`` (green, yellow, red), ``entropy``, ``peak_sharpness`` and ``gap_plausible``.
+
+    45% is how far the classes (scaled to one in all) are from even, 35% the sharpness of the duller of
+    the two heads, 20% whether the gap lies between -0.05 and 15 (a third of it if not).
+    """
+    total = F.greatest(F.aggregate(probs, F.lit(0.0), lambda s, p: s + p), F.lit(1e-12))
+    even = -F.aggregate(probs, F.lit(0.0), lambda s, p: s + p / total * F.log(p / total + 1e-12)) / F.log(F.size(probs).cast("double"))
+    clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    sharp = F.least(clip(F.coalesce(sharpness(valence), F.lit(0.0))), clip(F.coalesce(sharpness(conduction), F.lit(0.0))))
+    plausible = F.coalesce(gap.between(-0.05, 15.0), F.lit(False))
+    score = clip(0.45 * (1 - even) + 0.35 * sharp + 0.2 * F.when(plausible, 1.0).otherwise(0.3))
+    level = F.when(score >= 0.6, "green").when(score >= 0.35, "yellow").otherwise("red")
+    return F.struct(score.alias("score"), level.alias("level"), even.alias("entropy"), sharp.alias("peak_sharpness"), plausible.alias("gap_plausible"))
+
+
 def self_consistency(valence_curvature: Column, conduction_curvature: Column, gap: Column, probs: Column) -> Column:
     """AG34: share of four checks that hold: curvature signs, gap of at least -0.05, low entropy."""
     checks = [valence_curvature <= 0, conduction_curvature >= 0, gap >= -0.05, entropy(probs) < 0.65]

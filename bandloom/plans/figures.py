@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import figures as G
 from ..operators import quality as Q
+from ..operators import reports as R
 from ..registry import query, read
 
 BOX = "b AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS box_id, l_quantity * 4 AS x1, l_discount * 1000 AS y1, l_quantity * 4 + 60 + l_linenumber * 12 AS x2, l_discount * 1000 + 50 + l_suppkey % 90 AS y2, l_extendedprice AS score FROM lineitem)"
@@ -123,10 +124,11 @@ def _ag44(spark, sf_dir):
 
 @query("ag45_status_crosstab", "SELECT event_type AS status, CASE WHEN value > 50 THEN 'yes' ELSE 'no' END AS target, count(*) AS n FROM events GROUP BY ALL")
 def _ag45(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status"), F.when(F.col("value") > 50, "yes").otherwise("no").alias("target")).agg(F.count("*").alias("n"))
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("status"), F.when(F.col("value") > 50, "yes").otherwise("no").alias("target"))
+    return R.status_crosstab(rows, "status", "target")
 
 
 @query("ag48_detection_report", f"WITH {BOX}, i AS (SELECT image, count(*) FILTER (WHERE score > 30000) AS n FROM b GROUP BY image) SELECT count(*) FILTER (WHERE n > 0) AS positive, count(*) FILTER (WHERE n = 0) AS hard_negative, CAST(sum(n) AS BIGINT) AS boxes FROM i")
 def _ag48(spark, sf_dir):
-    i = boxes(spark, sf_dir).groupBy("image").agg(F.count_if(F.col("score") > 30000).alias("n"))
-    return i.agg(F.count_if(F.col("n") > 0).alias("positive"), F.count_if(F.col("n") == 0).alias("hard_negative"), F.sum("n").alias("boxes"))
+    pages = boxes(spark, sf_dir).groupBy("image").agg(F.collect_list(F.when(F.col("score") > 30000, F.col("box_id"))).alias("found"))
+    return R.detection_report(pages, F.col("found")).withColumnsRenamed({"positive_pages": "positive", "hard_negative_pages": "hard_negative"})

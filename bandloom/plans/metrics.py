@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import reports as P
 from ..registry import query, read
 
 PRED = """x AS (SELECT d.doc_id, lang, source, n_chars, CASE WHEN doc_id % 13 = 0 THEN -1 ELSE quality + toxic END AS y_true, CASE WHEN n_chars % 7 = 0 THEN 2 WHEN n_chars % 3 = 0 THEN 0 ELSE 1 END AS y_pred
@@ -162,4 +163,7 @@ def _ag38(spark, sf_dir):
 
 @query("ag43_mining_summary", "SELECT count(*) AS n, round(avg(CAST(event_type <> 'error' AS DOUBLE)), 8) AS success_rate, round(avg(CASE WHEN event_type IN ('view', 'click') THEN value END), 8) AS mean_score, count(*) FILTER (WHERE event_type = 'purchase') AS direct FROM events")
 def _ag43(spark, sf_dir):
-    return read(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.round(F.avg((F.col("event_type") != "error").cast("double")), 8).alias("success_rate"), F.round(F.avg(F.when(F.col("event_type").isin("view", "click"), F.col("value"))), 8).alias("mean_score"), F.count_if(F.col("event_type") == "purchase").alias("direct"))
+    t = F.col("event_type")
+    rows = read(spark, sf_dir, "events").select(F.when(t != "error", "stored").otherwise("failed").alias("status"), F.when(t.isin("view", "click"), F.col("value")).alias("cv_score"), F.when(t == "purchase", "direct").alias("predicted_type"))
+    got = P.mining_summary(rows).withColumnsRenamed({"total": "n", "average_confidence": "mean_score", "direct_gap_candidates": "direct"})
+    return r8(got, "success_rate", "mean_score")
