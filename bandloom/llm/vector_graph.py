@@ -131,6 +131,15 @@ def spread_pivots(pivots: np.ndarray, angle: float) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def dimensions(x: np.ndarray, most: int = 512) -> float:
+    """In how many dimensions rows vary: the squared sum of their variances over the sum of squares, by up to ``most`` rows evenly taken."""
+    some = x[:: -(-len(x) // most)]
+    some = some - some.mean(axis=0)
+    gram = some @ some.T
+    square = float((gram * gram).sum())
+    return float(np.trace(gram)) ** 2 / square if square > 0 else 1.0
+
+
 def _unit(frame: pd.DataFrame) -> np.ndarray:
     x = np.stack(frame["v"].to_numpy()).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -143,7 +152,10 @@ def cells_of(reps: DataFrame, reach: float, shard_rows: int, fan: int, overlap:
     A cell of more than ``shard_rows`` is split around at most some ``fan`` of its vectors, sampled by hash,
     less those within three link angles of another; its members go to the nearest of these pivots
     (home), to the ``overlap`` nearest, and to all that are at most ``slack`` link angles over the root of
-    the dimension (one link angle at most) farther than the nearest (guests). ``homes`` and ``fars`` tell for
+    the ``dimensions`` in which the cell's vectors vary (one link angle at most) farther than the nearest
+    (guests). With one link angle no link is lost between cells, by the triangle inequality; so it is
+    where vectors vary in up to the square of ``slack`` dimensions. In many dimensions the ends of a link
+    are nearly as far from a pivot. ``homes`` and ``fars`` tell for
     each level whether the shard is at home and how far the nearest pivot is. A cell of one pivot, a
     tight cluster, stays whole. A level sends a vector to a number of cells that doesn't grow with
     the table, and each part of 4,000 rows the cell's pivots.
@@ -175,7 +187,7 @@ def cells_of(reps: DataFrame, reach: float, shard_rows: int, fan: int, overlap:
             if len(p) < 2:
                 return frame[keep].assign(cell=frame["cell"] + ".0", homes=[x + [True] for x in base[0]], fars=[x + [0.0] for x in base[1]], whole=True)
             x = _unit(frame)
-            near = min(1.0, slack / x.shape[1] ** 0.5) * reach
+            near = min(1.0, slack / dimensions(x) ** 0.5) * reach
             out = []
             for lo in range(0, len(x), 512):
                 angle = np.arccos(np.clip(x[lo : lo + 512] @ p.T, -1, 1))
