@@ -187,35 +187,32 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = 96, chars: int = 30_000) -> Model:
-    """Fit on a bounded sample of whole rows: about ``docs`` rows a language by hash of the id, each of at most ``chars`` characters.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = 96, chars: int = 30_000, most_bytes: int = 256_000_000) -> Model:
+    """Fit on a bounded sample of rows: about ``docs`` rows a language by hash of the id, each of at most ``chars`` characters.
 
+    Of a longer row a stretch of so many characters counts, which begins at a place given by the hash.
     In the order of the hash, rows go into a language's automaton while they have ``chars`` characters
-    together; the others tell how many bits a symbol such text usually takes. A language of which every
-    text is longer is learned from its shortest one. The alphabet is all bytes that the sample's letters
-    have in UTF-8, so no letter is left out. Rows without text or language, and languages without a
+    together; the others tell how many bits a symbol such text usually takes. The alphabet is all bytes
+    that the sample's letters have in UTF-8, so no letter is left out. Rows without text or language, and languages without a
     letter, are left out; equal rows of one id count each; without any row nothing is learned
     and every text is ``und``; extra columns are ignored. The driver gets at most some ``docs * chars``
-    characters a language; an automaton has at most two states a byte of its text.
+    characters a language; an automaton has at most two states a byte of its text, and all have at most
+    ``most_bytes`` together: with many languages or letters each learns from fewer characters.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("n", F.length("text")).filter("n > 0")
-    counts = rows.groupBy("lang").agg(F.count_if(F.col("n") <= chars).alias("n"), F.min(F.struct("n", "id")).alias("least")).collect()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share, order = F.lit(0.0), unit_hash(F.col("id"), F.lit(17))
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, docs / max(1, r["n"]))).otherwise(share)
-    chosen = (F.col("n") <= chars) & (order < share)
-    for r in counts:
-        if not r["n"]:  # all its texts are longer
-            chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("n") == r["least"]["n"]) & F.col("id").eqNullSafe(F.lit(r["least"]["id"])))
-    sample = rows.filter(chosen).select("lang", order.alias("at"), "id", "text").collect()
-    texts: dict[str, list[str]] = {}
-    further: dict[str, list[str]] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["at"], str(r["id"]), r["text"])):
-        if not letter_bytes([r["text"]])[1][0]:
-            continue
-        own = texts.setdefault(r["lang"], [])
-        (own if not own or sum(map(len, own)) + len(r["text"]) <= chars else further.setdefault(r["lang"], [])).append(r["text"])
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, min(1.0, docs / n)).otherwise(share)
+    begin = F.floor(unit_hash(F.col("id"), F.lit(18)) * F.greatest(F.lit(0), F.col("n") - chars + 1)).cast("int") + 1
+    sample = rows.filter(order < share).select("lang", order.alias("at"), "id", F.substring("text", begin, chars).alias("text")).collect()
+    sample.sort(key=lambda r: (r["lang"], r["at"], str(r["id"]), r["text"]))
+    texts, further = _dealt(sample, chars)
+    letters = {b for own in texts.values() for b in np.unique(letter_bytes(own)[0]).tolist()}
+    needed = 8 * (len(letters) + 2) * sum(len(letter_bytes(["\n".join(own)])[0]) for own in texts.values())
+    if needed > most_bytes:
+        texts, further = _dealt(sample, int(chars * most_bytes / needed))
     whole = {lang: letter_bytes(["\n".join(own)])[0] for lang, own in texts.items()}
     langs = sorted(lang for lang, raw in whole.items() if (raw != 32).any())
     letters = np.setdiff1d(np.concatenate([whole[x] for x in langs]), [32]) if langs else np.zeros(0, np.uint8)
@@ -236,6 +233,21 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return model
 
 
+def _dealt(sample: list, chars: int) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Texts of each language to learn from, of at most ``chars`` characters together (one at least, cut to so many), and further ones."""
+    texts: dict[str, list[str]] = {}
+    further: dict[str, list[str]] = {}
+    for r in sample:
+        if not letter_bytes([r["text"]])[1][0]:
+            continue
+        own = texts.setdefault(r["lang"], [])
+        if not own:
+            own.append(r["text"][:chars])
+        else:
+            (own if sum(map(len, own)) + len(r["text"]) <= chars else further.setdefault(r["lang"], [])).append(r["text"])
+    return texts, further
+
+
 def _usual(model: Model, i: int, texts: list[str]) -> tuple[float, float, float]:
     """Of labelled texts that language ``i`` wasn't learned from: bits a symbol, those of their shuffled symbols, and the spread a symbol."""
     rate, counts, _ = model.rates(texts)
@@ -243,7 +255,7 @@ def _usual(model: Model, i: int, texts: list[str]) -> tuple[float, float, float]
     if not counts.sum():
         return 0.0, np.inf, 0.0  # nothing to go by: every text counts as explained
     usual = float(rate @ counts / counts.sum())
-    mixed = np.random.default_rng(i).permutation(model.symbols(texts)[0])[: 20_000]
+    mixed = np.random.default_rng(i).permutation(model.symbols(texts)[0])
     noise = float(model.phrases(mixed, np.array([len(mixed)]))[0, i] * model.bits[i] / len(mixed))
     return usual, noise, float(np.sqrt(np.mean((rate - usual) ** 2 * counts)))
 
