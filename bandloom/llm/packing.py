@@ -140,7 +140,10 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     """Rows ``(id, piece, start, length, ids_crc32[, ids])``: each text's ids and ``end_id``, cut at ``capacity``.
 
     The vocabulary drops white space and never joins across it, so ids are found once for each
-    distinct chunk between white space and kept in a bounded table. A null text counts as empty: the end id alone.
+    distinct chunk between white space and kept in a bounded table. A null text counts as empty: the
+    end id alone. Long texts are cut at ``capacity``; each of repeated rows has pieces of its own, so
+    ties don't matter; an empty table gives no rows; other columns than the id and the text go,
+    so names can't clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,16 +249,18 @@ def minimum_bin_slack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = 8192, length_col: str = "length") -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows of lengths from 1 to ``capacity``.
 
-    Rows are dealt by a hash of all their columns to groups of about ``group_rows``, whose number
-    grows with the input, and each group is packed by itself; a group wastes at most part of its
-    last bins. Rows that are full alone need no packing. Repeated rows are packed one by one.
-    ``sequence_id`` is unique over all groups. The rows are counted first, so give a written table.
+    Rows are dealt by a hash of all their columns and of their place in the table to groups of about
+    ``group_rows``, whose number grows with the input, and each group is packed by itself; a group
+    wastes at most part of its last bins. Repeated rows are packed one by one and spread like all
+    others. ``sequence_id`` is unique over all groups. The rows are counted first and their places must
+    not change, so give a written table. An empty table gives no rows; columns of the added names are
+    replaced.
     """
     n = pieces.count()
     groups = max(1, -(-n // group_rows))
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     simple = [f.name for f in pieces.schema if f.name in names and f.dataType.simpleString() in ("int", "bigint", "string")]
-    dealt = pieces.select(*names, F.pmod(F.xxhash64(*simple), F.lit(groups)).alias("__group"))
+    dealt = pieces.select(*names, F.pmod(F.xxhash64(*simple, F.monotonically_increasing_id()), F.lit(groups)).alias("__group"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         lengths = frame[length_col].to_numpy(np.int64)

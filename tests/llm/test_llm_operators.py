@@ -675,6 +675,29 @@ def test_media_and_tensors_are_stored(spark, tmp_path):
         assert len(r["tensor"]) == r["height"] * r["width"] * 3 and r["feature"].endswith(f"{zlib.crc32(r['tensor']):08x}")
 
 
+def test_equal_pieces_are_spread_over_groups(spark):
+    """Rows equal in all columns go to many groups, and no token is lost."""
+    pieces = spark.createDataFrame([(None, 0, 0, 1, 7)] * 3000 + [(i, 0, 0, 900 + i, i) for i in range(200)], "id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    got = pack(pieces, 4096, group_rows=256).collect()
+    per = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 3200 and len(per) == 13 and max(per.values()) < 400
+    for key in {r["sequence_id"] for r in got}:
+        at = sorted((r["offset"], r["length"]) for r in got if r["sequence_id"] == key)
+        assert [o for o, _ in at] == [sum(n for _, n in at[:k]) for k in range(len(at))] and sum(n for _, n in at) <= 4096
+
+
+def test_language_of_long_rows(spark):
+    """A language whose rows are all longer than the bound is learned from stretches of them, within the bound on automata."""
+    rng = np.random.default_rng(3)
+    words = {"aa": ["tala", "mero", "sanu", "vilo"], "bb": ["krush", "stropf", "zwelk", "gratz"]}
+    rows = [(i, " ".join(rng.choice(words[lang], 3000)), lang) for i, lang in enumerate(["aa", "bb"] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (256_000_000, 400_000):
+        model = fit(docs, chars=2000, most_bytes=most)
+        assert model.langs == ["aa", "bb"] and model.table.nbytes <= most
+        assert all(r["lang"] == r["lang_pred"] and r["bits"] <= r["most_bits"] for r in identify(docs, model).collect())
+
+
 def test_near_links(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
@@ -728,6 +751,21 @@ def test_near_links_of_a_cluster_with_many_pivots(spark):
         assert (n <= want).all() and n.sum() >= 0.98 * want.sum()
 
 
+@pytest.mark.parametrize(("inner", "n"), [(3, 900), (8, 1200)])
+def test_near_links_that_vary_in_few_dimensions(inner, n, spark):
+    """Vectors of a subspace of 64 dimensions, cut into many cells: no link between cells is lost."""
+    rng = np.random.default_rng(inner)
+    x = rng.normal(size=(n // 2, inner))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * np.linalg.norm(x, axis=1, keepdims=True) * 0.16 / inner**0.5]) @ rng.normal(size=(inner, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    reps = df.select(F.lit("a").alias("space"), F.unhex(F.md5(F.col("vec_id").cast("string"))).alias("node"), F.lit(1).cast("long").alias("n"), F.col("embedding").alias("v"))
+    assert cells_of(reps, float(np.arccos(0.98)), 150, 32, 2, 3.0).select("cell").distinct().count() > 4
+    got = {r["id"]: r["n_links"] for r in near_links(df, shard_rows=150, fan=32).collect()}
+    assert want.sum() > n // 2 and [got[i] for i in range(n)] == want.tolist()
+
+
 def test_near_links_in_many_small_groups(spark):
     """Groups without a pivot of their own, over several levels of cells: the recall of links that exist is measured."""
     rng = np.random.default_rng(6)
