@@ -127,21 +127,23 @@ def stratified_group_split(rows: DataFrame, group: str, cls: str, test: float, s
 
 
 def split_manifest(splits: dict[str, DataFrame], key: str, claims: dict[str, str], unavailable: dict[str, str] | None = None) -> DataFrame:
-    """SP8: one row a split: status, claim, numbers of rows on either side and of excluded ones, test share, and why it isn't there.
+    """SP8: one row a split: status, claim, numbers of rows on either side and of excluded ones, test share, why it isn't there, and what is held out.
 
-    Each split has ``key, part`` (train, test or excluded). A split of which a side is empty is
-    unavailable; ``unavailable`` names those that could not be built, with the reason.
+    Each split has ``key, part`` (train, test or excluded), and ``held_out`` if one value is held out, as
+    of an element. A split of which a side is empty, or that has an id twice, is unavailable;
+    ``unavailable`` names those that could not be built, with the reason.
     """
     out = None
     for name, rows in splits.items():
         n = lambda part: F.count_if(F.col("part") == part)
-        got = rows.agg(n("train").alias("num_train"), n("test").alias("num_test"), n("excluded").alias("num_excluded"), F.round(n("test") / F.count("*"), 6).alias("test_fraction"))
-        empty = (F.col("num_train") == 0) | (F.col("num_test") == 0)
-        got = got.select(F.lit(name).alias("split"), F.when(empty, "unavailable").otherwise("available").alias("status"), F.lit(claims[name]).alias("claim"), "num_train", "num_test", "num_excluded", "test_fraction", F.when(empty, "a side is empty").alias("reason"))
+        held = F.max("held_out").cast("string") if "held_out" in rows.columns else F.lit(None).cast("string")
+        got = rows.agg(n("train").alias("num_train"), n("test").alias("num_test"), n("excluded").alias("num_excluded"), F.round(n("test") / F.count("*"), 6).alias("test_fraction"), (F.count("*") - F.count_distinct(key)).alias("twice"), held.alias("held_out"))
+        why = F.when((F.col("num_train") == 0) | (F.col("num_test") == 0), "a side is empty").when(F.col("twice") > 0, "an id is there twice")
+        got = got.select(F.lit(name).alias("split"), F.when(why.isNotNull(), "unavailable").otherwise("available").alias("status"), F.lit(claims[name]).alias("claim"), "num_train", "num_test", "num_excluded", "test_fraction", why.alias("reason"), "held_out")
         out = got if out is None else out.unionByName(got)
     for name, reason in (unavailable or {}).items():
         zero = F.lit(0).cast("long")
-        lost = out.limit(1).select(F.lit(name).alias("split"), F.lit("unavailable").alias("status"), F.lit(claims[name]).alias("claim"), zero.alias("num_train"), zero.alias("num_test"), zero.alias("num_excluded"), F.lit(0.0).alias("test_fraction"), F.lit(reason).alias("reason"))
+        lost = out.limit(1).select(F.lit(name).alias("split"), F.lit("unavailable").alias("status"), F.lit(claims[name]).alias("claim"), zero.alias("num_train"), zero.alias("num_test"), zero.alias("num_excluded"), F.lit(0.0).alias("test_fraction"), F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("held_out"))
         out = out.unionByName(lost)
     return out
 

@@ -31,7 +31,7 @@ def quota_by_bin(rows: DataFrame, key: str, bin_: str, bins: int, total: int, se
     quota = F.lit(total // bins) + F.when(F.col(bin_) < total % bins, 1).otherwise(0)
     sizes = rows.groupBy(bin_).agg(F.count("*").alias("n")).withColumn("quota", quota)
     spare = sizes.agg(F.sum(F.greatest(F.lit(0), F.col("quota") - F.col("n"))).alias("spare"))
-    marked = placed.join(F.broadcast(sizes), bin_).crossJoin(F.broadcast(spare))
+    marked = placed.join(sizes, bin_).crossJoin(F.broadcast(spare))  # one row
     first = marked.filter("k <= quota")
     # The spare is at most the total, so are the rows of each bin that can take it.
     waiting = marked.filter("k > quota and k <= quota + spare")

@@ -156,12 +156,12 @@ def _wn1(spark, sf_dir):
     return B.segments(points(spark, sf_dir).withColumn("k", F.col("day"))).select("path_id", "k_idx", "segment")
 
 
-@query("wn2_label_segments", """WITH e AS (SELECT user_id AS path_id, CAST(value AS INT) % 40 AS position FROM events WHERE event_type = 'error' AND value < 400),
+@query("wn2_label_segments", """WITH e AS (SELECT user_id AS path_id, CAST(value AS INT) % 40 AS position FROM events WHERE event_type = 'error'),
 a AS (SELECT path_id, position FROM e UNION SELECT DISTINCT path_id, 0 FROM e UNION SELECT DISTINCT path_id, 39 FROM e),
 s AS (SELECT path_id, position, lead(position) OVER w AS nxt, CAST(row_number() OVER w - 1 AS INT) AS segment FROM a WINDOW w AS (PARTITION BY path_id ORDER BY position))
 SELECT path_id, segment, CAST(unnest(range(position, CASE WHEN nxt = 39 THEN 40 ELSE nxt END)) AS INT) AS k_idx FROM s WHERE nxt IS NOT NULL""")
 def _wn2(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("event_type = 'error' and value < 400")
+    e = read(spark, sf_dir, "events").filter("event_type = 'error'")
     labels = e.select(F.col("user_id").alias("path_id"), (F.rint("value").cast("int") % 40).alias("position"))
     return B.label_segments(labels, 39)
 

@@ -131,7 +131,12 @@ CLAIM = "CASE split " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLAIMS.ite
 SELECT split, CASE WHEN num_train = 0 OR num_test = 0 THEN 'unavailable' ELSE 'available' END AS status, {CLAIM} AS claim, num_train, num_test, num_excluded, test_fraction, CASE WHEN num_train = 0 OR num_test = 0 THEN 'a side is empty' END AS reason FROM g""")
 def _sp8(spark, sf_dir):
     """The manifest of the seven splits of all materials."""
-    return S.split_manifest(seven_splits(spark, sf_dir), "id", CLAIMS)
+    return S.split_manifest(seven_splits(spark, sf_dir), "id", CLAIMS).drop("held_out")
+
+
+@query("sp8_held_out", f"WITH {SEVEN} SELECT split, CASE WHEN split = 'leave_element' THEN (SELECT held FROM eb) END AS held_out FROM a GROUP BY split")
+def _sp8_held(spark, sf_dir):
+    return S.split_manifest(seven_splits(spark, sf_dir), "id", CLAIMS).select("split", "held_out")
 
 
 @query("sp8_manifest_ids", f"WITH {SEVEN} SELECT split, part, id FROM a")
