@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, give_back, table
+from .packing import runs
 from .token_count import byte_names
 
 #: Bytes of text that are cut at once; a longer text goes alone.
@@ -23,105 +24,125 @@ SLICE = 4_000_000
 SPACES = (0xC2, 0xE1, 0xE2, 0xE3)
 
 
+class _Bytes:
+    """The bytes of each of a number of things in one array."""
+
+    def __init__(self, parts: list[bytes]):
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def of(self, which: np.ndarray) -> np.ndarray:
+        return self.flat[runs(self.begin[which], self.size[which])]
+
+
 class Pair:
     """A byte-level vocabulary (A) and a sentencepiece model (B), and what they make of units of text.
 
     A unit is a space and what follows it up to the next single space between two characters that
     are no white space. Neither vocabulary joins anything across such a space, so a text's tokens
-    are those of its units. What is known of a unit is kept; when there are over ``most`` units,
-    all are forgotten.
+    are those of its units. What is known of a unit is kept in arrays; when there are over ``most``
+    units, all are forgotten.
     """
 
-    def __init__(self, path_a: str, path_b: str, most: int = 300_000):
+    def __init__(self, path_a: str, path_b: str, most: int = 800_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a, self.b, self.most = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b), most
         self.a.encode_special_tokens = True
         code = {c: b for b, c in enumerate(byte_names())}
-        self.bytes_a = {i: bytes(code[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
-        if any("▁" in p.lstrip("▁") for _, p in pieces):
+        known = {i: bytes(code[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [known.get(i, b"") for i in range(max(known) + 1)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"{path_b}: a piece goes across a space")
+        self.of_a, self.of_b = _Bytes(self.bytes_a), _Bytes(self.bytes_b)
+        self.fallback = np.array([self.b.is_byte(i) for i in range(len(pieces))])
+        self.decimal = _Bytes([b"%d," % i for i in range(max(len(self.bytes_a), len(pieces)))])
         self.forget()
 
     def bound(self) -> int:
         """How many id pairs can end together at all: one token's bytes are the end of the other's."""
-        one, two = set(self.bytes_a.values()), set(self.bytes_b)
-        return sum(x[k:] in two for x in self.bytes_a.values() for k in range(len(x))) + sum(x[k:] in one for x in self.bytes_b for k in range(1, len(x))) + 256 * 2
+        one, two = Counter(self.bytes_a), Counter(self.bytes_b)
+        return sum(two[x[k:]] for x in self.bytes_a for k in range(len(x))) + sum(one[x[k:]] for x in self.bytes_b for k in range(1, len(x)))
 
     def forget(self) -> None:
+        none = np.zeros(0, np.int64)
         self.place: dict[bytes, int] = {}
-        self.facts: list[tuple[bool, int, int, int]] = []  # sound, A tokens, B tokens, groups
-        self.text: list[bytes] = []
-        self.linked: list[np.ndarray] = []  # id pairs as a << 32 | b
-
-    def learn(self, units: list[bytes]) -> None:
-        texts = [u.decode() for u in units]
-        ours = self.a.encode_batch(texts, add_special_tokens=False)
-        theirs = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-        for unit, text, one, two in zip(units, texts, ours, theirs, strict=True):
-            self.place[unit] = len(self.facts)
-            self.note(unit, text, one, two.pieces)
-
-    def note(self, unit: bytes, text: str, one: object, two: object) -> None:
-        """Groups of one unit.
-
-        The spans that both libraries give are coarse cuts: A's in characters, B's in bytes of the
-        text without the space, of which the fallback bytes of a character but its last one have
-        none. Where spans end together the tokens up to there must have the bytes in between; cuts
-        inside multibyte characters and fallback bytes are found by the tokens' decoded bytes.
-        """
-        ids, pieces = one.ids, [p.id for p in two]
-        if not pieces:  # B adds no space to nothing
-            return self.put(False, 0, 0, [], [])
-        ends = range(len(text) + 1) if text.isascii() else [0, *accumulate(len(c.encode()) for c in text)]
-        at_a, at_b = [ends[e] for _, e in one.offsets], [p.end + 1 for p in two]
-        for k in range(len(pieces) - 2, -1, -1):
-            if two[k].begin == two[k].end and self.b.is_byte(pieces[k]):
-                at_b[k] = at_b[k + 1]
-        groups, pairs = [], []
-        i = j = done = 0
-        while i < len(ids) and j < len(pieces):
-            x, y = i, j  # the last tokens up to the next coarse cut
-            while x < len(ids) and y < len(pieces) and at_a[x] != at_b[y]:
-                if at_a[x] < at_b[y]:
-                    x = bisect_left(at_a, at_b[y], x)
-                else:
-                    y = bisect_left(at_b, at_a[x], y)
-            if x >= len(ids) or y >= len(pieces):
-                break
-            stop = at_a[x]
-            x, y = bisect_right(at_a, stop, x), bisect_right(at_b, stop, y)
-            left, right = [self.bytes_a[t] for t in ids[i:x]], [self.bytes_b[t] for t in pieces[j:y]]
-            if not b"".join(left) == b"".join(right) == unit[done:stop]:
-                break
-            upto_a, upto_b = list(accumulate(map(len, left))), list(accumulate(map(len, right)))
-            p = q = 0
-            for m, size in enumerate(upto_a, 1):
-                n = bisect_left(upto_b, size)
-                if upto_b[n] == size:
-                    groups.append(f"{','.join(map(str, ids[i + p : i + m]))}|{','.join(map(str, pieces[j + q : j + n + 1]))}")
-                    pairs.append(ids[i + m - 1] << 32 | pieces[j + n])
-                    p, q = m, n + 1
-            i, j, done = x, y, stop
-        sound = i == len(ids) and j == len(pieces) and done == len(unit)
-        self.put(sound, len(ids), len(pieces), groups if sound else [], pairs if sound else [])
-
-    def put(self, sound: bool, n_a: int, n_b: int, groups: list[str], pairs: list[int]) -> None:
-        self.facts.append((sound, n_a, n_b, len(groups)))
-        self.text.append(";".join(groups).encode())
-        self.linked.append(np.array(pairs, np.int64))
+        self.facts = np.zeros((0, 4), np.int64)  # sound, A tokens, B tokens, groups
+        self.text, self.text_size = bytearray(), none  # groups of all units, each with a semicolon
+        self.linked = none  # id pairs as a << 32 | b, as many as groups
 
     def places(self, units: pa.Array) -> np.ndarray:
         """Where each unit's facts are; units that aren't known yet are learned."""
         names = units.to_pylist()
         new = [u for u in names if u not in self.place]
-        for lo in range(0, len(new), 2000):
-            self.learn(new[lo : lo + 2000])
+        known = len(self.place)
+        self.place.update(zip(new, range(known, known + len(new)), strict=True))
+        got = [self.learn(new[lo : lo + 5000]) for lo in range(0, len(new), 5000)]
+        for name, parts in zip(("facts", "text_size", "linked"), zip(*got, strict=True), strict=False):
+            setattr(self, name, np.concatenate([getattr(self, name), *parts]))
         return np.array([self.place[u] for u in names], np.int64)
 
+    def learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Facts, sizes of the groups' texts, and linked id pairs of new units; the texts go to the pool.
+
+        The spans that both libraries give are coarse cuts: A's in characters, B's in bytes of the
+        text without the space, of which the fallback bytes of a character but its last one have
+        none. Inside a character that several tokens share, and for fallback bytes, the ends are
+        found by the tokens' decoded bytes. A unit is sound if both vocabularies give its bytes back.
+        """
+        texts = [u.decode() for u in units]
+        ours = self.a.encode_batch(texts, add_special_tokens=False)
+        theirs = [x.pieces for x in self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)]
+        whole = _Bytes(units)
+        ids = [x.ids for x in ours]
+        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (ids, theirs))
+        a, b = np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter((p.id for x in theirs for p in x), np.int64)
+        unit_a, unit_b = (np.repeat(np.arange(len(units)), n) for n in (n_a, n_b))
+        lead = np.append(np.flatnonzero((whole.flat & 0xC0) != 0x80), len(whole.flat))  # where characters begin
+        first = np.searchsorted(lead, whole.begin)
+        coarse_a = lead[first[unit_a] + np.fromiter((o[1] for x in ours for o in x.offsets), np.int64)]
+        coarse_b = whole.begin[unit_b] + 1 + np.fromiter((p.end for x in theirs for p in x), np.int64)
+        fine_a, sound_a = self.ends(self.of_a, a, unit_a, whole)
+        fine_b, sound_b = self.ends(self.of_b, b, unit_b, whole)
+        shared = np.append((coarse_a[1:] == coarse_a[:-1]) & (unit_a[1:] == unit_a[:-1]), False)
+        end_a = np.where(shared, fine_a, coarse_a)
+        end_b = np.where(self.fallback[b], fine_b, coarse_b)
+        end_a, end_b = (np.where(e == f, e, f) for e, f in ((end_a, fine_a), (end_b, fine_b)))  # bytes have the last word
+        sound = sound_a & sound_b & (n_b > 0)
+        keep_a, keep_b = sound[unit_a], sound[unit_b]
+        a, b, end_a, end_b = a[keep_a], b[keep_b], end_a[keep_a], end_b[keep_b]
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        linked = a[np.searchsorted(end_a, cuts)] << 32 | b[np.searchsorted(end_b, cuts)]
+        n_groups = np.bincount(np.searchsorted(whole.begin, cuts, side="left") - 1, minlength=len(units))
+        facts = np.column_stack([sound, np.where(sound, n_a, 0), np.where(sound, n_b, 0), n_groups])
+        # Tokens in the order of groups, A before B, each with its separator.
+        group = np.concatenate([2 * np.searchsorted(cuts, end_a), 2 * np.searchsorted(cuts, end_b) + 1])
+        order = np.argsort(group, kind="stable")
+        tokens, group = np.concatenate([a, b])[order], group[order]
+        text, upto = self.decimal.of(tokens), np.cumsum(self.decimal.size[tokens])
+        last = np.flatnonzero(np.diff(group, append=-1))
+        text[upto[last] - 1] = np.where(group[last] & 1, ord(";"), ord("|"))
+        self.text += text.tobytes()
+        size = np.bincount(np.concatenate([unit_a[keep_a], unit_b[keep_b]])[order], self.decimal.size[tokens], len(units)).astype(np.int64)
+        return facts, size, linked
+
+    @staticmethod
+    def ends(known: _Bytes, tokens: np.ndarray, unit: np.ndarray, whole: _Bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where each token's decoded bytes end if each unit's tokens begin with it, and which units are given back."""
+        size = known.size[tokens]
+        total = np.bincount(unit, size, len(whole.size)).astype(np.int64)
+        sound = total == whole.size
+        end = np.cumsum(size) + (whole.begin - (np.cumsum(total) - total))[unit]
+        keep = sound[unit]
+        there = whole.flat[runs(whole.begin[sound], whole.size[sound])]
+        wrong = np.flatnonzero(known.of(tokens[keep]) != there)
+        sound[np.repeat(np.flatnonzero(sound), whole.size[sound])[wrong]] = False
+        return end, sound
+
 
 def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Units of all texts in a row, each text after a space, and where those of each text end."""
@@ -151,13 +172,13 @@ def _pair(path_a: str, path_b: str) -> Pair:
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = Pair(path_a, path_b)
-    if len(_KEPT[key].facts) > _KEPT[key].most:
+    if len(_KEPT[key].place) > _KEPT[key].most:
         _KEPT[key].forget()
     return _KEPT[key]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[tuple]:
-    """For each slice of rows: keys, texts, the pair, facts of the distinct units, the units' codes, where a text's units end, which texts are sound."""
+    """For each slice of rows: keys, the pair, facts of the distinct units, where their group texts end in the pool, their linked pairs in a row, the units' codes, where each text's units begin and end, which texts are sound."""
     for batch in batches:
         text = pc.fill_null(batch.column(1), "")
         for lo, hi in byte_slices(text, SLICE):
@@ -165,11 +186,12 @@ def _slices(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iter
             units, upto = cut_units(part)
             coded = units.dictionary_encode()
             place = pair.places(coded.dictionary)
-            facts = np.array([pair.facts[k] for k in place.tolist()], np.int64).reshape(-1, 4)
-            codes = coded.indices.to_numpy()
+            facts, codes = pair.facts[place], coded.indices.to_numpy()
+            links = np.cumsum(pair.facts[:, 3])[place]
+            linked = pair.linked[runs(links - facts[:, 3], facts[:, 3])]
             unsound = np.concatenate([[0], np.cumsum(facts[codes, 0] == 0)])
             begin = np.concatenate([[0], upto[:-1]]).astype(np.int64)
-            yield batch.column(0).slice(lo, hi - lo), pair, place, facts, codes, begin, upto, unsound[upto] == unsound[begin]
+            yield batch.column(0).slice(lo, hi - lo), pair, place, facts, linked, codes, begin, upto, unsound[upto] == unsound[begin]
             pa.default_memory_pool().release_unused()
 
 
@@ -179,11 +201,10 @@ def pair_counts(df: DataFrame, path_a: str, path_b: str, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, pair, place, _, codes, begin, upto, sound in _slices(batches, path_a, path_b):
+        for _, _, place, facts, linked, codes, begin, upto, sound in _slices(batches, path_a, path_b):
             times = np.bincount(codes[np.repeat(sound, upto - begin)], minlength=len(place))
-            linked = [pair.linked[k] for k in place.tolist()]
-            each = np.repeat(times, [len(x) for x in linked])
-            found = np.concatenate([pairs, *linked])
+            each = np.repeat(times, facts[:, 3])
+            found = np.concatenate([pairs, linked])
             pairs, inverse = np.unique(found, return_inverse=True)
             counts = np.bincount(inverse, np.concatenate([counts, each])).astype(np.int64)
         keep = counts > 0
@@ -217,20 +238,20 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         keys, times, top = shared.value
-        for key, pair, place, facts, codes, begin, upto, sound in _slices(batches, path_a, path_b):
-            linked = [pair.linked[k] for k in place.tolist()]
-            sizes = np.array([len(x) for x in linked], np.int64)
+        for key, pair, place, facts, linked, codes, begin, upto, sound in _slices(batches, path_a, path_b):
+            sizes = facts[:, 3]
             # Pairs that only unsound texts hold aren't in the table; what they find isn't used.
-            at = np.minimum(np.searchsorted(keys, np.concatenate([np.zeros(0, np.int64), *linked])), max(0, len(keys) - 1))
+            at = np.minimum(np.searchsorted(keys, linked), max(0, len(keys) - 1))
             stop = np.cumsum(sizes)
             totals = [np.concatenate([[0], np.cumsum(x[at] if len(x) else np.zeros(len(at)), dtype=np.int64)]) for x in (top, times)]
             unit = np.column_stack([facts[:, 1:], sizes, *[t[stop] - t[stop - sizes] for t in totals]])
             upper = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(unit[codes], axis=0)])
             doc = np.where(sound[:, None], upper[upto] - upper[begin], 0)
-            texts = [pair.text[k] for k in place.tolist()]
+            ends = np.cumsum(pair.text_size)[place]
+            texts = [bytes(pair.text[x:y]) for x, y in zip((ends - pair.text_size[place]).tolist(), ends.tolist(), strict=True)]
             digest, groups = [], []
             for lo, hi, fine in zip(begin.tolist(), upto.tolist(), sound.tolist(), strict=True):
-                joined = b";".join([texts[c] for c in codes[lo:hi].tolist()]) if fine else b""
+                joined = b"".join([texts[c] for c in codes[lo:hi].tolist()])[:-1] if fine else b""
                 digest.append(hashlib.sha256(joined).hexdigest() if fine else "")
                 if with_groups:
                     groups.append(joined.decode())
