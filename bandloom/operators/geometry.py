@@ -68,10 +68,13 @@ def rbf(distance: Column, bins: int = 40, top: float = 8.0) -> Column:
 
 
 def unit_vector(v: Column) -> Column:
-    """FN11: a vector over its length; null for a zero or non-finite one."""
+    """FN11: a vector over its length; null for a zero or non-finite one.
+
+    The length stands beside the vector as an array, since inside a lambda it would be worked out again for every component.
+    """
     square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     ok = (square > 0) & (square < float("inf")) & ~F.isnan(square)
-    return F.when(ok, F.transform(v, lambda x: x.cast("double") / F.sqrt(square)))
+    return F.when(ok, F.zip_with(v, F.array_repeat(F.sqrt(square), F.size(v)), lambda x, n: x.cast("double") / n))
 
 
 def composition_stats(parts: DataFrame, by: str, table: DataFrame) -> DataFrame:

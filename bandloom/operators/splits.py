@@ -173,22 +173,22 @@ def leave_element_out(rows: DataFrame, key: str, elements: str, test: float) ->
 def temporal_split(rows: DataFrame, key: str, time: str, train: float) -> DataFrame:
     """SP7: rows up to the floor(train * n)-th time train, later ones test; undated rows are excluded.
 
-    The cut is an order statistic: counts per day, then per hour of the day at the edge, and so on down
-    to the microsecond, so a day with a third of all rows is counted, never sorted.
+    The cut is an order statistic: counts per day, then per second of the day at the edge, then per
+    microsecond, so a day with a third of all rows is counted, never sorted; a step has at most a
+    million counts.
     """
     dated = rows.filter(F.col(time).isNotNull()).select(F.col(time).cast("timestamp").alias("__t"))
-    n = dated.count()
-    if not n:
-        return rows.withColumn("cutoff", F.lit(None).cast(rows.schema[time].dataType)).withColumn("part", F.lit("excluded"))
-    place, lo = max(1, int(n * train)), None
-    for unit in ("day", "hour", "minute", "second", "microsecond"):  # each step counts inside the one before
-        at = F.date_trunc(unit, "__t")
-        inside = dated if lo is None else dated.filter(F.date_trunc(above, "__t") == F.lit(lo))  # noqa: F821
-        counts = inside.groupBy(at.alias("u")).agg(F.count("*").alias("c"))
-        order = Window.partitionBy(F.lit(1)).orderBy("u")
-        counts = counts.withColumn("before", F.sum("c").over(order) - F.col("c"))
-        edge = counts.filter((F.col("before") < place) & (F.col("before") + F.col("c") >= place)).first()
-        lo, place, above = edge["u"], place - edge["before"], unit
+    place, lo, above = None, None, None
+    for unit in ("day", "second", "microsecond"):  # each step counts inside the one before
+        inside = dated if lo is None else dated.filter(F.date_trunc(above, "__t") == F.lit(lo))
+        counts = inside.groupBy(F.date_trunc(unit, "__t").alias("u")).agg(F.count("*").alias("c"))
+        whole = Window.partitionBy(F.lit(1))
+        counts = counts.withColumn("before", F.sum("c").over(whole.orderBy("u")) - F.col("c")).withColumn("all", F.sum("c").over(whole))
+        wanted = F.greatest(F.lit(1), F.floor(F.col("all") * train)) if place is None else F.lit(place)
+        edge = counts.withColumn("place", wanted).filter((F.col("before") < F.col("place")) & (F.col("before") + F.col("c") >= F.col("place"))).first()
+        if edge is None:
+            return rows.withColumn("cutoff", F.lit(None).cast(rows.schema[time].dataType)).withColumn("part", F.lit("excluded"))
+        lo, place, above = edge["u"], edge["place"] - edge["before"], unit
     part = F.when(F.col(time).isNull(), "excluded").when(F.col(time).cast("timestamp") <= F.lit(lo), "train").otherwise("test")
     return rows.withColumn("cutoff", F.lit(lo).cast(rows.schema[time].dataType)).withColumn("part", part)
 
