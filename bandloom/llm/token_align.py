@@ -7,6 +7,7 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from .token_count import byte_names
 SLICE = 4_000_000
 #: First bytes of characters among which there is Unicode white space.
 SPACES = (0xC2, 0xE1, 0xE2, 0xE3)
+#: Bytes that are neither white space nor may begin it.
+DARK = np.ones(256, bool)
+DARK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), *SPACES]] = False
 
 
 class _Bytes:
@@ -76,49 +80,57 @@ class Pair:
         self.linked = none  # id pairs as a << 32 | b, as many as groups
 
     def places(self, units: pa.Array) -> np.ndarray:
-        """Where each unit's facts are; units that aren't known yet are learned."""
+        """Where each unit's facts are; units that aren't known yet are learned, most of them many in one text."""
         names = units.to_pylist()
-        new = [u for u in names if u not in self.place]
-        known = len(self.place)
-        self.place.update(zip(new, range(known, known + len(new)), strict=True))
-        got = [self.learn(new[lo : lo + 5000]) for lo in range(0, len(new), 5000)]
-        for name, parts in zip(("facts", "text_size", "linked"), zip(*got, strict=True), strict=False):
-            setattr(self, name, np.concatenate([getattr(self, name), *parts]))
+        if new := [u for u in names if u not in self.place]:
+            whole = _Bytes(new)
+            last = whole.begin + whole.size - 1
+            fits = (whole.size > 1) & open_before(whole.flat, last + 1) & DARK[whole.flat[np.minimum(whole.begin + 1, last)]]
+            alone, rest = [u for u, fit in zip(new, fits.tolist(), strict=True) if not fit], [u for u, fit in zip(new, fits.tolist(), strict=True) if fit]
+            for lo in range(0, len(rest), 10_000):
+                part = rest[lo : lo + 10_000]
+                alone += self.learn([part[k : k + 250] for k in range(0, len(part), 250)])
+            for lo in range(0, len(alone), 5000):
+                self.learn([[u] for u in alone[lo : lo + 5000]])
         return np.array([self.place[u] for u in names], np.int64)
 
-    def learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Facts, sizes of the groups' texts, and linked id pairs of new units; the texts go to the pool.
+    def learn(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Note the facts of new units, those of a list read as one text; units of unsound texts of several are given back.
 
         The spans that both libraries give are coarse cuts: A's in characters, B's in bytes of the
         text without the space, of which the fallback bytes of a character but its last one have
         none. Inside a character that several tokens share, and for fallback bytes, the ends are
-        found by the tokens' decoded bytes. A unit is sound if both vocabularies give its bytes back.
+        found by the tokens' decoded bytes. A text is sound if both vocabularies give its bytes back.
         """
-        texts = [u.decode() for u in units]
-        ours = self.a.encode_batch(texts, add_special_tokens=False)
-        theirs = [x.pieces for x in self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)]
-        whole = _Bytes(units)
-        ids = [x.ids for x in ours]
+        whole = _Bytes([b"".join(x) for x in texts])
+        plain = [bytes(whole.flat[x : x + n]).decode() for x, n in zip(whole.begin.tolist(), whole.size.tolist(), strict=True)]
+        ours = self.a.encode_batch(plain, add_special_tokens=False)
+        theirs = [x.pieces for x in self.b.encode([t[1:] for t in plain], return_type="proto", num_threads=1)]
+        flat, ids = chain.from_iterable, [x.ids for x in ours]
         n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (ids, theirs))
-        a, b = np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter((p.id for x in theirs for p in x), np.int64)
-        unit_a, unit_b = (np.repeat(np.arange(len(units)), n) for n in (n_a, n_b))
+        a, spans_a = np.fromiter(flat(ids), np.int64), np.fromiter(flat(flat(x.offsets for x in ours)), np.int64)[1::2]
+        b, spans_b = np.fromiter(flat(map(attrgetter("id", "end"), flat(theirs))), np.int64).reshape(-1, 2).T
+        text_a, text_b = (np.repeat(np.arange(len(texts)), n) for n in (n_a, n_b))
         lead = np.append(np.flatnonzero((whole.flat & 0xC0) != 0x80), len(whole.flat))  # where characters begin
-        first = np.searchsorted(lead, whole.begin)
-        coarse_a = lead[first[unit_a] + np.fromiter((o[1] for x in ours for o in x.offsets), np.int64)]
-        coarse_b = whole.begin[unit_b] + 1 + np.fromiter((p.end for x in theirs for p in x), np.int64)
-        fine_a, sound_a = self.ends(self.of_a, a, unit_a, whole)
-        fine_b, sound_b = self.ends(self.of_b, b, unit_b, whole)
-        shared = np.append((coarse_a[1:] == coarse_a[:-1]) & (unit_a[1:] == unit_a[:-1]), False)
+        coarse_a = lead[np.searchsorted(lead, whole.begin)[text_a] + spans_a]
+        coarse_b = whole.begin[text_b] + 1 + spans_b
+        fine_a, sound_a = self.ends(self.of_a, a, text_a, whole)
+        fine_b, sound_b = self.ends(self.of_b, b, text_b, whole)
+        shared = np.append((coarse_a[1:] == coarse_a[:-1]) & (text_a[1:] == text_a[:-1]), False)
         end_a = np.where(shared, fine_a, coarse_a)
         end_b = np.where(self.fallback[b], fine_b, coarse_b)
         end_a, end_b = (np.where(e == f, e, f) for e, f in ((end_a, fine_a), (end_b, fine_b)))  # bytes have the last word
         sound = sound_a & sound_b & (n_b > 0)
-        keep_a, keep_b = sound[unit_a], sound[unit_b]
+        each, units = np.array([len(x) for x in texts]), [u for x in texts for u in x]
+        size = np.array([len(u) for u in units], np.int64)
+        begin = np.cumsum(size) - size
+        cuts = np.intersect1d(end_a[sound[text_a]], end_b[sound[text_b]], assume_unique=True)
+        joined = np.repeat(sound, each) & ~np.isin(begin + size, cuts)  # should a vocabulary go across a unit's end
+        sound[np.repeat(np.arange(len(texts)), each)[joined]] = False
+        keep_a, keep_b = sound[text_a], sound[text_b]
         a, b, end_a, end_b = a[keep_a], b[keep_b], end_a[keep_a], end_b[keep_b]
-        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True) if joined.any() else cuts
         linked = a[np.searchsorted(end_a, cuts)] << 32 | b[np.searchsorted(end_b, cuts)]
-        n_groups = np.bincount(np.searchsorted(whole.begin, cuts, side="left") - 1, minlength=len(units))
-        facts = np.column_stack([sound, np.where(sound, n_a, 0), np.where(sound, n_b, 0), n_groups])
         # Tokens in the order of groups, A before B, each with its separator.
         group = np.concatenate([2 * np.searchsorted(cuts, end_a), 2 * np.searchsorted(cuts, end_b) + 1])
         order = np.argsort(group, kind="stable")
@@ -126,9 +138,17 @@ class Pair:
         text, upto = self.decimal.of(tokens), np.cumsum(self.decimal.size[tokens])
         last = np.flatnonzero(np.diff(group, append=-1))
         text[upto[last] - 1] = np.where(group[last] & 1, ord(";"), ord("|"))
+        # All of that by unit; a text of several that isn't sound tells nothing of its units.
+        told = np.repeat(sound | (each == 1), each)
+        unit_a, unit_b, of_cut = (np.searchsorted(begin, e, side="left") - 1 for e in (end_a, end_b, cuts))
+        count = lambda which, weights=None: np.bincount(which, weights, len(units)).astype(np.int64)[told]
+        facts = np.column_stack([np.repeat(sound, each)[told], count(unit_a), count(unit_b), count(of_cut)])
+        digits = count(np.concatenate([unit_a, unit_b])[order], self.decimal.size[tokens])
+        known = len(self.place)
+        self.place.update(zip([u for u, t in zip(units, told.tolist(), strict=True) if t], range(known, known + len(facts)), strict=True))
         self.text += text.tobytes()
-        size = np.bincount(np.concatenate([unit_a[keep_a], unit_b[keep_b]])[order], self.decimal.size[tokens], len(units)).astype(np.int64)
-        return facts, size, linked
+        self.facts, self.text_size, self.linked = np.concatenate([self.facts, facts]), np.concatenate([self.text_size, digits]), np.concatenate([self.linked, linked])
+        return [u for u, t in zip(units, told.tolist(), strict=True) if not t]
 
     @staticmethod
     def ends(known: _Bytes, tokens: np.ndarray, unit: np.ndarray, whole: _Bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -144,19 +164,23 @@ class Pair:
         return end, sound
 
 
+def open_before(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place of UTF-8 bytes is no white space (nor one of the characters that begin like some)."""
+    before = raw[at - 1]
+    odd = (before >= 0x80) & ((raw[at - 2] == SPACES[0]) | ~DARK[raw[np.maximum(at - 3, 0)]] & (raw[np.maximum(at - 3, 0)] > SPACES[0]))
+    return DARK[before] & ~odd
+
+
 def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Units of all texts in a row, each text after a space, and where those of each text end."""
     flat = b"".join([b" " + t for t in texts.cast(pa.binary()).to_pylist()])
     raw = np.frombuffer(flat, np.uint8)
     begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = np.flatnonzero(raw == 0x20)
-    at = at[(at > 2) & (at < len(raw) - 1)]
-    dark = np.ones(256, bool)  # bytes that are neither white space nor may begin it
-    dark[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), *SPACES]] = False
-    before = raw[at - 1]
-    blank = (before == 0x20) | ((before >= 0x09) & (before <= 0x0D)) | ((before >= 0x1C) & (before <= 0x1F))
-    blank |= (before >= 0x80) & ((raw[at - 2] == 0xC2) | np.isin(raw[at - 3], SPACES[1:]))
-    starts = np.union1d(at[~blank & dark[raw[at + 1]]], np.concatenate([[0], begin[:-1]])).astype(np.int64)
+    at = at[(at > 0) & (at < len(raw) - 1)]
+    at = at[DARK[raw[at + 1]]]
+    starts = np.sort(np.concatenate([at[open_before(raw, at)], [0], begin[:-1]]), kind="stable").astype(np.int64)
+    starts = starts[np.append(True, starts[1:] > starts[:-1])]
     offsets = np.append(starts, len(raw)).astype(np.int32)
     units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
     return units, np.searchsorted(starts, begin)
