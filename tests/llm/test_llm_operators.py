@@ -751,21 +751,6 @@ def test_near_links_of_a_cluster_with_many_pivots(spark):
         assert (n <= want).all() and n.sum() >= 0.98 * want.sum()
 
 
-@pytest.mark.parametrize(("inner", "n"), [(3, 900), (8, 1200)])
-def test_near_links_that_vary_in_few_dimensions(inner, n, spark):
-    """Vectors of a subspace of 64 dimensions, cut into many cells: no link between cells is lost."""
-    rng = np.random.default_rng(inner)
-    x = rng.normal(size=(n // 2, inner))
-    x = np.concatenate([x, x + rng.normal(size=x.shape) * np.linalg.norm(x, axis=1, keepdims=True) * 0.16 / inner**0.5]) @ rng.normal(size=(inner, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = (x @ x.T >= 0.98).sum(1) - 1
-    df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    reps = df.select(F.lit("a").alias("space"), F.unhex(F.md5(F.col("vec_id").cast("string"))).alias("node"), F.lit(1).cast("long").alias("n"), F.col("embedding").alias("v"))
-    assert cells_of(reps, float(np.arccos(0.98)), 150, 32, 2, 3.0).select("cell").distinct().count() > 4
-    got = {r["id"]: r["n_links"] for r in near_links(df, shard_rows=150, fan=32).collect()}
-    assert want.sum() > n // 2 and [got[i] for i in range(n)] == want.tolist()
-
-
 def test_near_links_in_many_small_groups(spark):
     """Groups without a pivot of their own, over several levels of cells: the recall of links that exist is measured."""
     rng = np.random.default_rng(6)
