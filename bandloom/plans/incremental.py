@@ -190,22 +190,21 @@ def _ss3(spark, sf_dir):
     return J.live_artifacts(rows, F.lit("2024-01-15").cast("timestamp")).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("ss3_expiry_stream", """WITH e AS (SELECT event_id, ts, event_type = 'view' AS attachment, event_id % 11 = 0 AND ts < TIMESTAMP '2024-01-03' AS dropped FROM events), w AS (SELECT epoch_ms(greatest(max(ts) FILTER (WHERE NOT dropped), max(ts + INTERVAL 2 HOUR) FILTER (WHERE event_id % 5 = 0 AND event_id % 11 <> 0))) - 10 * 86400000 AS w FROM e),
-s AS (SELECT event_id, CASE WHEN NOT attachment AND epoch_ms(ts) + 86400000 < w THEN 'prunable' ELSE 'live' END AS state, epoch_ms(ts) AS created_ms FROM e, w WHERE NOT dropped AND epoch_ms(ts) < w) SELECT state, count(*) AS n, min(created_ms) AS first_ms, max(created_ms) AS last_ms FROM s GROUP BY state""")
+@query("ss3_expiry_stream", """WITH RECURSIVE e AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS ms FROM events WHERE NOT (event_id % 11 = 0 AND ts < TIMESTAMP '2024-01-03')), w AS (SELECT max(ms) - 10 * 86400000 AS w FROM e), k AS (SELECT id, ms FROM e, w WHERE ms < w),
+l AS (SELECT id, min(ms) AS s FROM k GROUP BY id UNION ALL SELECT l.id, n.ms FROM l, LATERAL (SELECT min(ms) AS ms FROM k WHERE k.id = l.id AND k.ms >= l.s + 86400000) n WHERE n.ms IS NOT NULL AND l.id % 5 <> 0)
+SELECT id, CASE WHEN id % 5 = 0 THEN 'attachment' ELSE 'result' END AS kind, count(*) AS lives, count(*) FILTER (WHERE id % 5 <> 0 AND s + 86400000 < w) AS pruned, min(s) AS first_ms, max(s) AS last_ms FROM l, w GROUP BY id""")
 def _ss3b(spark, sf_dir):
-    """Expiry with event-time state: a week a file, some rows a file late, some so late that they are dropped, some that repeat a living artifact."""
-    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "attachment").otherwise("result").alias("kind"), F.col("ts").cast("timestamp").alias("created"))
+    """Expiry with event-time state, an artifact a user: a week a file, some rows a file late, some so late that they are dropped; rows repeat a living artifact or begin a new life."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.when(F.col("user_id") % 5 == 0, "attachment").otherwise("result").alias("kind"), F.col("ts").cast("timestamp").alias("created"), "event_id")
     week = F.least(F.lit(3), F.floor(F.datediff("created", F.lit("2024-01-01")) / 8))
-    lost = (F.col("id") % 11 == 0) & (F.col("created") < "2024-01-03")
-    rows = e.withColumn("part", F.when(lost, 3).when(F.col("id") % 7 == 0, F.least(F.lit(3), week + 1)).otherwise(week))
-    again = rows.filter("id % 5 = 0 and id % 11 <> 0").withColumn("created", F.col("created") + F.make_interval(hours=F.lit(2)))
-    rows = rows.unionByName(again)
+    lost = (F.col("event_id") % 11 == 0) & (F.col("created") < "2024-01-03")
+    rows = e.withColumn("part", F.when(lost, 3).when(F.col("event_id") % 7 == 0, F.least(F.lit(3), week + 1)).otherwise(week)).drop("event_id")
     src, out, mark = (shared_folder(spark, x) for x in ("expiry-in", "expiry-out", "expiry-mark"))
     in_turn([rows.filter(F.col("part") == k).drop("part") for k in range(4)], src)
-    stream = Z.expiry_stream(J.read_files(spark, f"{src}/*", e.schema), "id", "kind", "created", 24, "10 days")
+    stream = Z.expiry_stream(J.read_files(spark, f"{src}/*", rows.drop("part").schema), "id", "kind", "created", 24, "10 days")
     Z.start_expiry(stream, out, mark).awaitTermination()
-    last = spark.read.parquet(out).groupBy("id").agg(F.max("state").alias("state"), F.unix_millis(F.min("created")).alias("ms"))
-    return last.groupBy("state").agg(F.count("*").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+    live, ms = F.col("state") == "live", F.unix_millis("created")
+    return spark.read.parquet(out).groupBy("id", "kind").agg(F.count_if(live).alias("lives"), F.count_if(~live).alias("pruned"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
 
 
 @query("ss4_outcome_counts", "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

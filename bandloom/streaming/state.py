@@ -167,7 +167,7 @@ def expiry_stream(stream: DataFrame, key: str, kind: str, created: str, hours: i
             what = what or frame["kind"].iloc[0]
         now, out = state.getCurrentWatermarkMs(), []
         ends = lambda: None if start is None or what == "attachment" else start + life
-        note = lambda label: out.append((group[0], what, start, ends(), label))
+        note = lambda label: out.append((group[0], what, start, -1 if ends() is None else ends(), label))
         for at in sorted(x for x in waiting if x < now):
             if start is not None and (ends() is None or at < ends()):
                 continue
@@ -186,11 +186,12 @@ def expiry_stream(stream: DataFrame, key: str, kind: str, created: str, hours: i
             state.update((start, what, waiting))
             if due:
                 state.setTimeoutTimestamp(min(due))
-        yield pd.DataFrame(out, columns=["key", "kind", "created", "expires", "state"]).astype({"created": "Int64", "expires": "Int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["key", "kind", "created", "expires", "state"])
 
     timed = rows.withColumn("at", F.unix_micros("created"))
     got = timed.groupBy("key").applyInPandasWithState(step, f"key {key_kind}, kind string, created long, expires long, state string", "start long, kind string, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-    when = lambda c: F.timestamp_millis(c).alias(c)
+    when = lambda c: F.when(F.col(c) >= 0, F.timestamp_millis(c)).alias(c)
     return got.select(F.col("key").alias(key), F.col("kind").alias(kind), when("created"), when("expires"), "state")
 
 
