@@ -6,7 +6,7 @@ import hashlib
 import os
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 from operator import attrgetter
 
 import numpy as np
@@ -33,7 +33,7 @@ class _Bytes:
 
     def __init__(self, parts: list[bytes]):
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
-        self.size = np.array([len(x) for x in parts], np.int64)
+        self.size = np.fromiter(map(len, parts), np.int64, len(parts))
         self.begin = np.cumsum(self.size) - self.size
 
     def of(self, which: np.ndarray) -> np.ndarray:
@@ -82,17 +82,21 @@ class Pair:
     def places(self, units: pa.Array) -> np.ndarray:
         """Where each unit's facts are; units that aren't known yet are learned, most of them many in one text."""
         names = units.to_pylist()
-        if new := [u for u in names if u not in self.place]:
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            new = [names[k] for k in lacking.tolist()]
             whole = _Bytes(new)
             last = whole.begin + whole.size - 1
             fits = (whole.size > 1) & open_before(whole.flat, last + 1) & DARK[whole.flat[np.minimum(whole.begin + 1, last)]]
-            alone, rest = [u for u, fit in zip(new, fits.tolist(), strict=True) if not fit], [u for u, fit in zip(new, fits.tolist(), strict=True) if fit]
+            alone, rest = list(compress(new, (~fits).tolist())), list(compress(new, fits.tolist()))
             for lo in range(0, len(rest), 10_000):
                 part = rest[lo : lo + 10_000]
                 alone += self.learn([part[k : k + 250] for k in range(0, len(part), 250)])
             for lo in range(0, len(alone), 5000):
                 self.learn([[u] for u in alone[lo : lo + 5000]])
-        return np.array([self.place[u] for u in names], np.int64)
+            at[lacking] = [self.place[u] for u in new]
+        return at
 
     def learn(self, texts: list[list[bytes]]) -> list[bytes]:
         """Note the facts of new units, those of a list read as one text; units of unsound texts of several are given back.
@@ -121,8 +125,8 @@ class Pair:
         end_b = np.where(self.fallback[b], fine_b, coarse_b)
         end_a, end_b = (np.where(e == f, e, f) for e, f in ((end_a, fine_a), (end_b, fine_b)))  # bytes have the last word
         sound = sound_a & sound_b & (n_b > 0)
-        each, units = np.array([len(x) for x in texts]), [u for x in texts for u in x]
-        size = np.array([len(u) for u in units], np.int64)
+        each, units = np.array([len(x) for x in texts]), list(flat(texts))
+        size = np.fromiter(map(len, units), np.int64, len(units))
         begin = np.cumsum(size) - size
         cuts = np.intersect1d(end_a[sound[text_a]], end_b[sound[text_b]], assume_unique=True)
         joined = np.repeat(sound, each) & ~np.isin(begin + size, cuts)  # should a vocabulary go across a unit's end
@@ -145,10 +149,10 @@ class Pair:
         facts = np.column_stack([np.repeat(sound, each)[told], count(unit_a), count(unit_b), count(of_cut)])
         digits = count(np.concatenate([unit_a, unit_b])[order], self.decimal.size[tokens])
         known = len(self.place)
-        self.place.update(zip([u for u, t in zip(units, told.tolist(), strict=True) if t], range(known, known + len(facts)), strict=True))
+        self.place.update(zip(compress(units, told.tolist()), range(known, known + len(facts)), strict=True))
         self.text += text.tobytes()
         self.facts, self.text_size, self.linked = np.concatenate([self.facts, facts]), np.concatenate([self.text_size, digits]), np.concatenate([self.linked, linked])
-        return [u for u, t in zip(units, told.tolist(), strict=True) if not t]
+        return list(compress(units, (~told).tolist()))
 
     @staticmethod
     def ends(known: _Bytes, tokens: np.ndarray, unit: np.ndarray, whole: _Bytes) -> tuple[np.ndarray, np.ndarray]:
