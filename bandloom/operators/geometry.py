@@ -112,9 +112,13 @@ def periodic_neighbours(atoms: DataFrame, cells: DataFrame, radius: float, most:
     src = placed.select("material_id", F.col("atom").alias("src"), *[F.col(f"f{x}").alias(f"s{x}") for x in "xyz"], *frame.columns[1:])
     for x in "xyz":
         reach = lambda sign: F.floor((F.col(f"s{x}") + sign * F.col(f"r{x}")) * F.col(f"n{x}") + sign * 1e-9).cast("int")  # noqa: B023, E731
-        src = src.withColumn(f"t{x}", F.explode(F.sequence(reach(-1), reach(1))))
-        src = src.withColumn(f"g{x}", F.pmod(f"t{x}", f"n{x}")).withColumn(f"i{x}", F.floor(F.col(f"t{x}") / F.col(f"n{x}")).cast("int"))
-    near = src.join(dst, ["material_id", "gx", "gy", "gz"])
+        n = F.col(f"n{x}")
+        src = src.withColumn(f"t{x}", F.sequence(reach(-1), reach(1))).withColumn(f"g{x}", F.explode(F.array_distinct(F.transform(f"t{x}", lambda t: F.pmod(t, n)))))  # noqa: B023
+        src = src.withColumn(f"m{x}", F.transform(F.filter(f"t{x}", lambda t: F.pmod(t, n) == F.col(f"g{x}")), lambda t: F.floor(t / n).cast("int")))  # noqa: B023
+    # Only wrapped bins are dealt out; their images follow where source and target have met, axis by axis.
+    near = src.drop("tx", "ty", "tz").join(dst, ["material_id", "gx", "gy", "gz"])
+    for x in "xyz":
+        near = near.withColumn(f"i{x}", F.explode(f"m{x}")).filter(F.abs(F.col(f"d{x}") - F.col(f"w{x}") + F.col(f"i{x}") - F.col(f"s{x}")) <= F.col(f"r{x}") + 1e-9)
     # A target outside the cell (whole part w) is the image that takes it back by w.
     image = {x: F.col(f"i{x}") - F.col(f"w{x}") for x in "xyz"}
     off = {x: F.col(f"d{x}") + image[x] - F.col(f"s{x}") for x in "xyz"}
