@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from .bands import band_ranges, sign_crossings
 
 
+def exact_mean(value: Column | str, by: list[str] | None = None) -> Column:
+    """Mean of doubles that does not hang on the order of rows: over the groups of ``by`` as a window, else as an aggregate.
+
+    Values go into the sum as decimals of eight places, so a mean that is a whole number is one. If
+    some can't (not finite, 1e20 or more), it is the plain mean.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    part = (lambda c: c.over(Window.partitionBy(*by))) if by else (lambda c: c)
+    exact = v.try_cast("decimal(28,8)")
+    n = part(F.count(v))
+    return F.when(part(F.count(exact)) == n, part(F.sum(exact)).cast("double") / n).otherwise(part(F.avg(v)))
+
+
 def extrema_gap(points: DataFrame, conduction: Column) -> DataFrame:
     """AG5: least conduction energy minus largest valence energy of each path; may be negative."""
     return points.groupBy("path_id").agg((F.min(F.when(conduction, F.col("energy"))) - F.max(F.when(~conduction, F.col("energy")))).alias("gap"))

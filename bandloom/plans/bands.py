@@ -30,7 +30,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000) - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
     return e.select(
         "path_id", "band_id", F.floor(day / 7).cast("int").alias("segment_id"), day.alias("day"), (F.row_number().over(order) - 1).alias("k_idx"),
-        F.round(seconds / F.lit(3600.0), 8).alias("k"), F.round(F.col("value") - F.floor(F.avg("value").over(Window.partitionBy("path_id"))), 2).alias("energy"),
+        F.round(seconds / F.lit(3600.0), 8).alias("k"), F.round(F.col("value") - F.floor(M.exact_mean("value", ["path_id"])), 2).alias("energy"),
     )
 
 
