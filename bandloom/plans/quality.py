@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import measure as M
 from ..operators import quality as Q
 from ..registry import query, read
 
@@ -11,7 +12,7 @@ UG = "g AS (SELECT user_id AS id, max(value) - 200 AS gap, avg(value) AS m, coun
 
 
 def gaps(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg((F.max("value") - 200).alias("gap"), F.avg("value").alias("m"), F.count("*").alias("n"), F.min("value").alias("lo"), (F.floor(F.max("value")).cast("int") % 9).alias("top"), (F.floor(F.min("value") * 100).cast("int") % 9).alias("bottom"))
+    return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg((F.max("value") - 200).alias("gap"), M.exact_mean("value").alias("m"), F.count("*").alias("n"), F.min("value").alias("lo"), (F.floor(F.max("value")).cast("int") % 9).alias("top"), (F.floor(F.min("value") * 100).cast("int") % 9).alias("bottom"))
 
 
 @query("flt1_candidate_filter", "SELECT event_id FROM events WHERE (CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END IS NULL OR value BETWEEN 10 AND 60) AND user_id BETWEEN 5 AND 100")
