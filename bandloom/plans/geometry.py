@@ -115,7 +115,7 @@ VEC = "n AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS
 @query("jn19_top_k", f"WITH {VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, found) AS rank FROM p) SELECT query, found, round(score, 8) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
 def _jn19(spark, sf_dir):
     v = vecs(spark, sf_dir)
-    return R.top_k(R.scores(v.filter("id % 50 = 0"), v), 10).withColumn("score", F.round("score", 8))
+    return R.top_k(v.filter("id % 50 = 0"), v, 10).withColumn("score", F.round("score", 8))
 
 
 NOISY = "n AS (SELECT vec_id AS id, embedding AS e FROM embeddings), m AS (SELECT id, [CAST(x AS DOUBLE) for x in e] AS a, [CAST(e[i] AS DOUBLE) + CASE WHEN i % 3 = id % 3 THEN 0.25 ELSE -0.1 END for i in range(1, 65)] AS b FROM n), u AS (SELECT id, [x / sqrt(list_sum([y ** 2 for y in a])) for x in a] AS a, [x / sqrt(list_sum([y ** 2 for y in b])) for x in b] AS b FROM m), p AS (SELECT q.id AS query, g.id AS found, list_dot_product(q.b, g.a) AS score FROM u q, u g WHERE q.id % 50 = 0)"
