@@ -118,19 +118,24 @@ def _ss1(spark, sf_dir):
     return J.commit_status(rows, rows.limit(0).select("id", "digest"), "id", "digest", "event_id").select("event_id", "status")
 
 
-def in_turn(parts, folder):
-    """Write tables as files that a stream reads one after the other."""
+def in_turn(parts, folder, key=None):
+    """Write tables as files that a stream reads one after the other; with a key each as a file a core, all rows of a key in one."""
     for k, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{folder}/part{k}")
+        dealt = part.repartition(part.sparkSession.sparkContext.defaultParallelism, key) if key else part.coalesce(1)
+        dealt.write.parquet(f"{folder}/part{k}")
 
 
 def committed(spark, rows, order, files, stops=()):
-    """The commit stream over ``files`` parts of the rows, stopped and started again before the parts in ``stops``."""
+    """The commit stream over ``files`` parts of the rows, stopped and started again before the parts in ``stops``.
+
+    A part is a file a core. Parts come in the order in which they were written, and an id is in
+    one file of a part, so it meets its parts in turn wherever a micro-batch ends.
+    """
     src, out, mark = (shared_folder(spark, x) for x in ("commit-in", "commit-out", "commit-mark"))
     for k in range(files):
-        in_turn([rows.filter(F.col("part") == k).drop("part")], f"{src}/{k}")
+        in_turn([rows.filter(F.col("part") == k).drop("part")], f"{src}/{k}", "id")
         if k + 1 in (*stops, files):
-            stream = J.read_files(spark, f"{src}/*/*", rows.drop("part").schema)
+            stream = J.read_files(spark, f"{src}/*/*", rows.drop("part").schema, spark.sparkContext.defaultParallelism)
             Z.start_commits(stream, out, mark, "id", "digest", order).awaitTermination()
     return spark.read.parquet(out)
 
@@ -152,7 +157,7 @@ def _ss1c(spark, sf_dir):
     most = rows.agg(F.max("event_id")).first()[0] or 0
     part = F.floor(F.col("event_id") * 3 / (most + 1)).cast("int")
     again = rows.filter("event_id % 3 = 0").withColumn("part", part + 1)
-    both = rows.withColumn("part", part).unionByName(again).repartition(4, F.xxhash64("event_id", "part"))
+    both = rows.withColumn("part", part).unionByName(again)
     return committed(spark, both, "event_id", 4).groupBy("status").agg(F.sum("n").alias("n"))
 
 
@@ -200,9 +205,10 @@ def _ss3b(spark, sf_dir):
     lost = (F.col("event_id") % 11 == 0) & (F.col("created") < "2024-01-03")
     rows = e.withColumn("part", F.when(lost, 3).when(F.col("event_id") % 7 == 0, F.least(F.lit(3), week + 1)).otherwise(week)).drop("event_id")
     src, out, mark = (shared_folder(spark, x) for x in ("expiry-in", "expiry-out", "expiry-mark"))
-    in_turn([rows.filter(F.col("part") == k).drop("part") for k in range(4)], src)
-    stream = Z.expiry_stream(J.read_files(spark, f"{src}/*", rows.drop("part").schema), "id", "kind", "created", 24, "10 days")
-    Z.start_expiry(stream, out, mark).awaitTermination()
+    for k in range(4):  # a run a part: all its files are one micro-batch, so that the watermark moves between parts only
+        in_turn([rows.filter(F.col("part") == k).drop("part")], f"{src}/{k}", "id")
+        files = J.read_files(spark, f"{src}/*/*", rows.drop("part").schema, spark.sparkContext.defaultParallelism)
+        Z.start_expiry(Z.expiry_stream(files, "id", "kind", "created", 24, "10 days"), out, mark).awaitTermination()
     live, ms = F.col("state") == "live", F.unix_millis("created")
     return spark.read.parquet(out).groupBy("id", "kind").agg(F.count_if(live).alias("lives"), F.count_if(~live).alias("pruned"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
 
