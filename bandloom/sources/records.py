@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import re
+from itertools import groupby
+from urllib.parse import quote
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import is_missing
 
+#: The name in a path of ``write_texts``.
+NAMED = "name=([^/]+)(?:/[^/]+)?$"
+
 
 def latest_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
     """SRC2: the last row of each id."""
@@ -103,8 +112,18 @@ def links_of(rows: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, path: str, manifest: DataFrame, name: str = "([^/]+)$") -> DataFrame:
-    """SRC10: files of a folder with size and SHA-256, bound to a manifest of ``name, sha256``; ``name`` is the pattern of the name in a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", name, 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("found"))
+    """SRC10: files of a folder with size and SHA-256, bound to a manifest of ``name, sha256``; ``name`` is the pattern of the name in a path.
+
+    Folders are listed by at most four tasks a core; by default Spark starts one a folder, up to 10,000.
+    """
+    width = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(width)
+    spark.conf.set(width, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    finally:
+        spark.conf.set(width, before)
+    files = scan.select(F.regexp_extract("path", name, 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("found"))
     j = manifest.join(files, "name", "full")
     return j.select("name", "size", F.when(F.col("sha256").isNull(), "not listed").when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "changed").otherwise("bound").alias("state"))
 
@@ -128,3 +147,39 @@ def write_new(df: DataFrame, path: str, partition_by: list[str] | None = None) -
     """SNK1/SNK2: write a dataset, by part if asked for; a version that is there is never overwritten."""
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """A path on the local file system without its scheme; null for other stores."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    got = re.fullmatch(r"(file:(?://)?)?(/[^/].*)", path)
+    return got[2] if got and (got[1] or default.startswith("file:")) else None
+
+
+def write_texts(rows: DataFrame, path: str) -> None:
+    """A text file a name of ``name, value`` with its rows as lines, for ``assets`` with the pattern ``NAMED``.
+
+    Rows are dealt over a stated number of tasks, since short ones would all be coalesced into one.
+    In a local folder, which executors must share, tasks write the files themselves, for Hadoop
+    starts a process there for each folder, file and checksum; a rename puts a file in place, so
+    that a task can run again. Elsewhere Spark's writer makes a folder a name.
+    """
+    spark = rows.sparkSession
+    dealt, home = rows.select("name", "value").repartition(4 * spark.sparkContext.defaultParallelism, "name"), local_folder(spark, path)
+    if home is None:
+        dealt.write.partitionBy("name").text(path)
+        return
+
+    def write(part):
+        task = TaskContext.get()
+        folder = f"{home}/{task.partitionId()}"
+        os.makedirs(folder, exist_ok=True)
+        for name, lines in groupby(part, key=lambda r: r["name"]):
+            file = "name=" + ("__HIVE_DEFAULT_PARTITION__" if name is None else quote(name, safe=""))
+            draft = f"{folder}/.{file}.{task.taskAttemptId()}"
+            with open(draft, "w", encoding="utf-8", newline="") as f:
+                f.writelines((r["value"] or "") + "\n" for r in lines)
+            os.replace(draft, f"{folder}/{file}")
+
+    os.makedirs(home)
+    dealt.sortWithinPartitions("name").foreachPartition(write)
