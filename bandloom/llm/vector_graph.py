@@ -137,28 +137,50 @@ def _unit(frame: pd.DataFrame) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def nearest_cells(x: np.ndarray, pivots: np.ndarray, border: float, overlap: int) -> tuple[np.ndarray, list[list[int]]]:
+    """The nearest pivot of each row (home), and the others that are among the ``overlap`` nearest or whose border with it lies within ``border`` (guests).
+
+    Between two pivots the border is the plane of equal distance; how far a row lies from it doesn't
+    hang on how near the pivots are to each other.
+    """
+    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-18))
+    homes, guests = [], []
+    for lo in range(0, len(x), 512):
+        near = x[lo : lo + 512] @ pivots.T
+        home, line = near.argmax(1), np.arange(len(near))
+        inside = near[line, home][:, None] - near <= (border + 1e-6) * apart[home]
+        if overlap > 1:
+            np.put_along_axis(inside, np.argsort(-near, axis=1, kind="stable")[:, :overlap], True, 1)
+        inside[line, home] = False
+        homes.append(home)
+        guests += [np.flatnonzero(row).tolist() for row in inside]
+    return np.concatenate(homes), guests
+
+
 def cells_of(reps: DataFrame, reach: float, shard_rows: int, fan: int, overlap: int, slack: float, levels: int = 12) -> DataFrame:
-    """Overlapping shards: rows of ``reps`` (``space, node, n, v``) with ``cell, homes, fars``, once for each shard.
+    """Overlapping shards: rows of ``reps`` (``space, node, n, v``) with ``cell, homes, guests``, once for each shard.
 
     A cell of more than ``shard_rows`` is split around at most some ``fan`` of its vectors, sampled by hash,
     less those within three link angles of another; its members go to the nearest of these pivots
-    (home), to the ``overlap`` nearest, and to all that are at most ``slack`` link angles over the root of
-    the dimension (one link angle at most) farther than the nearest (guests). ``homes`` and ``fars`` tell for
-    each level whether the shard is at home and how far the nearest pivot is. A cell of one pivot, a
-    tight cluster, stays whole. A level sends a vector to a number of cells that doesn't grow with
-    the table, and each part of 4,000 rows the cell's pivots.
+    (home), to the ``overlap`` nearest, and to all whose border with it is at most half a link's length away
+    (guests), times ``slack`` over the root of the dimension where that is less than one. Of two linked vectors on either
+    side of a border one lies within half their distance of it, so it is a guest where the other is
+    at home. ``homes`` and ``guests`` tell for each level which these were. A cell of one pivot, a tight
+    cluster, stays whole. A level sends a vector to a number of cells that doesn't grow with the
+    table, and each part of 8,000 rows the cell's pivots. Only cells to be split are looked up, one for
+    some ``shard_rows`` rows; what a level leaves as it is isn't written again.
     """
-    open_ = reps.select("space", F.lit("").alias("cell"), "node", "n", "v", F.array().cast("array<boolean>").alias("homes"), F.array().cast("array<double>").alias("fars"), F.lit(False).alias("whole"))
+    kind = reps.schema["v"].dataType.simpleString()
+    rows = reps.select("space", F.lit("").alias("cell"), "node", "n", "v", F.array().cast("array<int>").alias("homes"), F.array().cast("array<array<int>>").alias("guests"), F.lit(False).alias("whole"))
     leaves: DataFrame | None = None
     for level in range(levels):
-        sizes = open_.groupBy("space", "cell").agg(F.count("*").alias("m"))
-        rows = table(open_.join(sizes, ["space", "cell"]), f"vec-level-{level}")
-        done = rows.filter(F.col("whole") | (F.col("m") <= shard_rows)).drop("m", "whole")
+        large = F.broadcast(table(rows.filter("not whole").groupBy("space", "cell").agg(F.count("*").alias("m")).filter(F.col("m") > shard_rows), f"vec-large-{level}"))
+        done = rows.join(large, ["space", "cell"], "left_anti").drop("whole")
         leaves = done if leaves is None else leaves.union(done)
-        rest = rows.filter(~F.col("whole") & (F.col("m") > shard_rows))
+        rest = rows.join(large, ["space", "cell"])
         if rest.isEmpty():
             return leaves
-        parts = F.ceil(F.col("m") / 4000).cast("int")
+        parts = F.ceil(F.col("m") / 8000).cast("int")
         members = rest.withColumn("part", F.pmod(F.xxhash64("node", F.lit(level)), parts).cast("int")).withColumn("pivot", F.lit(False))
         wanted = F.least(F.lit(float(fan)), F.greatest(F.lit(8.0), 4 * F.col("m") / shard_rows))
         pivots = rest.filter(unit_hash("node", F.lit(100 + level)) * F.col("m") < wanted).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("pivot", F.lit(True))
@@ -169,32 +191,38 @@ def cells_of(reps: DataFrame, reach: float, shard_rows: int, fan: int, overlap:
             if not len(frame):
                 return None
             keep = ["space", "node", "n", "v"]
-            base = [list(x) for x in frame["homes"]], [list(x) for x in frame["fars"]]
+            base = [list(x) for x in frame["homes"]], [[list(y) for y in x] for x in frame["guests"]]
             p = _unit(found) if len(found) else np.zeros((0, 1))
             p = p[spread_pivots(p, 3 * reach)] if len(found) else p
             if len(p) < 2:
-                return frame[keep].assign(cell=frame["cell"] + ".0", homes=[x + [True] for x in base[0]], fars=[x + [0.0] for x in base[1]], whole=True)
+                return frame[keep].assign(cell=frame["cell"] + ".0", homes=[x + [0] for x in base[0]], guests=[x + [[]] for x in base[1]], whole=True)
             x = _unit(frame)
-            near = min(1.0, slack / x.shape[1] ** 0.5) * reach
-            out = []
-            for lo in range(0, len(x), 512):
-                angle = np.arccos(np.clip(x[lo : lo + 512] @ p.T, -1, 1))
-                least = angle.min(1)
-                inside = angle <= least[:, None] + near + 1e-6
-                np.put_along_axis(inside, np.argsort(angle, axis=1, kind="stable")[:, :overlap], True, 1)
-                r, c = np.nonzero(inside)
-                out.append(np.stack([r + lo, c, angle.argmin(1)[r] == c, least[r]]))
-            r, c, home, far = np.concatenate(out, 1)
-            r = r.astype(np.int64)
-            made = frame.iloc[r][keep].assign(cell=[f"{a}.{int(b)}" for a, b in zip(frame["cell"].iloc[r], c, strict=True)], whole=False)
-            return made.assign(homes=[base[0][i] + [bool(h)] for i, h in zip(r.tolist(), home, strict=True)], fars=[base[1][i] + [float(d)] for i, d in zip(r.tolist(), far, strict=True)])
-
-        schema = "space string, cell string, node binary, n long, v array<double>, homes array<boolean>, fars array<double>, whole boolean"
-        open_ = map_groups(members.unionByName(pivots).drop("m", "whole"), ["space", "cell", "part"], assign, schema)
-    return table(leaves.union(open_.drop("whole")), "vec-cells")
-
-
-def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, fan: int = 256, overlap: int = 2, slack: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+            home, guests = nearest_cells(x, p, min(1.0, slack / x.shape[1] ** 0.5) * np.sin(reach / 2), overlap)
+            to = [[int(h), *g] for h, g in zip(home, guests, strict=True)]
+            r = np.repeat(np.arange(len(x)), [len(t) for t in to])
+            made = frame.iloc[r][keep].assign(cell=[f"{c}.{t}" for c, own in zip(frame["cell"], to, strict=True) for t in own], whole=False)
+            return made.assign(homes=[base[0][i] + [to[i][0]] for i in r.tolist()], guests=[base[1][i] + [guests[i]] for i in r.tolist()])
+
+        schema = f"space string, cell string, node binary, n long, v {kind}, homes array<int>, guests array<array<int>>, whole boolean"
+        rows = table(map_groups(members.unionByName(pivots).drop("m", "whole"), ["space", "cell", "part"], assign, schema), f"vec-level-{level + 1}")
+    return leaves.union(rows.drop("whole"))
+
+
+def counted_here(cell: str, homes: np.ndarray, guests: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of members ``a, b`` of ``cell`` count in it, so that each counts in one cell.
+
+    At each level that is the home of both, or the home of one where the other is a guest; of two such
+    cells the first. ``guests`` has a matrix of cells a level, filled up with -1.
+    """
+    ok = np.ones(len(a), bool)
+    for level, own in enumerate(int(c) for c in cell.split(".")[1:]):
+        x, y, g = homes[a, level], homes[b, level], guests[level]
+        first = lambda i, h: (h < own) & (g[i] == h[:, None]).any(1)  # noqa: B023, E731
+        ok &= np.where(x == own, (y == own) | ~first(a, y), (y == own) & ~first(b, x))
+    return ok
+
+
+def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, fan: int = 1024, overlap: int = 1, slack: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Rows ``(id, n_links, component_id, kept)``: vectors of equal labels linked by a cosine of ``threshold`` or more.
 
     Null labels, null or zero vectors, and vectors with null or non-finite components link with
@@ -212,46 +240,38 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, f
     spanning forest, no pairs.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    v = F.col(vector_col) if df.schema[vector_col].dataType.simpleString() == "array<float>" else F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v")).filter(F.col("id").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists("v", lambda x: x != 0)
     good = rows.filter(F.col("label").isNotNull() & F.col("v").isNotNull() & finite & some)
     # A node is the digest of a label and a vector, so equal vectors of a label are one.
     key = F.unhex(F.md5(F.concat_ws(",", F.concat_ws("|", F.length("label"), "label"), F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")))))
-    good = table(good.withColumn("node", key), "vec-rows")
+    good = good.withColumn("node", key)
     classes = table(good.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "vec-classes")
     reach = float(np.arccos(np.clip(threshold, -1, 1)))
     reps = classes.select(F.concat_ws("|", "label", F.size("v").cast("string")).alias("space"), "node", "n", "v")
     each = cells_of(reps, reach, shard_rows, fan, overlap, slack)
-    sizes = each.groupBy("space", "cell").agg(F.when(F.count("*") <= shard_rows, 1).otherwise(F.ceil(2 * F.count("*") / shard_rows)).cast("int").alias("blocks"))
-    blocks = each.join(sizes, ["space", "cell"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
-    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "v", "homes", "fars")
-    by = ["space", "cell", "p", "q"]
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node", ignore_index=True)
-        nodes = frame["node"].to_numpy()
-        (begin, to), _ = build_graph(_unit(frame).astype(np.float32))
-        return pd.DataFrame({"space": frame["space"], "node": nodes, "near": [nodes[x] for x in np.split(to, begin[1:-1])]})
-
-    edges = map_groups(cells.select(*by, "node", "v"), by, build, "space string, node binary, near array<binary>")
-    united = edges.groupBy("space", "node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    graph = table(united, "vec-graph")
+    large = F.broadcast(table(each.groupBy("space", "cell").agg(F.count("*").alias("m")).filter(F.col("m") > shard_rows), "vec-large"))
+    blocks = each.join(large, ["space", "cell"], "left").withColumn("blocks", F.coalesce(F.ceil(2 * F.col("m") / shard_rows), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "v", "homes", "guests")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame | None:
         if len(frame) < 2:
             return None
         frame = frame.sort_values("node", ignore_index=True)
         x, nodes = _unit(frame), frame["node"].to_numpy()
-        at = {r: i for i, r in enumerate(nodes.tolist())}
-        lists = [[at[y] for y in near if y in at] if near is not None else [] for near in frame["near"]]
-        links = np.cumsum([0, *map(len, lists)]), np.array([y for own in lists for y in own], np.int64)
-        homes = np.array([list(h) for h in frame["homes"]], bool).reshape(len(x), -1)
-        fars = np.array([list(d) for d in frame["fars"]], float).reshape(len(x), -1)
-        queries = np.flatnonzero(homes[:, -1]) if homes.shape[1] else np.arange(len(x))
-        starts = medoids(x)
-        own, p, q, small = frame["own"].to_numpy(), int(frame["p"].iloc[0]), int(frame["q"].iloc[0]), x.astype(np.float32)
+        small = x.astype(np.float32)
+        links, starts = build_graph(small)
+        cell, homes = frame["cell"].iloc[0], np.array([list(h) for h in frame["homes"]], np.int32).reshape(len(x), -1)
+        guests = []
+        for level in range(homes.shape[1]):
+            at = [g[level] for g in frame["guests"]]
+            guests.append(np.full((len(x), max(1, *map(len, at))), -1, np.int32))
+            for i, g in enumerate(at):
+                guests[-1][i, : len(g)] = g
+        queries = np.flatnonzero(homes[:, -1] == int(cell.split(".")[-1])) if homes.shape[1] else np.arange(len(x))
+        own, p, q = frame["own"].to_numpy(), int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
         n, total, low, seen = frame["n"].to_numpy(np.int64), np.zeros(len(x), np.int64), np.arange(len(x)), []
         for lo in range(0, len(queries), 256):
             part = queries[lo : lo + 256]
@@ -263,12 +283,10 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, f
         if p != q:
             ok = own[a] != own[b]
             a, b = a[ok], b[ok]
-        nearer = (fars[a] < fars[b]) | ((fars[a] == fars[b]) & (a < b)[:, None])
-        ok = np.where(nearer, homes[a], homes[b]).all(1)
-        a, b = a[ok], b[ok]
         ok = np.zeros(len(a), bool)
         for k in range(0, len(a), 100_000):
-            ok[k : k + 100_000] = np.einsum("ij,ij->i", x[a[k : k + 100_000]], x[b[k : k + 100_000]]) >= threshold
+            i, j = a[k : k + 100_000], b[k : k + 100_000]
+            ok[k : k + 100_000] = counted_here(cell, homes, guests, i, j) & (np.einsum("ij,ij->i", x[i], x[j]) >= threshold)
         a, b = a[ok], b[ok]
         np.add.at(total, a, n[b])
         np.add.at(total, b, n[a])
@@ -285,8 +303,7 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, f
         hit = total > 0
         return pd.DataFrame({"node": nodes[hit], "links": total[hit], "low": nodes[low[hit]]})
 
-    joined = cells.join(graph, ["space", "node"], "left")
-    found = table(map_groups(joined, by, search, "node binary, links long, low binary"), "vec-links")
+    found = table(map_groups(cells, ["space", "cell", "p", "q"], search, "node binary, links long, low binary"), "vec-links")
     linked = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "vec-components").join(classes.select("node", "rep"), "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     links = linked.join(least, "component").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "least", "links")
