@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bands as B
@@ -40,8 +40,16 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("k", F.col("k_idx") * F.lit(1.0))
 
 
+def places(c: str, digits: int = 8) -> Column:
+    """A double rounded as the SQL does it: the product by a power of ten, half away from zero.
+
+    The product swallows the last bits of noise, so a tie (ninths digits of splines at eighths) stays one.
+    """
+    return F.round(F.col(c) * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def r8(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 8) for c in cols})
+    return df.withColumns({c: places(c) for c in cols})
 
 
 query("src1_band_points", f"WITH {POINTS} SELECT * FROM p")(points)
@@ -193,7 +201,7 @@ m AS (SELECT o.path_id, o.k_idx, last, median(p.energy) AS med FROM o JOIN p ON
 o2 AS (SELECT path_id, k_idx, last, unnest([-2, -1, 0, 1, 2]) AS d FROM m)
 SELECT o2.path_id, o2.k_idx, round(sum(m.med) / 5, 8) AS smooth FROM o2 JOIN m ON m.path_id = o2.path_id AND m.k_idx = greatest(0, least(o2.last, o2.k_idx + d)) GROUP BY ALL""")
 def _wn6(spark, sf_dir):
-    return B.smooth_trace(points(spark, sf_dir)).select("path_id", "k_idx", F.round("smooth", 8).alias("smooth"))
+    return B.smooth_trace(points(spark, sf_dir)).select("path_id", "k_idx", places("smooth").alias("smooth"))
 
 
 @query("wn7_contiguous_runs", f"""WITH {POINTS}, n AS (SELECT *, coalesce(CAST(lag(band_id) OVER w <> band_id AS INT), 1) AS new, lag(k) OVER w AS kb FROM p WINDOW w AS (PARTITION BY path_id ORDER BY k_idx))
@@ -310,8 +318,7 @@ def diagnostics_sql(p: str, source: str) -> str:
 
 @query("ag24_path_diagnostics", f"WITH {DAILY}, {diagnostics_sql('y', 'd')} SELECT * FROM yz")
 def _ag24(spark, sf_dir):
-    got = M.path_diagnostics(daily(spark, sf_dir))
-    return r8(got, "min_separation").withColumn("dispersion", F.round("dispersion", 8))
+    return r8(M.path_diagnostics(daily(spark, sf_dir)), "min_separation", "dispersion")
 
 
 @query("ag26_window_audit", f"""WITH {SHIFTED}, r AS (SELECT path_id, band_id, min(energy) AS low, max(energy) AS high FROM d GROUP BY ALL)
