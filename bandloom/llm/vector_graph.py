@@ -233,9 +233,8 @@ def near_links(df: DataFrame, threshold: float = 0.98, shard_rows: int = 2000, f
 
     ``cells_of`` makes overlapping shards. One of more than ``shard_rows`` (a tight cluster) is cut into
     blocks of half as many, and each pair of blocks has a graph of its own, so a label or a cluster with a third of
-    all rows stays bounded. Adjacency lists of a vector's graphs are united before the search. Of two
-    vectors the link counts in one shard only: at each level, in the home of the end that is nearer to
-    its pivot, where the other is a guest. Links are found by the search, so some may be missed
+    all rows stays bounded. A graph is built and searched in one task; a link counts in one shard only
+    (``counted_here``). Links are found by the search, so some may be missed
     (``audit_recall`` measures it), and each is verified in double precision. A graph returns counts and a
     spanning forest, no pairs.
     """

@@ -43,7 +43,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places(c: str, digits: int = 8) -> Column:
     """A double rounded as the SQL does it: the product by a power of ten, half away from zero.
 
-    The product swallows the last bits of noise, so a tie (ninths digits of splines at eighths) stays one.
+    The product swallows the last bits of noise, so a tie (the ninth digit of splines at eighths) stays one.
     """
     return F.round(F.col(c) * F.lit(10.0**digits)) / F.lit(10.0**digits)
 
